@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 
@@ -24,5 +25,30 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_examples(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing,)}
+def _crc(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rule_quality import fit_quality, score_quality
+
+    docs = read(spark, sf_dir, "documents")
+    model = fit_quality(docs, read(spark, sf_dir, "labels").where(_crc() % 4 != 2))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(_crc() % 4 == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import similarity_components
+
+    return similarity_components(read(spark, sf_dir, "documents"))
+
+
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .block_substring import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors,)}
 ORACLES: dict[str, str] = {}
