@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunk, exchange, find, smallest, to_chunks, told, with_answers
+from .chunks import Chunk, exchange, find, to_chunks, told, with_answers
 from .common import U64, Scratch, Words, covered, shuffle_parts
 
 _NONE = np.iinfo(np.int64).max
@@ -60,7 +60,7 @@ def _extended(row, window: int):
     """Windows of a chunk around the blocks that hit: start word, two 64-bit keys, document."""
     chunk = Chunk(row)
     words, hashes, at, key, _, _ = _blocks(chunk, window)
-    (hits,) = told(row, {"keys": U64})
+    (hits,) = told(row, {})
     n = len(words.starts)
     hit = np.zeros(n + 1, np.int64)
     hit[at[find(hits, key) >= 0] + 1] = 1
@@ -109,7 +109,7 @@ def _removed(row, window: int) -> tuple[Chunk, Words, np.ndarray]:
     chunk, words, starts, k1, k2, doc = _extended(row, window)
     keys, second, low = (np.zeros(0, t) for t in (U64, U64, np.int64))
     if row["lows"]:
-        keys, second, low = told({"answers": row["lows"]}, {"keys": U64, "a0": U64, "a1": np.int64})
+        keys, second, low = told({"answers": row["lows"]}, {"a0": U64, "a1": np.int64})
     mine = np.where(chunk.known, chunk.ids, _NONE)[doc]
     gone = np.zeros(len(starts), bool)
     spot = np.searchsorted(keys, k1)

@@ -53,6 +53,14 @@ def to_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, CHUNK)
 
 
+def rows_of(batches):
+    """Rows of Arrow batches as dicts, one at a time, so that few chunks are held at once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+        pa.default_memory_pool().release_unused()
+
+
 class Chunk:
     def __init__(self, row: dict):
         self.chunk_id = row["chunk_id"]
@@ -62,48 +70,49 @@ class Chunk:
         self.data = unpack(row["data"], np.uint8)
 
 
-def smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the smallest doc of each, and the largest. keys: (n,) or two columns as a structured array."""
-    order = np.argsort(keys, kind="stable")
-    k, d = keys[order], docs[order]
-    first = np.ones(len(k), bool)
-    first[1:] = k[1:] != k[:-1]
-    at = np.flatnonzero(first)
-    return k[at], np.minimum.reduceat(d, at) if len(at) else d, np.maximum.reduceat(d, at) if len(at) else d
+def pack_keys(keys: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each key."""
+    return pack(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def unpack_keys(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
 
-def send_rows(chunk_id: int, keys: np.ndarray, values: list[np.ndarray], buckets: int):
+def send_rows(chunk_id: int, keys: np.ndarray, values: list[np.ndarray], buckets: int, width: int):
     """Rows (bucket, chunk_id, keys, v0, v1 ...) of one chunk."""
     order, cut = by_bucket((mix(keys ^ U64(0x5BF03635)) % U64(buckets)).astype(np.int64), buckets)
     keys, values = keys[order], [v[order] for v in values]
     some = [k for k in range(buckets) if cut[k + 1] > cut[k]]
     cols = [pa.array(some, pa.int32()), pa.array([chunk_id] * len(some), pa.int64())]
-    for v in (keys, *values):
+    cols.append(pa.array([pack_keys(keys[cut[k] : cut[k + 1]], width) for k in some], pa.binary()))
+    for v in values:
         cols.append(pa.array([pack(v[cut[k] : cut[k + 1]]) for k in some], pa.binary()))
     return pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk_id", "keys", *[f"v{i}" for i in range(len(values))]])
 
 
-def exchange(chunks: DataFrame, keys_of: Callable, answer: Callable, dtypes: list, buckets: int, answers: list) -> DataFrame:
+def exchange(chunks: DataFrame, keys_of: Callable, answer: Callable, dtypes: list, buckets: int, answers: list, width: int = 8) -> DataFrame:
     """(chunk_id, keys, a0, a1 ...): what the buckets answer to each chunk.
 
     keys_of(row) gives distinct keys (uint64) and value arrays of dtypes for a chunk row. answer(keys,
     values, source) sees all of a bucket and gives a mask of the sent keys to answer and arrays of
-    the dtypes in answers.
+    the dtypes in answers. Keys below 256 ** width travel in width bytes.
     """
     nv = len(dtypes)
     schema = "bucket int, chunk_id long, keys binary" + "".join(f", v{i} binary" for i in range(nv))
     reply = "chunk_id long, keys binary" + "".join(f", a{i} binary" for i in range(len(answers)))
 
     def send(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, values = keys_of(row)
-                yield send_rows(row["chunk_id"], keys, [np.asarray(v, t) for v, t in zip(values, dtypes, strict=True)], buckets)
+        for row in rows_of(batches):
+            keys, values = keys_of(row)
+            yield send_rows(row["chunk_id"], keys, [np.asarray(v, t) for v, t in zip(values, dtypes, strict=True)], buckets, width)
 
     def meet(table: pa.Table) -> pa.Table:
         raw = table["keys"].to_pylist()
-        counts = np.array([len(x) // 8 for x in raw])
-        keys = np.concatenate([unpack(x, U64) for x in raw])
+        counts = np.array([len(x) // width for x in raw])
+        keys = np.concatenate([unpack_keys(x, width) for x in raw])
         values = [np.concatenate([unpack(x, t) for x in table[f"v{i}"].to_pylist()]) for i, t in enumerate(dtypes)]
         source = np.repeat(np.arange(len(raw)), counts)
         mask, given = answer(keys, values, source)
@@ -113,7 +122,7 @@ def exchange(chunks: DataFrame, keys_of: Callable, answer: Callable, dtypes: lis
             m = mask[lo:hi]
             if m.any():
                 rows["chunk_id"].append(c)
-                rows["keys"].append(pack(keys[lo:hi][m]))
+                rows["keys"].append(pack_keys(keys[lo:hi][m], width))
                 for i, t in enumerate(answers):
                     rows[f"a{i}"].append(pack(np.asarray(given[i], t)[lo:hi][m]))
         return pa.table({c: pa.array(v, pa.int64() if c == "chunk_id" else pa.binary()) for c, v in rows.items()})
@@ -127,10 +136,11 @@ def with_answers(chunks: DataFrame, replies: DataFrame) -> DataFrame:
     return chunks.join(told, "chunk_id", "left")
 
 
-def told(row: dict, dtypes: dict) -> list[np.ndarray]:
-    """The arrays of a chunk's answers, sorted by key."""
+def told(row: dict, dtypes: dict, width: int = 8) -> list[np.ndarray]:
+    """The keys of a chunk's answers, in order, and what came with them."""
     parts = row["answers"] or []
-    out = [np.concatenate([unpack(p[c], t) for p in parts]) if parts else np.zeros(0, t) for c, t in dtypes.items()]
+    out = [np.concatenate([unpack_keys(p["keys"], width) for p in parts]) if parts else np.zeros(0, U64)]
+    out += [np.concatenate([unpack(p[c], t) for p in parts]) if parts else np.zeros(0, t) for c, t in dtypes.items()]
     order = np.argsort(out[0])
     return [x[order] for x in out]
 

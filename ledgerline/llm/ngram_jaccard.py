@@ -1,6 +1,7 @@
 """Self join of documents by Jaccard similarity of word shingles: T-occurrence search with DivideSkip.
 
-1. A fixed-size table of hashed shingle counts gives every shingle a global order, rare ones first.
+1. Chunks of documents exchange their shingles, which gives every shingle its number of occurrences
+   and so a global order, rare ones first.
 2. Documents with equal sets form a class. Two classes that link share a shingle of their prefixes
    (the rarest tenth); star edges over prefix shingles give groups outside which nothing can link.
 3. Within a group each set is a query against inverted lists: short lists are merged and counted,
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import Chunk, exchange, find, rows_of, to_chunks, told, with_answers
 from .common import _WIN, U64, Scratch, Words, _ranges, by_bucket, mix, pack, shuffle_parts, text_batches, unpack
 from .components import components
 
-COUNTERS = 1 << 18
-SLICES = 16
+#: Shingle counts travel under the low 48 bits of a hash; where two shingles share them the order is as good.
+KEY_BYTES = 6
+KEY = U64((1 << 48) - 1)
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,44 +54,41 @@ def needed(size: int, ratio: int) -> int:
     return -(-ratio * size // 100)
 
 
-def _order_table(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of shingles by their hash modulo COUNTERS: 2 MB, whatever the input."""
-    width = COUNTERS // SLICES
+def _shingle_keys(k: int):
+    def keys_of(row):
+        chunk = Chunk(row)
+        keys, count = np.unique(shingle_sets(chunk.offsets, chunk.data, k)[1] & KEY, return_counts=True)
+        return keys, [np.minimum(count, 255)]
 
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for _, o, b in text_batches(batches):
-            total += np.bincount((shingle_sets(o, b, k)[1] % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pack(x) for x in total.reshape(SLICES, width)], pa.binary())], names=["slice", "counts"])
+    return keys_of
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum((unpack(x, np.int64) for x in table["counts"].to_pylist()), np.zeros(width, np.int64))
-        return pa.table({"slice": table["slice"][:1], "counts": pa.array([pack(total)], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros((SLICES, width), np.int64)
-    for r in rows:
-        out[r["slice"]] = unpack(r["counts"], np.int64)
-    return out.ravel()
+def _shingle_answer(keys, values, source):
+    """How many documents have a shingle, up to 255, where it is more than one."""
+    _, inverse = np.unique(keys, return_inverse=True)
+    total = np.bincount(inverse, values[0])[inverse]
+    return total > 1, [np.minimum(total, 255)]
 
 
-def _profiles(docs: DataFrame, table, k: int, ratio: int) -> DataFrame:
+def _profiles(chunks: DataFrame, k: int, ratio: int) -> DataFrame:
     """(doc_id, n, s1, s2, prefix): set size, 128-bit signature of the set, its rarest shingles."""
 
     def run(batches):
-        count = table.value
-        for batch, o, b in text_batches(batches):
-            ptr, tokens = shingle_sets(o, b, k)
+        for row in rows_of(batches):
+            chunk = Chunk(row)
+            keys, counts = told(row, {"a0": np.uint8}, KEY_BYTES)
+            ptr, tokens = shingle_sets(chunk.offsets, chunk.data, k)
             n = np.diff(ptr)
             sums = [np.concatenate([[U64(0)], np.cumsum(mix(tokens ^ U64(s)))]) for s in (0x1234567, 0x89ABCDEF01)]
             s1, s2 = ((s[ptr[1:]] - s[ptr[:-1]]).view(np.int64) for s in sums)
-            doc = np.repeat(np.arange(len(n)), n)
-            rank = np.lexsort((tokens, count[(tokens % U64(COUNTERS)).astype(np.int64)], doc))
+            at = find(keys, tokens & KEY)
+            common = np.where(at >= 0, counts[at] if len(counts) else 1, 1)
+            rank = np.lexsort((tokens, common, np.repeat(np.arange(len(n)), n)))
             tokens = tokens[rank]
             prefix = [pack(tokens[p : p + m - needed(m, ratio) + 1]) if m else None for p, m in zip(ptr, n.tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids, mask=~chunk.known), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary")
+    return chunks.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary")
 
 
 def _prefix_edges(reps: DataFrame, buckets: int) -> DataFrame:
@@ -194,16 +194,19 @@ def similarity_components(docs: DataFrame, ratio: int = 90, k: int = 3, task_shi
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    table = spark.sparkContext.broadcast(_order_table(docs, k))
-    profiles = scratch.save(_profiles(docs, table, k, ratio), "profiles")
+    buckets = 2 * shuffle_parts(spark)
+    chunks = scratch.save(to_chunks(docs), "chunks")
+    counts = scratch.save(exchange(chunks, _shingle_keys(k), _shingle_answer, [np.uint8], buckets, [np.uint8], KEY_BYTES), "counts")
+    profiles = scratch.save(_profiles(with_answers(chunks, counts), k, ratio), "profiles")
+    scratch.drop(chunks, counts)
     some = profiles.where("n > 0 and doc_id is not null")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes, "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    groups = components(_prefix_edges(reps, 4 * shuffle_parts(spark)), scratch)
+    groups = components(_prefix_edges(reps, buckets), scratch)
     sizes = reps.join(groups.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "component", "n", "s1", "s2")
     sizes = scratch.save(sizes, "members")
-    weight = sizes.groupBy("component").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("blocks"))
+    weight = scratch.save(sizes.groupBy("component").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("blocks")), "weights")
 
     def to_sets(batches):
         for batch, o, b in text_batches(batches):
@@ -212,8 +215,10 @@ def similarity_components(docs: DataFrame, ratio: int = 90, k: int = 3, task_shi
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("component", "blocks", "doc_id")] + [pa.array(sets, pa.binary())], names=["component", "blocks", "doc_id", "tokens"])
 
     text = docs.where("doc_id is not null").select("doc_id", "text")
-    members = sizes.select("doc_id", "component").join(weight, "component").join(text, "doc_id").select("component", "blocks", "doc_id", "text")
-    sets = scratch.save(members.mapInArrow(to_sets, "component long, blocks int, doc_id long, tokens binary"), "sets")
+
+    def sets_of(groups):
+        members = sizes.select("doc_id", "component").join(groups, "component").join(text, "doc_id").select("component", "blocks", "doc_id", "text")
+        return members.mapInArrow(to_sets, "component long, blocks int, doc_id long, tokens binary")
 
     def links(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_numpy()
@@ -227,9 +232,9 @@ def similarity_components(docs: DataFrame, ratio: int = 90, k: int = 3, task_shi
         apart = root != np.arange(len(ids))
         return pa.table({"a": pa.array(ids[root[apart]], pa.int64()), "b": pa.array(ids[apart], pa.int64())})
 
-    edges = sets.where("blocks <= 1").groupBy("component").applyInArrow(links, "a long, b long")
-    large = sets.where("blocks > 1")
-    if not large.isEmpty():
+    edges = scratch.save(sets_of(weight.where("blocks <= 1")).groupBy("component").applyInArrow(links, "a long, b long"), "links")
+    if not weight.where("blocks > 1").isEmpty():
+        large = scratch.save(sets_of(weight.where("blocks > 1")), "large")
         edges = edges.unionByName(_large_groups(large, scratch, ratio, links))
     found = components(edges, scratch)
     classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("n", "s1", "s2", "component")
