@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import U64, by_bucket, mix, pack, text_batches, unpack
 
 CHUNK = "chunk_id long, ids binary, known binary, offsets binary, data binary"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def to_chunks(docs: DataFrame) -> DataFrame:
