@@ -50,5 +50,25 @@ def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors,)}
+#: Shares of tokens that the mixture aims at.
+MIX_TARGETS = {"clean": 0.90, "poor": 0.07, "toxic": 0.03}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """The labelled table's domains: toxic, else poor or clean by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import fit_mixture, with_rates
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    mixture = fit_mixture(docs, domain_labels(read(spark, sf_dir, "labels")), MIX_TARGETS)
+    rated = with_rates(docs, mixture)
+    posteriors = [F.col("posterior")[k].alias(f"p_{n}") for k, n in enumerate(MIX_TARGETS)]
+    return rated.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing,)}
 ORACLES: dict[str, str] = {}
