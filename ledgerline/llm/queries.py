@@ -70,5 +70,22 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing,)}
+def op8_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .isolation_rules import BASE, apply_rules, fit_forest
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = fit_forest(docs, read(spark, sf_dir, "labels"))
+    return apply_rules(docs, forest).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf_language import fit_language, predict_language
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs.where(_crc() % 5 != 0))
+    found = predict_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_crc() % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language,)}
 ORACLES: dict[str, str] = {}
