@@ -87,5 +87,11 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_crc() % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language,)}
+def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pq_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation,)}
 ORACLES: dict[str, str] = {}
