@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 
 
 def _tokenizer(name: str) -> str:
@@ -93,5 +93,13 @@ def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation,)}
+def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman_ids import read_ids, write_ids
+
+    path = Scratch(spark).path("huffman")
+    write_ids(read(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"))
+    return read_ids(spark, path).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation, op6_huffman_ids,)}
 ORACLES: dict[str, str] = {}
