@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .chunks import Chunk, exchange, find, rows_of, to_chunks, told, with_answers
 from .common import U64, Scratch, Words, covered, shuffle_parts
 
+#: Block keys travel as the low 48 bits of a hash; a false hit only adds windows, which are compared by 128 bits.
+KEY_BYTES = 6
+KEY = U64((1 << 48) - 1)
 _NONE = np.iinfo(np.int64).max
 
 
@@ -36,7 +39,7 @@ def _probe_keys(window: int):
     def keys_of(row):
         chunk = Chunk(row)
         _, _, _, key, anchor, doc = _blocks(chunk, window)
-        kinds, inverse = np.unique(key, return_inverse=True)
+        kinds, inverse = np.unique(key & KEY, return_inverse=True)
         flags = np.zeros(len(kinds), np.uint8)
         flags[inverse[anchor]] |= 1
         low = np.full(len(kinds), _NONE)
@@ -60,10 +63,10 @@ def _extended(row, window: int):
     """Windows of a chunk around the blocks that hit: start word, two 64-bit keys, document."""
     chunk = Chunk(row)
     words, hashes, at, key, _, _ = _blocks(chunk, window)
-    (hits,) = told(row, {})
+    (hits,) = told(row, {}, KEY_BYTES)
     n = len(words.starts)
     hit = np.zeros(n + 1, np.int64)
-    hit[at[find(hits, key) >= 0] + 1] = 1
+    hit[at[find(hits, key & KEY) >= 0] + 1] = 1
     hit = np.cumsum(hit)
     starts, k1 = words.windows(hashes, window)
     size = (window + 1) // 2
@@ -133,7 +136,7 @@ def repeated_words(docs: DataFrame, window: int, finish, schema: str) -> DataFra
     scratch = Scratch(docs.sparkSession)
     buckets = 2 * shuffle_parts(docs.sparkSession)
     chunks = scratch.save(to_chunks(docs), "chunks")
-    hits = scratch.save(exchange(chunks, _probe_keys(window), _probe_answer, [np.uint8], buckets, []), "hits")
+    hits = scratch.save(exchange(chunks, _probe_keys(window), _probe_answer, [np.uint8], buckets, [], KEY_BYTES), "hits")
     hit_chunks = with_answers(chunks, hits)
     lows = scratch.save(exchange(hit_chunks.where("answers is not null"), _window_keys(window), _window_answer, [U64, np.int64, np.uint8], buckets, [U64, np.int64]), "lows")
     last = lows.groupBy("chunk_id").agg(F.collect_list(F.struct("keys", "a0", "a1")).alias("lows"))

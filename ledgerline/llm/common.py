@@ -34,13 +34,12 @@ class Scratch:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it reread; the shuffle files behind it can then go."""
+        """Write df and return it reread. Shuffle files of tables saved before can go first."""
+        self.sweep()
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        del df
-        self.sweep()
         return out
 
     def sweep(self) -> None:
