@@ -60,7 +60,7 @@ class Scratch:
 
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which is set to suit the input."""
-    return min(4096, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(32768, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

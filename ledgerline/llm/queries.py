@@ -101,5 +101,11 @@ def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation, op6_huffman_ids,)}
+def op1_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bwt_dedup import remove_repeated_bytes
+
+    return remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation, op6_huffman_ids, op1_bwt_merge,)}
 ORACLES: dict[str, str] = {}
