@@ -1,11 +1,62 @@
-"""Corpus pipeline: quality, near duplicates, repeated passages, mixture, packing."""
+"""Corpus pipeline: quality, near duplicates, repeated passages, mixture, packing.
+
+Each stage takes what the one before kept and returns the columns of documents, the last one the
+pieces of packed sequences. Near duplicates share four fifths of their five-word shingles.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm.block_substring import drop_repeats
+from ledgerline.llm.common import Scratch, read
+from ledgerline.llm.mixing import fit_mixture, with_rates
+from ledgerline.llm.ngram_jaccard import keep_one
+from ledgerline.llm.packing import pack_examples
+from ledgerline.llm.queries import domain_labels, tokenizer_path
+from ledgerline.llm.rule_quality import fit_quality, score_quality
+
+#: Shares of tokens that the mixture stage aims at, among what the quality stage kept.
+TARGETS = {"clean": 0.98, "toxic": 0.02}
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble scores 0.7 or more."""
+    model = fit_quality(docs, read(spark, sf_dir, "labels"))
+    return score_quality(docs, model, "_quality_score").where("_quality_score >= 0.7").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one(docs, ratio=80, k=5)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document before them has."""
+    return drop_repeats(docs, window=13)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its rate says; toxic ones mostly not at all."""
+    fitted = fit_mixture(docs, domain_labels(read(spark, sf_dir, "labels")), TARGETS)
+    rated = with_rates(docs, fitted).where("copies > 0")
+    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return pack_examples(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mixture", mixture), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages applied to documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to documents, each written and read again."""
+    scratch = Scratch(spark)
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

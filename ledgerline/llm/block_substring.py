@@ -131,11 +131,11 @@ def _removed(row, window: int) -> tuple[Chunk, Words, np.ndarray]:
     return chunk, words, covered(starts[gone], window, len(words.starts))
 
 
-def repeated_words(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int, finish, schema: str, extra: list[str] | None = None) -> DataFrame:
     """finish(chunk, words, mask of removed words) -> Arrow batch, over chunks of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
     buckets = 2 * shuffle_parts(docs.sparkSession)
-    chunks = scratch.save(to_chunks(docs), "chunks")
+    chunks = scratch.save(to_chunks(docs, extra), "chunks")
     hits = scratch.save(exchange(chunks, _probe_keys(window), _probe_answer, [np.uint8], buckets, [], KEY_BYTES), "hits")
     hit_chunks = with_answers(chunks, hits)
     lows = scratch.save(exchange(hit_chunks.where("answers is not null"), _window_keys(window), _window_answer, [U64, np.int64, np.uint8], buckets, [U64, np.int64]), "lows")
@@ -174,3 +174,28 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(chunk.ids, mask=~chunk.known), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return repeated_words(docs, window, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """docs with repeated words taken out of text, under the rule of remove_repeats; all columns stay.
+
+    A text that loses nothing stays as it is; others keep their words joined by a space, and a row
+    whose words all go is dropped. A column n_chars, if there is one, is counted anew.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def finish(chunk, words, gone):
+        raw, o = chunk.data.tobytes(), chunk.offsets.tolist()
+        texts, stay = [], []
+        for d, n, m, t in _texts(chunk, words, gone):
+            texts.append(t if m else raw[o[d] : o[d + 1]])
+            stay.append(m < n or not m)
+        out = [pa.array(chunk.ids, mask=~chunk.known), pa.array(texts, pa.binary()).cast(pa.string()), *(chunk.columns() if others else [])]
+        return pa.RecordBatch.from_arrays(out, names=["doc_id", "text", *[f"_{k}" for k in range(len(others))]]).filter(pa.array(stay))
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(["doc_id long", "text string", *[f"_{k} {kinds[c]}" for k, c in enumerate(others)]])
+    out = repeated_words(docs, window, finish, schema, others).withColumnsRenamed({f"_{k}": c for k, c in enumerate(others)})
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
+    return out.select(*docs.columns)

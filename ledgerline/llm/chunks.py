@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import U64, by_bucket, mix, pack, text_batches, unpack
 
-CHUNK = "chunk_id long, ids binary, known binary, offsets binary, data binary"
+CHUNK = "chunk_id long, ids binary, known binary, offsets binary, data binary, extra binary"
 CHUNK_BYTES = 2 << 20
 
 
-def to_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of docs (doc_id, text). known marks ids that are not null; null texts are empty."""
+def to_chunks(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Chunks of docs (doc_id, text). known marks ids that are not null; null texts are empty.
+
+    extra names columns that a chunk carries along, as Arrow bytes.
+    """
+    names = [f"_{k}" for k in range(len(extra or []))]
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
@@ -37,20 +41,27 @@ def to_chunks(docs: DataFrame) -> DataFrame:
             known = np.concatenate([h[1] for h in held])
             lens = np.concatenate([np.diff(h[2]) for h in held])
             data = b"".join(h[3] for h in held)
-            row = [base + n, pack(ids), pack(known), pack(np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)), data]
+            more = None
+            if names:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0][4].schema) as out:
+                    for h in held:
+                        out.write_batch(h[4])
+                more = sink.getvalue().to_pybytes()
+            row = [base + n, pack(ids), pack(known), pack(np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)), data, more]
             held, size, n = [], 0, n + 1
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["chunk_id", "ids", "known", "offsets", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["chunk_id", "ids", "known", "offsets", "data", "extra"])
 
         for batch, o, b in text_batches(batches, limit=CHUNK_BYTES):
             if size and size + len(b) > CHUNK_BYTES:
                 yield flush()
             ids = batch.column("doc_id").cast(pa.int64())
-            held.append((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), o, b.tobytes()))
+            held.append((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), o, b.tobytes(), batch.select(names)))
             size += len(b)
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, CHUNK)
+    return docs.select("doc_id", "text", *[docs[c].alias(k) for c, k in zip(extra or [], names, strict=True)]).mapInArrow(run, CHUNK)
 
 
 def rows_of(batches):
@@ -68,6 +79,12 @@ class Chunk:
         self.known = unpack(row["known"], bool)
         self.offsets = unpack(row["offsets"], np.int64)
         self.data = unpack(row["data"], np.uint8)
+        self.extra = row["extra"]
+
+    def columns(self) -> list[pa.Array]:
+        """The columns carried along."""
+        table = pa.ipc.open_stream(self.extra).read_all().combine_chunks()
+        return [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
 
 
 def pack_keys(keys: np.ndarray, width: int) -> bytes:

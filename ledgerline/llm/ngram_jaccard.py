@@ -274,3 +274,10 @@ def _once(table: pa.Table) -> pa.Table:
     order = np.lexsort((~table["query"].to_numpy(zero_copy_only=False), table["doc_id"].to_numpy()))
     ids = table["doc_id"].to_numpy()[order]
     return table.take(order[np.append(True, ids[1:] != ids[:-1])])
+
+
+def keep_one(docs: DataFrame, ratio: int = 80, k: int = 5) -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id; null doc_ids and other columns stay."""
+    found = similarity_components(docs, ratio, k)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """A public tokenizer file; TOKENIZER_DIR points elsewhere if it is set."""
     if folder := os.environ.get("TOKENIZER_DIR"):
         return os.path.join(folder, name)
@@ -22,7 +22,7 @@ def _tokenizer(name: str) -> str:
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_examples
 
-    return pack_examples(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return pack_examples(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def _crc(column: str = "doc_id"):
@@ -97,7 +97,7 @@ def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .huffman_ids import read_ids, write_ids
 
     path = Scratch(spark).path("huffman")
-    write_ids(read(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"))
+    write_ids(read(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return read_ids(spark, path).drop("ids")
 
 
