@@ -1,6 +1,7 @@
 """Documents packed into chunks of a few MB, and the exchange of keys between chunks by bucket.
 
-A chunk is one row (chunk_id, ids, offsets, data, extra): a run of whole documents that one task read.
+A chunk is one row (chunk_id, ids, known, offsets, data, extra): a run of whole documents that one task
+read, its bytes compressed.
 Chunks are written to the shared folder once, so every later pass sees the same ones. In an exchange
 each chunk sends every key once, with the smallest document id that has it there, to the key's bucket;
 a bucket answers each chunk that sent a key which matters. What is sent for a key is thus bounded by
@@ -40,7 +41,7 @@ def to_chunks(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
             ids = np.concatenate([h[0] for h in held])
             known = np.concatenate([h[1] for h in held])
             lens = np.concatenate([np.diff(h[2]) for h in held])
-            data = b"".join(h[3] for h in held)
+            data = pa.compress(b"".join(h[3] for h in held), codec="zstd", asbytes=True)
             more = None
             if names:
                 sink = pa.BufferOutputStream()
@@ -78,7 +79,8 @@ class Chunk:
         self.ids = unpack(row["ids"], np.int64)
         self.known = unpack(row["known"], bool)
         self.offsets = unpack(row["offsets"], np.int64)
-        self.data = unpack(row["data"], np.uint8)
+        size = int(self.offsets[-1])
+        self.data = np.frombuffer(pa.decompress(row["data"], size, codec="zstd"), np.uint8) if size else np.zeros(0, np.uint8)
         self.extra = row["extra"]
 
     def columns(self) -> list[pa.Array]:
