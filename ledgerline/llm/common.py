@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +15,9 @@ U64 = np.uint64
 BLOCK_BYTES = 3 << 20
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the cluster's shared checkpoint folder: they cut lineage and outlive executors."""
 
@@ -34,19 +36,18 @@ class Scratch:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it reread. Shuffle files of tables saved before can go first."""
-        self.sweep()
-        path = self.path(name)
-        df.write.parquet(path)
+        """Write df and return it reread; its shuffle files go as soon as it is written."""
+        path, conf = self.path(name), self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
-    def sweep(self) -> None:
-        """Let Spark's cleaner drop shuffle files of finished stages; it acts when the driver collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
