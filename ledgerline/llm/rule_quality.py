@@ -132,6 +132,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pena
     order = np.lexsort([*x.T, y])
     x, y = x[order], y[order]
     paths = list(dict.fromkeys(tree_rules(x, y, np.random.default_rng(seed))))
+    if not paths:  # too few rows for any split
+        return RuleModel(float(np.log(share / (1 - share))))
     z = np.stack([np.logical_and.reduce([(x[:, f] > t) if above else (x[:, f] <= t) for f, above, t in p]) for p in paths], 1).astype(np.float32)
     _, first = np.unique(z, axis=1, return_index=True)
     first.sort()
