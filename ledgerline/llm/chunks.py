@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_bucket, mix, pack, text_batches, unpack
+from .common import U64, by_bucket, mix, pack, release, text_batches, unpack
 
 CHUNK = "chunk_id long, ids binary, known binary, offsets binary, data binary, extra binary"
 CHUNK_BYTES = 2 << 20
@@ -70,7 +70,7 @@ def rows_of(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 class Chunk:
@@ -144,7 +144,10 @@ def exchange(chunks: DataFrame, keys_of: Callable, answer: Callable, dtypes: lis
                 rows["keys"].append(pack_keys(keys[lo:hi][m], width))
                 for i, t in enumerate(answers):
                     rows[f"a{i}"].append(pack(np.asarray(given[i], t)[lo:hi][m]))
-        return pa.table({c: pa.array(v, pa.int64() if c == "chunk_id" else pa.binary()) for c, v in rows.items()})
+        out = pa.table({c: pa.array(v, pa.int64() if c == "chunk_id" else pa.binary()) for c, v in rows.items()})
+        del raw, keys, values, mask, given
+        release()
+        return out
 
     return chunks.mapInArrow(send, schema).groupBy("bucket").applyInArrow(meet, reply)
 

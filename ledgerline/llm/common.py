@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+_trim = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
 #: Bytes of text that one numpy step works on; bounds the memory of a task whatever the batch size.
 BLOCK_BYTES = 3 << 20
 
@@ -99,12 +103,22 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def text_batches(batches, column: str = "text", limit: int = BLOCK_BYTES):
     """(record batch slice, offsets, bytes) for slices of at most about limit bytes of text."""
     for batch in batches:
         o, b = text_buffer(batch.column(column))
         for i, j in blocks(o, limit):
             yield batch.slice(i, j - i), o[i : j + 1] - o[i], b[o[i] : o[j]]
+        del o, b
+        release()
 
 
 # ---------------------------------------------------------------- words and hashes

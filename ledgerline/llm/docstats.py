@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import _TABLES, U64, Words, _ranges, blocks, covered, mix, text_buffer
+from .common import _TABLES, U64, Words, _ranges, blocks, covered, mix, release, text_buffer
 
 # The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -79,6 +79,7 @@ def stats_column(text):
     def stats(col: pa.Array) -> pa.Array:
         offsets, data = text_buffer(col)
         parts = [block_stats(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]) for i, j in blocks(offsets)]
+        release()
         return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for c in COUNTS], names=COUNTS)
 
     return stats(text)
