@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import Scratch, read
 
 
@@ -108,4 +109,4 @@ def op1_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation, op6_huffman_ids, op1_bwt_merge,)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_bwt_merge": oracles.OP1, "op3_product_quantisation": oracles.OP3, "op4_block_anchors": oracles.OP4, "op9_divide_skip_join": oracles.OP9}
