@@ -112,19 +112,25 @@ def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of all rotations of a text whose strings each end with symbol 0, and its transform."""
     n = len(symbols)
     rank = symbols.astype(np.int64)
-    for k in (1, 2):  # the first four symbols at once
+    for k in (1, 2):  # the first four symbols, then seven, at once
         rank = rank << (9 * k) | np.roll(rank, -k)
-    h = 4
+    rank = rank << 27 | np.roll(rank, -4) >> 9
+    order = np.argsort(rank)
+    slots, keys, place = np.arange(n), rank[order], np.empty(n, np.int64)
+    h = 7
     while True:
-        order = np.argsort(rank, kind="stable")
-        sorted_ = rank[order]
-        step = np.ones(n, bool)
-        step[1:] = sorted_[1:] != sorted_[:-1]
-        if step.all() or h >= 4 * n:
+        # a group of equal rotations is named by its first slot; only groups of several are sorted on
+        step = np.ones(len(keys) + 1, bool)
+        step[1:-1] = keys[1:] != keys[:-1]
+        head = step[:-1]
+        place[order[slots]] = slots[head][np.cumsum(head) - 1]
+        slots = slots[~(head & step[1:])]
+        if not len(slots) or h >= 4 * n:
             break
-        place = np.empty(n, np.int64)
-        place[order] = np.cumsum(step) - 1
-        rank = place << 32 | np.roll(place, -h)
+        open_ = order[slots]
+        keys = place[open_] << 32 | place[(open_ + h) % n]
+        spot = np.argsort(keys)
+        order[slots], keys = open_[spot], keys[spot]
         h *= 2
     return order, symbols[order - 1]
 
@@ -150,14 +156,14 @@ def repeated_intervals(texts: np.ndarray, ends: np.ndarray, window: int) -> tupl
         origin[inner] = np.arange(lo, ends[mine[-1]])
         origin[~inner] = ends[mine]
         order, last = transform(symbols)
-        back = np.empty(len(last), np.int64)
-        back[np.argsort(last, kind="stable")] = np.arange(len(last))
-        move.append(back + base)
+        back = np.empty(len(last), np.int32)
+        back[np.argsort(last, kind="stable")] = np.arange(len(last), dtype=np.int32)
+        move.append(back + np.int32(base))
         bwt.append(last)
         where.append(origin[order])
         base += len(last)
     move, bwt, where = np.concatenate(move), np.concatenate(bwt), np.concatenate(where)
-    rows, block = np.arange(base), np.zeros(base, np.int32)
+    rows, block = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
     for _ in range(window):
         symbol = bwt[rows]
         inside = symbol > 0
