@@ -32,3 +32,30 @@ def scored_pairs(pairs: DataFrame, a: str, b: str, cutoff: float, out: str = "ra
     """Distinct (a, b) of pairs whose ratio is at least cutoff."""
     distinct = pairs.where(may_reach(F.col(a), F.col(b), cutoff)).select(a, b).distinct()
     return distinct.withColumn(out, _ratio(a, b)).where(F.col(out) >= cutoff)
+
+
+def numbered_chars(c: Column) -> Column:
+    """Characters of a nonempty text, each with the number of its occurrence, so a bag of them is a set."""
+    chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)))
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
+def prefix_pairs(left: DataFrame, a: str, right: DataFrame, b: str, cutoff: float) -> DataFrame:
+    """Distinct (a, b) of two tables' nonempty texts: all pairs whose ratio may reach cutoff, and few others.
+
+    A ratio counts characters in common, so both bags must overlap in cutoff / 2 of all characters. Then
+    the rarest characters of each, one more than it can do without, have one in common, on which pairs
+    are joined; those whose lengths or bags are too far apart go.
+    """
+    sides = [t.select(F.col(c).alias("s")).distinct().withColumn("bag", numbered_chars(F.col("s"))) for t, c in ((left, a), (right, b))]
+    counts = sides[1].select(F.explode_outer("bag").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    heads = []
+    for t in sides:
+        tokens = t.select("s", F.explode_outer("bag").alias("token")).join(counts, "token", "left")
+        ranked = tokens.groupBy("s").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
+        keep = F.size("t") - F.ceil(F.size("t") * (cutoff / (2 - cutoff)) - 1e-9).cast("int") + 1
+        heads.append(ranked.select("s", F.explode(F.slice("t", F.lit(1), keep)["token"]).alias("token")))
+    x, y = heads[0].withColumnRenamed("s", a), heads[1].withColumnRenamed("s", b)
+    pairs = x.join(y, "token").where(may_reach(F.col(a), F.col(b), cutoff)).select(a, b).distinct()
+    common = F.size(F.array_intersect(numbered_chars(F.col(a)), numbered_chars(F.col(b))))
+    return pairs.where(common >= (F.length(a) + F.length(b)) * (cutoff / 2) - 1e-9)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import is_blank
-from ..functions.similarity import scored_pairs
+from ..functions.similarity import prefix_pairs, scored_pairs
 from ..functions.text import digit_free, name_part, normalize_key, postcode_key
 
 FUZZY_CUTOFF = 0.85
@@ -67,14 +67,12 @@ def match_batch(batch: DataFrame, master: DataFrame, fuzzy: bool = True) -> Data
 def suggest_similar(rows: DataFrame, master: DataFrame, top: int = 3) -> DataFrame:
     """(building, suggestion, ratio): master buildings like the digit-free buildings of rows, at most `top` each.
 
-    Names are compared by building alone. Distinct keys that share a word or a first letter are the
-    candidates, which keeps the number of pairs well below all; ties go by key.
+    Names are compared by building alone, with every distinct key of the master. Candidates share a
+    character among the rarest of each, which every pair with the ratio meets; ties go by key.
     """
     new = rows.where(digit_free(F.col("building"))).select("building", normalize_key(F.col("building")).alias("_new")).where("_new <> ''").distinct()
     old = master.select(normalize_key(F.col("building")).alias("_old"), "building").where("_old <> ''").groupBy("_old").agg(F.min("building").alias("suggestion"))
-    blocks = lambda c: F.array_distinct(F.concat(F.split(c, " "), F.array(F.substring(c, 1, 1))))
-    pairs = new.select("_new", F.explode(blocks(F.col("_new"))).alias("b")).distinct().join(old.select("_old", F.explode(blocks(F.col("_old"))).alias("b")), "b")
-    near = scored_pairs(pairs, "_old", "_new", FUZZY_CUTOFF)
+    near = scored_pairs(prefix_pairs(new, "_new", old, "_old", FUZZY_CUTOFF), "_old", "_new", FUZZY_CUTOFF)
     best = near.groupBy("_new").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "_old"))), 1, top).alias("best"))
     flat = best.select("_new", F.explode("best").alias("x")).select("_new", F.col("x._old").alias("_old"), (-F.col("x.r")).alias("ratio"))
     return new.join(flat, "_new").join(old, "_old").select("building", "suggestion", "ratio")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import digit_free
 from ..operators.diff import diff_matches
 from ..operators.enrich import match_units
 from ..operators.match import match_batch, suggest_similar
@@ -62,7 +61,7 @@ def match_fuzzy(spark, sf):
 @query(None)
 def suggest_near(spark, sf):
     batch, master = sides(spark, sf)
-    return suggest_similar(batch, master.where(digit_free(F.col("building"))))
+    return suggest_similar(batch, master)
 
 
 @query(f"{_DIFFS} SELECT batch_pos, field FROM diffs")
