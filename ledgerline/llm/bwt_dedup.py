@@ -5,7 +5,8 @@
    documents or more go on.
 2. The windows of one anchor occurrence form a snippet. Distinct snippets of a chunk go to the
    anchor's bucket, where they are dealt to shards. Each shard is sorted once, which gives its
-   transform. The transforms are merged by refining their interleave: a stable pass by preceding
+   transform. The windows of an anchor with very many snippets are snippets of their own and go
+   by their whole text, so it spreads over all buckets. The transforms are merged by refining their interleave: a stable pass by preceding
    symbol turns the order by h symbols into the order by h + 1, and a boundary between neighbours
    that appears in pass h is a common prefix of h - 1. After as many passes as the window is long
    the intervals without a boundary are the repeated windows. No suffix is compared again.
@@ -29,6 +30,8 @@ KEY = U64((1 << 48) - 1)
 GRAM = 20
 #: Text of a shard whose transform is built at once.
 SHARD_BYTES = 1 << 19
+#: Snippets sent of an anchor, over all chunks, above which its windows are dealt singly.
+HOT = 1 << 15
 _NONE = np.iinfo(np.int64).max
 
 
@@ -63,43 +66,66 @@ def _ids(chunk: Chunk) -> np.ndarray:
     return np.where(chunk.known, chunk.ids, _NONE)
 
 
+def _hash(chunk: Chunk, a: np.ndarray, b: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the text and anchor of runs of windows."""
+    return mix(_ranges(_TABLES[1][chunk.data], _ODD[1], a, b + window) ^ key ^ mix((b - a).astype(U64)))
+
+
 def _anchor_keys(window: int):
     def keys_of(row):
         chunk = Chunk(row)
-        _, _, key, doc = anchors(chunk, window)
+        a, b, key, doc = anchors(chunk, window)
         kinds, inverse = np.unique(key, return_inverse=True)
         low = np.full(len(kinds), _NONE)
         np.minimum.at(low, inverse, doc)
         more = np.zeros(len(kinds), np.uint8)
         more[inverse[doc != low[inverse]]] = 1
-        return kinds, [more]
+        # above that bit, the number of distinct snippets as quarters of its binary logarithm, rounded up
+        _, show = np.unique(_hash(chunk, a, b, key, window), return_index=True)
+        count = np.ceil(4 * np.log2(np.bincount(inverse[show], minlength=len(kinds)))).astype(np.uint8)
+        return kinds, [more | count << np.uint8(1)]
 
     return keys_of
 
 
-def _anchor_answer(keys, values, source):
-    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-    more = np.bincount(inverse, values[0]) > 0
-    return ((count > 1) | more)[inverse], []
+def _anchor_answer(hot: int):
+    def answer(keys, values, source):
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        more = np.bincount(inverse, values[0] & 1) > 0
+        busy = np.bincount(inverse, 2.0 ** ((values[0] >> 1) / 4)) > hot
+        return ((count > 1) | more)[inverse], [busy[inverse]]
+
+    return answer
 
 
 def snippets(row, window: int):
-    """Runs of a chunk that go on, and its distinct snippets in a fixed order.
+    """Runs of a chunk that go on, its distinct snippets, and the distinct pieces of them that are sent.
 
-    Returns the chunk, (a, b, document id) of each run, each run's snippet, and of the snippets: a run
-    that shows it, its smallest document id and anchor key.
+    Returns the chunk, (a, b, document id) of each run, each run's snippet, each snippet's smallest
+    document id, and (snippet, offset in it, piece) of its pieces; of the pieces, in a fixed order, the
+    first and last window start, the smallest document id and the key to deal by. A snippet is one
+    piece; those of hot anchors are cut into single windows.
     """
     chunk = Chunk(row)
     a, b, key, doc = anchors(chunk, window)
-    (hits,) = told(row, {}, KEY_BYTES)
-    use = find(hits, key) >= 0
-    a, b, key, doc = a[use], b[use], key[use], doc[use]
-    text = mix(_ranges(_TABLES[1][chunk.data], _ODD[1], a, b + window) ^ key ^ mix((b - a).astype(U64)))
-    _, show, which = np.unique(text, return_index=True, return_inverse=True)
+    hits, hot = told(row, {"a0": np.uint8}, KEY_BYTES)
+    spot = find(hits, key)
+    use = spot >= 0
+    a, b, key, doc, busy = a[use], b[use], key[use], doc[use], hot[spot[use]] > 0
+    _, show, which = np.unique(_hash(chunk, a, b, key, window), return_index=True, return_inverse=True)
     ids = _ids(chunk)[doc]
     low = np.full(len(show), _NONE)
     np.minimum.at(low, which, ids)
-    return chunk, a, b, ids, which, show, low, key[show] if len(show) else np.zeros(0, U64)
+    count = np.where(busy, b - a + 1, 1)[show]
+    of, offset = np.repeat(np.arange(len(show)), count), _spread(np.zeros(len(show), np.int64), count)
+    first = a[show][of] + offset
+    last = np.where(busy[show][of], first, b[show][of])
+    text = _hash(chunk, first, last, key[show][of], window)
+    _, one, piece = np.unique(text, return_index=True, return_inverse=True)
+    least = np.full(len(one), _NONE)
+    np.minimum.at(least, piece, low[of])
+    deal = np.where(busy[show][of], text, key[show][of])[one]
+    return chunk, (a, b, ids), which, low, (of, offset, piece), (first[one], last[one], least, deal)
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -220,21 +246,22 @@ def _bits(table: pa.Table, window: int) -> pa.Table:
     return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs (doc_id, text).
 
     A byte of a text's UTF-8 goes if a window-long string that covers it also starts in a document
     with a smaller doc_id; strings are judged on the input and stay inside a document. n_spans counts
     maximal removed runs; kept holds the rest as binary. Null texts are empty. Rows that repeat a
     doc_id are equals: neither removes the other's bytes. A null doc_id counts as larger than all
-    others. An empty table gives no rows; extra columns are ignored. window is at most 82.
+    others. An empty table gives no rows; extra columns are ignored. window is at most 82. The windows
+    of an anchor with more than about hot snippets are dealt singly; the result is the same.
     """
     if not 1 <= window <= GRAM + 62:
         raise ValueError("window must be from 1 to 82")
     scratch = Scratch(docs.sparkSession)
     buckets = 2 * shuffle_parts(docs.sparkSession)
     chunks = scratch.save(to_chunks(docs), "chunks")
-    hits = scratch.save(exchange(chunks, _anchor_keys(window), _anchor_answer, [np.uint8], buckets, [], KEY_BYTES), "hits")
+    hits = scratch.save(exchange(chunks, _anchor_keys(window), _anchor_answer(hot), [np.uint8], buckets, [np.uint8], KEY_BYTES), "hits")
     marked = with_answers(chunks, hits)
 
     def deal(key):
@@ -242,13 +269,13 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def send(batches):
         for row in rows_of(batches):
-            chunk, a, b, _, _, show, low, key = snippets(row, window)
+            chunk, *_, (a, b, low, key) = snippets(row, window)
             order, cut = deal(key)
             some = [k for k in range(buckets) if cut[k + 1] > cut[k]]
             cols = ([], [], [])
             for k in some:
                 part = order[cut[k] : cut[k + 1]]
-                lo, size = a[show[part]], b[show[part]] - a[show[part]]
+                lo, size = a[part], b[part] - a[part]
                 for c, v in zip(cols, (chunk.data[_spread(lo, size + window)], size.astype(np.uint8), low[part]), strict=True):
                     c.append(pack(v))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk.chunk_id] * len(some), pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "chunk_id", "texts", "sizes", "low"])
@@ -259,11 +286,15 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def finish(batches):
         for row in rows_of(batches):
-            chunk, a, b, ids, which, show, low, key = snippets(row, window)
-            mask = np.zeros(len(show), np.int64)
+            chunk, (a, b, ids), which, low, (of, offset, piece), (_, _, least, key) = snippets(row, window)
+            bits_of = np.zeros(len(key), np.int64)
             order, cut = deal(key)
             for part in row["bits"] or []:
-                mask[order[cut[part["bucket"]] : cut[part["bucket"] + 1]][unpack(part["index"], np.uint32)]] = unpack(part["mask"], np.int64)
+                bits_of[order[cut[part["bucket"]] : cut[part["bucket"] + 1]][unpack(part["index"], np.uint32)]] = unpack(part["mask"], np.int64)
+            # a piece may have a smaller document in this chunk than its snippet
+            sooner = least[piece] < low[of]
+            mask = np.zeros(len(low), np.int64)
+            np.add.at(mask, of, (bits_of[piece] | sooner) << offset)
             windows = b - a + 1
             run = np.repeat(np.arange(len(a)), windows)
             offset = _spread(np.zeros(len(a), np.int64), windows)
