@@ -21,6 +21,10 @@ from .components import components
 EPS = 1e-6
 #: Entries of a list that one task holds; longer lists are split and each part is visited.
 LIST_ROWS = 4000
+#: Queries of a cell that one task holds; more of them are split too, and each block meets every part.
+ASK_ROWS = 16000
+#: Numbers gathered at once for exact cosines.
+GATHER = 1 << 21
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 12) -> np.ndarray:
@@ -76,6 +80,21 @@ def _usable(v: Column, width: int) -> Column:
     return F.coalesce((F.size(v) == width) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels (the smallest index of each one's group) after u and v of each link come into one group."""
+    u, v = label[u], label[v]
+    u, v = np.divmod(np.unique(u[u != v] * len(label) + v[u != v]), len(label))
+    while len(u):
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def _vectors(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
 
@@ -123,11 +142,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, max_sample: int
             yield pa.RecordBatch.from_arrays(out, names=["rep", "n", "cell", "probes", "codes", "error", "x"])
 
     filed = scratch.save(classes.select("rep", "n", "v").mapInArrow(assign, "rep long, n long, cell int, probes array<int>, codes binary, error double, x binary"), "filed")
-    parts = {r["cell"]: -(-r["rows"] // LIST_ROWS) for r in filed.groupBy("cell").agg(F.count("*").alias("rows")).collect()}
-    split = F.create_map(*[F.lit(int(x)) for kv in parts.items() for x in kv])
-    entries = filed.select("cell", F.pmod(F.xxhash64("rep"), split[F.col("cell")].cast("long")).cast("int").alias("part"), F.lit(False).alias("query"), "rep", "n", "codes", "error", "x")
-    asks = filed.select(F.explode("probes").alias("cell"), "rep", "n", "x").where(split[F.col("cell")].isNotNull())
-    asks = asks.select("cell", F.explode(F.sequence(F.lit(0), split[F.col("cell")] - 1)).alias("part"), F.lit(True).alias("query"), "rep", "n", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "x")
+    probed = filed.select(F.explode("probes").alias("cell"), "rep", "n", "x")
+
+    def pieces(table, rows):
+        number = {r["cell"]: -(-r["rows"] // rows) for r in table.groupBy("cell").agg(F.count("*").alias("rows")).collect()}
+        return F.create_map(*[F.lit(int(x)) for kv in number.items() for x in kv])
+
+    split, deal = pieces(filed, LIST_ROWS)[F.col("cell")], pieces(probed, ASK_ROWS)[F.col("cell")]
+    mine = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    entries = filed.select("cell", mine(split).alias("part"), every(deal).alias("block"), F.lit(False).alias("query"), "rep", "n", "codes", "error", "x")
+    asks = probed.where(split.isNotNull()).select("cell", every(split).alias("part"), mine(deal).alias("block"), F.lit(True).alias("query"), "rep", "n", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "x")
 
     def search(table: pa.Table) -> pa.Table:
         q = held.value
@@ -135,7 +160,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, max_sample: int
         ids, count = table["rep"].to_numpy(), table["n"].to_numpy()
         x = _vectors(table["x"], width)
         e, a = np.flatnonzero(~ask), np.flatnonzero(ask)
-        links, pairs = np.zeros(len(a), np.int64), []
+        links = np.zeros(len(a), np.int64)
+        # links join labels block by block and go out as each vector's smallest one reached in here, so rows bound them
+        names, spot = np.unique(ids, return_inverse=True)
+        label = np.arange(len(names))
         if len(e) and len(a):
             codes = np.frombuffer(b"".join(table["codes"].take(pa.array(e)).to_pylist()), np.uint8).reshape(len(e), -1)
             limit = (radius + table["error"].to_numpy()[e] + EPS) ** 2
@@ -147,30 +175,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, max_sample: int
                 far = np.zeros((len(part), len(e)))
                 for j, t in enumerate(tables):
                     far += t[:, codes[:, j]]
-                row, col = np.nonzero(far <= limit[None, :])
-                m, n = part[row], e[col]
-                cosine = np.einsum("ij,ij->i", x[m], x[n]) / (norm[m] * norm[n])
-                ok = (cosine >= threshold) & (ids[m] != ids[n])
-                np.add.at(links, i + row[ok], count[n[ok]])
-                pairs.append(np.stack([ids[m[ok]], ids[n[ok]]], 1))
-        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        # the pairs go out as each vector's smallest partner reached in here, so their number is bounded by the rows
-        names, spot = np.unique(pairs, return_inverse=True)
-        spot = spot.reshape(-1, 2)
-        label = np.arange(len(names))
-        while len(spot):
-            new = label.copy()
-            np.minimum.at(new, spot[:, 0], label[spot[:, 1]])
-            np.minimum.at(new, spot[:, 1], label[spot[:, 0]])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+                rows, cols = np.nonzero(far <= limit[None, :])
+                step = max(1, GATHER // width)
+                for k in range(0, len(rows), step):
+                    row, col = rows[k : k + step], cols[k : k + step]
+                    m, n = part[row], e[col]
+                    cosine = np.einsum("ij,ij->i", x[m], x[n]) / (norm[m] * norm[n])
+                    ok = (cosine >= threshold) & (ids[m] != ids[n])
+                    np.add.at(links, i + row[ok], count[n[ok]])
+                    label = joined(label, spot[m[ok]], spot[n[ok]])
         other = label != np.arange(len(names))
         rep = np.concatenate([ids[a], names[other]])
         return pa.table({"rep": pa.array(rep, pa.int64()), "links": pa.array(np.concatenate([links, np.zeros(other.sum(), np.int64)]), pa.int64()), "b": pa.array(np.concatenate([np.full(len(a), -1), names[label[other]]]), pa.int64()), "edge": pa.array(np.arange(len(rep)) >= len(a))})
 
-    found = scratch.save(entries.unionByName(asks).groupBy("cell", "part").applyInArrow(search, "rep long, links long, b long, edge boolean"), "found")
+    found = scratch.save(entries.unionByName(asks).groupBy("cell", "part", "block").applyInArrow(search, "rep long, links long, b long, edge boolean"), "found")
     groups = components(found.where("edge").select(F.col("rep").alias("a"), "b"), scratch)
     links = found.where("not edge").groupBy("rep").agg(F.sum("links").alias("links"))
     told = classes.select("key", "rep", "n").join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
