@@ -17,6 +17,43 @@ def test_joined():
         assert label.tolist() == [min(groups[i]) for i in range(60)]
 
 
+def brute(ids, x, threshold=0.95):
+    """(vec_id, n_links, component_id, kept) of vectors of one length, in order."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= threshold
+    np.fill_diagonal(near, False)
+    ids, reach = np.array(ids), near | np.eye(len(x), dtype=bool)
+    for _ in range(len(x).bit_length()):
+        reach = reach.astype(float) @ reach > 0
+    label = [ids[r].min() for r in reach]
+    return [(int(i), int(n.sum()), int(c), bool(i == c)) for i, n, c in zip(ids, near, label, strict=True)]
+
+
+def test_repeated_ids_and_lengths(spark):
+    """Rows that share an id are vectors of their own; vectors of another length link among themselves."""
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 8))
+    ids, x = [5, 5, 6, 7, 8, 9, 9], np.stack([a, b, a + 0.01, b + 0.01, b + 0.02, a, a])
+    short, y = [1, 2, 9], np.array([[1.0, 2.0], [1.0, 2.01], [1.0, -2.0]])
+    rows = [(i, v.tolist()) for i, v in zip(ids + short, [*x, *y], strict=True)]
+    got = pq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(ids, x) + brute(short, y))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of cosine 0.95 exactly, the hardest: nearly all are found, and exact search finds all."""
+    rng = np.random.default_rng(8)
+    a, z = rng.normal(size=(2, 3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.stack([a, b], 1).reshape(-1, 64))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for spread, least in ((3.0, 0.99), (8.0, 1.0)):
+        got = pq_dedup.near_duplicates(df, spread=spread).agg({"n_links": "sum"}).first()[0]
+        assert least * 6000 <= got <= 6000
+
+
 def test_dense_group_is_dealt(spark, monkeypatch):
     """No group holds more than a few entries and queries, and the result is that of all pairs."""
     rng = np.random.default_rng(5)
@@ -29,16 +66,10 @@ def test_dense_group_is_dealt(spark, monkeypatch):
 
     def spy(self, *cols):
         if cols and isinstance(cols[0], str) and cols[0] == "cell" and "query" in self.columns:
-            seen.append(grouped(self, *cols).agg({"rep": "count"}).collect())
+            seen.append(grouped(self, *cols).agg({"id": "count"}).collect())
         return grouped(self, *cols)
 
     monkeypatch.setattr(frame, "groupBy", spy)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pq_dedup.near_duplicates(df).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = u @ u.T >= 0.95
-    np.fill_diagonal(near, False)
-    label = np.arange(len(x))
-    for _ in range(len(x)):
-        label = np.minimum(label, np.where(near, label[None, :], len(x)).min(1))
-    assert got == {i: (near[i].sum(), label[i], label[i] == i) for i in range(len(x))}
+    assert got == {i: tuple(rest) for i, *rest in brute(range(len(x)), x)}
     assert len(seen) == 1 and max(r[-1] for r in seen[0]) < 200
