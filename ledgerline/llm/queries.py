@@ -65,8 +65,8 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import fit_mixture, with_rates
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    mixture = fit_mixture(docs, domain_labels(read(spark, sf_dir, "labels")), MIX_TARGETS)
-    rated = with_rates(docs, mixture)
+    mixture = fit_mixture(docs, domain_labels(read(spark, sf_dir, "labels")), MIX_TARGETS, keep=["doc_id"])
+    rated = with_rates(mixture)
     posteriors = [F.col("posterior")[k].alias(f"p_{n}") for k, n in enumerate(MIX_TARGETS)]
     return rated.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
 

@@ -1,9 +1,11 @@
 """Classifiers, rules, language and mixture: edge cases on fixtures, accuracy on held-out rows."""
 
+import math
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,13 +105,61 @@ def test_language_held_out(spark, real):
 def test_mixture_edges(spark, docs, no_docs):
     labels = spark.createDataFrame([(8, "a"), (12, "a"), (15, "b"), (17, "b"), (19, None), (None, "a")], "doc_id long, domain string")
     for rows, target in ((labels, {"a": 0.5, "b": 0.5}), (labels.limit(0), {"a": 1.0, "b": 0.0})):
-        out = with_rates(docs, fit_mixture(docs, rows, target)).collect()
+        out = with_rates(fit_mixture(docs, rows, target)).collect()
         assert len(out) == docs.count() and all(r.rate >= 0 and abs(r.copies - r.rate) < 1 for r in out)
-    assert with_rates(no_docs, fit_mixture(no_docs, labels, {"a": 1.0, "b": 1.0})).count() == 0
+    assert with_rates(fit_mixture(no_docs, labels, {"a": 1.0, "b": 1.0})).count() == 0
     with pytest.raises(ValueError):
         fit_mixture(docs, labels, {"a": -1.0})
 
 
+def test_mixture_keeps_clashing_columns(spark, docs):
+    odd = docs.withColumnsRenamed({"lang": "row", "source": "words", "kept": "f"}).withColumn("e", F.lit(1)).withColumn("rate", F.lit("x"))
+    labels = spark.createDataFrame([(8, "a"), (12, "a"), (15, "b"), (17, "b")], "doc_id long, domain string")
+    out = with_rates(fit_mixture(odd, labels, {"a": 1.0, "b": 1.0}))
+    assert out.columns == [c for c in odd.columns if c != "rate"] + ["n_tokens", "posterior", "rate", "copies"]
+    assert {(r.row, r.words, r.f, r.e) for r in out.collect()} == {("en", "s", "k", 1)}
+
+
+def test_rates_against_numpy(spark, real):
+    """Posteriors and rates again in numpy, from the features of the rows."""
+    docs = real[0].select("doc_id", "text")
+    mixture = fit_mixture(docs, q.domain_labels(real[1]), q.MIX_TARGETS)
+    d, w = mixture.domains, mixture.domains.weights
+    x, tokens, want = [], [], []
+    for r in with_rates(mixture).collect():
+        t = r.text or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        n = max(1, len(ws))
+        f = [1.0, math.log1p(len(ws)), len(t) / n, len(re.findall("[A-Z]", t)) / max(1, len(t)), len(re.findall(r"[#*$%&|<>!]", t)) / n, len(set(ws)) / n]
+        for name in d.names:
+            hits = len(set(ws) & set(d.lexicon.get(name) or ()))
+            f += [min(hits, 1), math.log1p(hits)] if d.lexicon.get(name) else []
+        x.append(f)
+        tokens.append(len(ws))
+        want.append((r.posterior, r.rate, r.n_tokens, r.copies))
+    s = np.array(x) @ w.T
+    p = np.exp(s - s.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert np.allclose(p, [v[0] for v in want], atol=1e-9) and tokens == [v[2] for v in want]
+    share, rate = np.array(tokens) / sum(tokens), np.ones(len(p))
+    goal = np.array([q.MIX_TARGETS[n] for n in d.names]) / sum(q.MIX_TARGETS.values())
+    inverse = np.linalg.inv((share[:, None] * p).T @ p + 1e-6 * np.eye(len(d.names)))
+    for _ in mixture.steps:
+        z = inverse @ (p.T @ (share * rate) - goal)
+        rate = np.maximum(0, rate - (0.01 * (rate - 1) + p @ z) / 1.01)
+    assert np.allclose(rate, [v[1] for v in want], atol=1e-6)
+    assert all(v[3] in (math.floor(v[1]), math.floor(v[1]) + 1) for v in want)
+
+
+def test_texts_are_split_once(spark):
+    """The pipeline's mixture filters on copies without computing posteriors again."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = p.mixture(spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "posterior" in plan
+
+
 def test_mixture_meets_targets(spark):
     rows = q.op5_soft_mixing(spark, SF)
     share = {n: F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{n}")) / F.sum("n_tokens") for n in q.MIX_TARGETS}
