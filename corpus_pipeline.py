@@ -7,18 +7,17 @@ pieces of packed sequences. Near duplicates share four fifths of their five-word
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerline.llm.block_substring import drop_repeats
 from ledgerline.llm.common import Scratch, read
-from ledgerline.llm.mixing import fit_mixture, with_rates
+from ledgerline.llm.mixing import fit_mixture, rated
 from ledgerline.llm.ngram_jaccard import keep_one
 from ledgerline.llm.packing import pack_examples
 from ledgerline.llm.queries import domain_labels, tokenizer_path
 from ledgerline.llm.rule_quality import fit_quality, score_quality
 
-#: Shares of tokens that the mixture stage aims at, among what the quality stage kept.
-TARGETS = {"clean": 0.98, "toxic": 0.02}
+#: Token totals that the mixture stage aims at: of clean text what there is, of toxic text none.
+TARGETS = {"clean": None, "toxic": 0.0}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +37,13 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its rate says; toxic ones mostly not at all."""
-    fitted = fit_mixture(docs, domain_labels(read(spark, sf_dir, "labels")), TARGETS)
-    rated = with_rates(docs, fitted).where("copies > 0")
-    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Documents whose rate is at least a half; none is repeated, as that would undo the stages before.
+
+    Columns of any name stay as they are; texts without words get the rate of their posteriors; equal
+    rows are kept or dropped together; an empty table stays empty.
+    """
+    fitted = fit_mixture(docs, domain_labels(read(spark, sf_dir, "labels")), TARGETS, most=1.0)
+    return rated(fitted, nearest=True).where("copies > 0").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
