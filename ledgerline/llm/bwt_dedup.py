@@ -1,16 +1,20 @@
 """Exact repeats of byte strings by merging Burrows-Wheeler transforms of shards.
 
-1. In every window the smallest hash of a short gram is its anchor, so equal windows have equal
-   anchors. Chunks of documents exchange their anchors; only windows whose anchor occurs in two
-   documents or more go on.
+1. A hash pre-filter picks what can repeat: in every window the smallest hash of a short gram is its
+   anchor, so equal windows have equal anchors. Chunks of documents exchange their anchors; only
+   windows whose anchor occurs in two documents or more go on.
 2. The windows of one anchor occurrence form a snippet. Distinct snippets of a chunk go to the
-   anchor's bucket, where they are dealt to shards. Each shard is sorted once, which gives its
-   transform. The windows of an anchor with very many snippets are snippets of their own and go
-   by their whole text, so it spreads over all buckets. The transforms are merged by refining their interleave: a stable pass by preceding
-   symbol turns the order by h symbols into the order by h + 1, and a boundary between neighbours
-   that appears in pass h is a common prefix of h - 1. After as many passes as the window is long
-   the intervals without a boundary are the repeated windows. No suffix is compared again.
+   anchor's bucket. Snippets of equal bytes are one; an anchor that has one text only needs no more.
+   The others are dealt to shards by their anchor. Each shard is sorted once, which gives its
+   transform. The windows of an anchor with very many snippets are snippets of their own and go by
+   their whole text, so it spreads over all buckets. The transforms of a part are merged by refining
+   their interleave: a stable pass by the two preceding symbols turns the order by h symbols into the
+   order by h + 2, and a boundary between neighbours that appears then is a common prefix shorter than
+   that. After as many symbols as the window is long the intervals without a boundary are the
+   repeated windows. No suffix is compared again.
 3. Each interval's smallest document goes back as bits for the windows of the snippets sent.
+
+Hashes only group candidates: snippets are joined when their bytes are equal.
 """
 
 from __future__ import annotations
@@ -23,16 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunk, exchange, find, rows_of, to_chunks, told, with_answers
-from .common import _ODD, _TABLES, U64, Scratch, _ranges, by_bucket, covered, mix, pack, shuffle_parts, unpack, window_starts
+from .common import _ODD, _TABLES, U64, Scratch, _low, _ranges, by_bucket, covered, mix, pack, release, shuffle_parts, unpack, window_mask
 
 KEY_BYTES = 6
 KEY = U64((1 << 48) - 1)
 GRAM = 20
-#: Text of a shard whose transform is built at once.
-SHARD_BYTES = 1 << 19
+#: Text of a shard whose transform is built at once, and of the shards that are merged at once.
+SHARD_BYTES, PART_BYTES = 1 << 18, 1 << 20
 #: Snippets sent of an anchor, over all chunks, above which its windows are dealt singly.
-HOT = 1 << 15
+HOT = 1 << 14
 _NONE = np.iinfo(np.int64).max
+_STEP = 1 << 14
 
 
 def anchors(chunk: Chunk, window: int):
@@ -40,26 +45,32 @@ def anchors(chunk: Chunk, window: int):
     n = len(chunk.data)
     gram = min(GRAM, window)
     width = window - gram + 1
-    starts = window_starts(chunk.offsets, window)
-    if not len(starts):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(0, U64), empty
-    at = np.arange(n - gram + 1)
-    key = mix(_ranges(_TABLES[0][chunk.data], _ODD[0], at, at + gram))
-    low = (key >> U64(32) << U64(32)) | at.astype(U64)
-    span = 1
-    while span * 2 <= width:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    if span < width:
-        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    spot = (low[starts] & U64(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(starts), bool)
-    new[1:] = (spot[1:] != spot[:-1]) | (starts[1:] != starts[:-1] + 1)
-    first = np.flatnonzero(new)
-    a = starts[first]
-    b = starts[np.append(first[1:], len(starts)) - 1]
-    return a, b, key[spot[first]] & KEY, np.searchsorted(chunk.offsets, a, side="right") - 1
+    valid = window_mask(chunk.offsets, window)
+    spot, keys = np.full(n, -1, np.int32), np.zeros(n, U64)
+    up, down = _low(_ODD[0]), _low(pow(_ODD[0], -1, 1 << 64))
+    for i in range(0, n - window + 1, _STEP):
+        # grams that start in this step or in its last window, hashed from a prefix sum of their own
+        part = chunk.data[i : i + _STEP + window - 1]
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(_TABLES[0][part] * up[: len(part)], out=sums[1:])
+        key = mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
+        at = np.arange(len(key), dtype=U64)
+        low = (key >> U64(32) << U64(32)) | at
+        span = 1
+        while span * 2 <= width:
+            low = np.minimum(low[: len(low) - span], low[span:])
+            span *= 2
+        if span < width:
+            low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+        found = (low & U64(0xFFFFFFFF)).astype(np.int64)
+        spot[i : i + len(found)] = found + i
+        keys[i : i + len(found)] = key[found] & KEY
+    new = valid.copy()
+    new[1:] &= ~valid[:-1] | (spot[1:] != spot[:-1])
+    last = valid.copy()
+    last[:-1] &= ~valid[1:] | new[1:]
+    a, b = np.flatnonzero(new), np.flatnonzero(last)
+    return a, b, keys[a], np.searchsorted(chunk.offsets, a, side="right") - 1
 
 
 def _ids(chunk: Chunk) -> np.ndarray:
@@ -68,7 +79,37 @@ def _ids(chunk: Chunk) -> np.ndarray:
 
 def _hash(chunk: Chunk, a: np.ndarray, b: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
     """Hash of the text and anchor of runs of windows."""
-    return mix(_ranges(_TABLES[1][chunk.data], _ODD[1], a, b + window) ^ key ^ mix((b - a).astype(U64)))
+    return mix(_ranges(chunk.data, _ODD[1], a, b + window, _TABLES[1]) ^ key ^ mix((b - a).astype(U64)))
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def same_text(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of each kind of text data[start : start + size], and the kind of each.
+
+    Texts with one hash are compared byte by byte with the first of them; those that differ are
+    told apart by their bytes.
+    """
+    _, show, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first = show[which]
+    odd = sizes != sizes[first]
+    rest = np.flatnonzero(~odd & (first != np.arange(len(first))))
+    for i in range(0, len(rest), 1 << 14):
+        r = rest[i : i + (1 << 14)]
+        differ = data[_spread(starts[r], sizes[r])] != data[_spread(starts[first[r]], sizes[r])]
+        odd[r] = np.logical_or.reduceat(differ, np.cumsum(sizes[r]) - sizes[r])
+    if odd.any():
+        kinds = {}
+        for i in np.flatnonzero(odd):
+            k = kinds.setdefault((hashes[i], data[starts[i] : starts[i] + sizes[i]].tobytes()), len(show) + len(kinds))
+            which[i] = k
+        _, at = np.unique(which, return_index=True)
+        show = at
+    return show, which
 
 
 def _anchor_keys(window: int):
@@ -112,7 +153,7 @@ def snippets(row, window: int):
     spot = find(hits, key)
     use = spot >= 0
     a, b, key, doc, busy = a[use], b[use], key[use], doc[use], hot[spot[use]] > 0
-    _, show, which = np.unique(_hash(chunk, a, b, key, window), return_index=True, return_inverse=True)
+    show, which = same_text(chunk.data, a, b - a + window, _hash(chunk, a, b, key, window))
     ids = _ids(chunk)[doc]
     low = np.full(len(show), _NONE)
     np.minimum.at(low, which, ids)
@@ -121,19 +162,13 @@ def snippets(row, window: int):
     first = a[show][of] + offset
     last = np.where(busy[show][of], first, b[show][of])
     text = _hash(chunk, first, last, key[show][of], window)
-    _, one, piece = np.unique(text, return_index=True, return_inverse=True)
+    one, piece = same_text(chunk.data, first, last - first + window, text)
     least = np.full(len(one), _NONE)
     np.minimum.at(least, piece, low[of])
     deal = np.where(busy[show][of], text, key[show][of])[one]
     return chunk, (a, b, ids), which, low, (of, offset, piece), (first[one], last[one], least, deal)
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All positions of ranges, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of all rotations of a text whose strings each end with symbol 0, and its transform."""
     n = len(symbols)
@@ -175,7 +210,7 @@ def repeated_intervals(texts: np.ndarray, ends: np.ndarray, window: int) -> tupl
         lo, size = ends[mine[0]] - sizes[mine[0]], sizes[mine]
         plus = np.cumsum(size + 1)
         symbols = np.zeros(plus[-1], np.uint16)
-        origin = np.full(plus[-1], -1)
+        origin = np.full(plus[-1], -1, np.int32)
         inner = np.ones(plus[-1], bool)
         inner[plus - 1] = False
         symbols[inner] = texts[lo : ends[mine[-1]]].astype(np.uint16) + 1
@@ -190,52 +225,82 @@ def repeated_intervals(texts: np.ndarray, ends: np.ndarray, window: int) -> tupl
         base += len(last)
     move, bwt, where = np.concatenate(move), np.concatenate(bwt), np.concatenate(where)
     rows, block = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
-    for _ in range(window):
-        symbol = bwt[rows]
-        inside = symbol > 0
-        rows, block, symbol = rows[inside], block[inside], symbol[inside]
+
+    def refine(rows, block, symbol, inside, move):
+        """One pass: rows that have the symbols, in the order with those in front; rows alone in theirs go."""
+        at = inside[rows]
+        rows, block = rows[at], block[at]
+        symbol = symbol[rows]
         order = np.argsort(symbol, kind="stable")
-        rows, block, symbol = move[rows[order]], block[order], symbol[order]
+        rows, block, symbol = rows[order], block[order], symbol[order]
         edge = np.ones(len(rows) + 1, bool)
         edge[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         many = ~(edge[:-1] & edge[1:])
-        block = np.cumsum(edge[:-1], dtype=np.int32)[many]
-        rows = rows[many]
+        return move[rows[many]], np.cumsum(edge[:-1], dtype=np.int32)[many]
+
+    inside, letter = bwt > 0, (bwt - 1).astype(np.uint8)
+    if window % 2:
+        rows, block = refine(rows, block, letter, inside, move)
+    inside &= inside[move]
+    pair = letter[move].astype(np.uint16) << 8 | letter
+    move = move[move]
+    for _ in range(window // 2):
+        rows, block = refine(rows, block, pair, inside, move)
         if not len(rows):
             break
-    return where[rows], block
+    return where[rows].astype(np.int64), block
+
+
+def _parts(sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Bounds of runs of texts, in order of their tags, of about PART_BYTES each; no tag is in two runs."""
+    ends = np.cumsum(sizes)
+    cut = np.flatnonzero(np.append(True, tags[1:] != tags[:-1]))
+    part = (ends[cut] - sizes[cut]) // PART_BYTES
+    return np.append(cut[np.append(True, part[1:] != part[:-1])], len(sizes))
 
 
 def _bits(table: pa.Table, window: int) -> pa.Table:
     """For each snippet of a bucket, bits of the windows that a smaller document than its own has too."""
-    raw = table["texts"].to_pylist()
-    sizes = [unpack(x, np.uint8).astype(np.int64) for x in table["sizes"].to_pylist()]
-    low = np.concatenate([unpack(x, np.int64) for x in table["low"].to_pylist()])
+    sizes, low, tags = ([unpack(x, t) for x in table[c].to_pylist()] for c, t in (("sizes", np.uint8), ("low", np.int64), ("tags", np.uint32)))
     count = [len(x) for x in sizes]
-    size = np.concatenate(sizes) + window
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.cumsum(size)
-    text = mix(_ranges(_TABLES[1][data], _ODD[1], ends - size, ends) ^ size.astype(U64))
-    _, show, which = np.unique(text, return_index=True, return_inverse=True)
+    size, low, tags = np.concatenate(sizes).astype(np.int64) + window, np.concatenate(low), np.concatenate(tags)
+    data = np.frombuffer(b"".join(table["texts"].to_pylist()), np.uint8)
+    starts = np.cumsum(size) - size
+    text = mix(_ranges(data, _ODD[1], starts, starts + size, _TABLES[1]) ^ size.astype(U64))
+    show, which = same_text(data, starts, size, text)
     least = np.full(len(show), _NONE)
     np.minimum.at(least, which, low)
-    dsize = size[show]
-    dends = np.cumsum(dsize)
-    at, block = repeated_intervals(data[_spread(ends[show] - dsize, dsize)], dends, window)
-    best = np.repeat(least, dsize)
-    if len(at):
-        string = np.searchsorted(dends, at, side="right")
-        _, group = np.unique(block, return_inverse=True)
-        smallest = np.full(group.max() + 1, _NONE)
-        np.minimum.at(smallest, group, least[string])
-        best[at] = smallest[group]
+    # an anchor with one text has nothing to be merged with
+    order = show[np.argsort(tags[show], kind="stable")]
+    tag = tags[order]
+    same = np.zeros(len(tag) + 1, bool)
+    same[1:-1] = tag[1:] == tag[:-1]
+    order = order[same[:-1] | same[1:]]
+    windows = size[order] - window + 1
+    begin = np.cumsum(windows) - windows
+    best = np.repeat(least[which[order]], windows)
+    bounds = _parts(size[order], tags[order]) if len(order) else np.zeros(1, np.int64)
+    for i, j in zip(bounds, bounds[1:], strict=False):
+        some = order[i:j]
+        ends = np.cumsum(size[some])
+        at, block = repeated_intervals(data[_spread(starts[some], size[some])], ends, window)
+        if len(at):
+            string = np.searchsorted(ends, at, side="right")
+            _, group = np.unique(block, return_inverse=True)
+            smallest = np.full(group.max() + 1, _NONE)
+            np.minimum.at(smallest, group, least[which[some[string]]])
+            best[begin[i + string] + at - (ends - size[some])[string]] = smallest[group]
     # windows of every snippet sent, against its own document
-    windows = size - window + 1
-    flat = _spread((dends - dsize)[which], windows)
-    told_ = best[flat] < np.repeat(low, windows)
-    offset = _spread(np.zeros(len(size), np.int64), windows)
-    mask = np.zeros(len(size), np.int64)
-    np.add.at(mask, np.repeat(np.arange(len(size)), windows), told_.astype(np.int64) << offset)
+    whole = (np.int64(1) << (size - window + 1)) - 1
+    mask = np.where(least[which] < low, whole, 0)
+    place = np.full(len(show), -1)
+    place[which[order]] = np.arange(len(order))
+    merged = np.flatnonzero(place[which] >= 0)
+    for k in range(0, len(merged), 1 << 14):
+        m = merged[k : k + (1 << 14)]
+        at, n = place[which[m]], size[m] - window + 1
+        hit = best[_spread(begin[at], n)] < np.repeat(low[m], n)
+        mask[m] = np.add.reduceat(hit.astype(np.int64) << _spread(np.zeros(len(m), np.int64), n), np.cumsum(n) - n)
     rows = {"chunk_id": [], "bucket": [], "index": [], "mask": []}
     stop = np.cumsum(count)
     for chunk, bucket, lo, hi in zip(table["chunk_id"].to_pylist(), table["bucket"].to_pylist(), stop - count, stop, strict=True):
@@ -243,7 +308,15 @@ def _bits(table: pa.Table, window: int) -> pa.Table:
         if len(some):
             for c, v in (("chunk_id", chunk), ("bucket", bucket), ("index", pack(some.astype(np.uint32))), ("mask", pack(mask[lo:hi][some]))):
                 rows[c].append(v)
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+    out = pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+    del data, text, best, mask, sizes
+    release()
+    return out
+
+
+def _tags(key: np.ndarray) -> np.ndarray:
+    """32 bits of what a piece is dealt by: pieces that share a window share them."""
+    return (mix(key) >> U64(32)).astype(np.uint32)
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
@@ -272,21 +345,21 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, hot: int = HOT) ->
             chunk, *_, (a, b, low, key) = snippets(row, window)
             order, cut = deal(key)
             some = [k for k in range(buckets) if cut[k + 1] > cut[k]]
-            cols = ([], [], [])
+            cols = ([], [], [], [])
             for k in some:
                 part = order[cut[k] : cut[k + 1]]
                 lo, size = a[part], b[part] - a[part]
-                for c, v in zip(cols, (chunk.data[_spread(lo, size + window)], size.astype(np.uint8), low[part]), strict=True):
+                for c, v in zip(cols, (chunk.data[_spread(lo, size + window)], size.astype(np.uint8), low[part], _tags(key[part])), strict=True):
                     c.append(pack(v))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk.chunk_id] * len(some), pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "chunk_id", "texts", "sizes", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk.chunk_id] * len(some), pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "chunk_id", "texts", "sizes", "low", "tags"])
 
-    sent = marked.where("answers is not null").mapInArrow(send, "bucket int, chunk_id long, texts binary, sizes binary, low binary")
+    sent = marked.where("answers is not null").mapInArrow(send, "bucket int, chunk_id long, texts binary, sizes binary, low binary, tags binary")
     bits = scratch.save(sent.groupBy("bucket").applyInArrow(lambda t: _bits(t, window), "chunk_id long, bucket int, index binary, mask binary"), "bits")
     last = bits.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "index", "mask")).alias("bits"))
 
     def finish(batches):
         for row in rows_of(batches):
-            chunk, (a, b, ids), which, low, (of, offset, piece), (_, _, least, key) = snippets(row, window)
+            chunk, (a, b, ids), which, low, (of, offset, piece), (first, last, least, key) = snippets(row, window)
             bits_of = np.zeros(len(key), np.int64)
             order, cut = deal(key)
             for part in row["bits"] or []:
@@ -294,7 +367,10 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, hot: int = HOT) ->
             # a piece may have a smaller document in this chunk than its snippet
             sooner = least[piece] < low[of]
             mask = np.zeros(len(low), np.int64)
-            np.add.at(mask, of, (bits_of[piece] | sooner) << offset)
+            if len(of):  # a sooner document has all windows of the piece
+                whole = (np.int64(1) << (last - first + 1)[piece]) - 1
+                parts = np.where(sooner, whole, bits_of[piece]) << offset
+                mask = np.bitwise_or.reduceat(parts, np.flatnonzero(np.append(True, of[1:] != of[:-1])))
             windows = b - a + 1
             run = np.repeat(np.arange(len(a)), windows)
             offset = _spread(np.zeros(len(a), np.int64), windows)

@@ -130,27 +130,52 @@ _LOWER[65:91] += 32
 _TABLES = np.random.default_rng(20240917).integers(1, 2**63, (2, 256), dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WIN = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Powers are kept up to this one; larger ones are a product of two, so tables stay in the cache.
+_STEP = 1 << 15
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        p = np.full(size, base, U64)
+def _low(base: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64 for i < _STEP."""
+    if base not in _powers:
+        p = np.full(_STEP, base, U64)
         p[0] = 1
-        have = _powers[base] = np.multiply.accumulate(p)
-    return have[:n]
+        _powers[base] = np.multiply.accumulate(p)
+    return _powers[base]
 
 
-def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each range, from one prefix sum."""
+def _high(base: int, last: int) -> np.ndarray:
+    """base ** (_STEP * k) for k up to last, at least."""
+    have = _powers.get(-base)
+    if have is None or len(have) <= last:
+        p = np.full(max(256, 2 * last), pow(base, _STEP, 1 << 64), U64)
+        p[0] = 1
+        have = _powers[-base] = np.multiply.accumulate(p)
+    return have
+
+
+def _power(base: int, at: np.ndarray) -> np.ndarray:
+    """base ** at modulo 2 ** 64."""
+    return _low(base)[at & (_STEP - 1)] * _high(base, int(at.max(initial=0)) // _STEP)[at // _STEP]
+
+
+def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hash of values[start:end] (or of table[values[start:end]]) for each range, from one prefix sum."""
     n = len(values)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(values * _power(base, n), out=sums[1:])
-    back = _power(pow(base, -1, 1 << 64), n + 1)
-    return (sums[ends] - sums[starts]) * back[starts]
+    low = _low(base)
+    for i in range(0, n, _STEP):
+        part = values[i : i + _STEP]
+        part = part if table is None else table[part]
+        np.multiply(part, low[: len(part)] * _high(base, i // _STEP)[i // _STEP], out=sums[i + 1 : i + 1 + len(part)])
+    np.cumsum(sums, out=sums)
+    out = sums[ends]
+    out -= sums[starts]
+    del sums
+    inverse = pow(base, -1, 1 << 64)
+    for i in range(0, len(out), _STEP):
+        out[i : i + _STEP] *= _power(inverse, starts[i : i + _STEP])
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -190,7 +215,7 @@ class Words:
         return np.repeat(np.arange(len(self.ptr) - 1), self.per_doc)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return mix(_ranges(_TABLES[which][self.data], _ODD[which], self.starts, self.ends) + (self.ends - self.starts).astype(U64))
+        return mix(_ranges(self.data, _ODD[which], self.starts, self.ends, _TABLES[which]) + (self.ends - self.starts).astype(U64))
 
     def windows(self, hashes: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(start word, hash) of every window of k consecutive words of one document."""
@@ -198,13 +223,18 @@ class Words:
         return at, mix(_ranges(hashes, _WIN[which], at, at + k))
 
 
-def window_starts(ptr: np.ndarray, k: int) -> np.ndarray:
-    """Starts of all k-long windows that stay inside one of the ranges ptr bounds."""
+def window_mask(ptr: np.ndarray, k: int) -> np.ndarray:
+    """Which positions start a k-long window that stays inside one of the ranges ptr bounds."""
     ok = np.zeros(int(ptr[-1]) + 1, np.int32)
     last = np.maximum(ptr[1:] - k + 1, ptr[:-1])
     np.add.at(ok, ptr[:-1], 1)
     np.add.at(ok, last, -1)
-    return np.flatnonzero(np.cumsum(ok[:-1]) > 0)
+    return np.cumsum(ok[:-1], dtype=np.int32) > 0
+
+
+def window_starts(ptr: np.ndarray, k: int) -> np.ndarray:
+    """Starts of all k-long windows that stay inside one of the ranges ptr bounds."""
+    return np.flatnonzero(window_mask(ptr, k))
 
 
 def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:

@@ -52,7 +52,7 @@ def block_stats(offsets: np.ndarray, data: np.ndarray, k: int = 5) -> dict[str,
     ends = np.minimum(np.append(starts[1:], len(data)), offsets[ldoc + 1])
     has = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     trim = ends - ((ends > starts) & (data[np.maximum(ends, 1) - 1] == 10))
-    line = mix(_ranges(_TABLES[0][data], 0x9E3779B97F4A7C15, starts, trim) + (trim - starts).astype(U64))
+    line = mix(_ranges(data, 0x9E3779B97F4A7C15, starts, trim, _TABLES[0]) + (trim - starts).astype(U64))
     again = first_equal(ldoc[has], line[has])[0]
     return {
         "n_bytes": np.diff(offsets),

@@ -36,3 +36,34 @@ def test_hot_anchor_spreads(spark):
     for row in with_answers(chunks, hits).collect():
         sent.update(bwt_dedup.snippets(row.asDict(True), 50)[-1][-1].tolist())
     assert len(sent) > 500 and max(sent.values()) <= 100
+
+
+def test_texts_of_one_hash_are_compared():
+    """Texts are one only if their bytes are, whatever the hash says."""
+    data = np.frombuffer(b"abcdabceabcdxyabce", np.uint8)
+    starts, sizes = np.array([0, 4, 8, 12, 14]), np.array([4, 4, 4, 2, 4])
+    show, which = bwt_dedup.same_text(data, starts, sizes, np.zeros(5, np.uint64))
+    assert which.tolist() == [0, 1, 0, 2, 1] and show.tolist() == [0, 1, 3]
+
+
+def test_parts_keep_anchors_together(monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "PART_BYTES", 100)
+    tags = np.repeat(np.arange(40), 5)
+    bounds = bwt_dedup._parts(np.full(200, 10), tags)
+    assert bounds[0] == 0 and bounds[-1] == 200 and len(bounds) == 21 and all(b % 5 == 0 for b in bounds)
+
+
+def test_small_parts_and_long_text(spark, monkeypatch):
+    """Parts and shards of few bytes, and a text longer than a chunk, give the result of brute force."""
+    monkeypatch.setattr(bwt_dedup, "PART_BYTES", 300)
+    monkeypatch.setattr(bwt_dedup, "SHARD_BYTES", 120)
+    rows = framed(40)
+    rng = np.random.default_rng(9)
+    # over 4 MB of decimal digits of increasing numbers; document 99 repeats a stretch from its middle
+    long = "".join(f"{i:09d}" for i in rng.permutation(480_000))
+    rows += [(98, long), (99, "q" * 60 + long[2_000_000:2_000_400] + "r" * 60)]
+    got = {r.doc_id: r for r in bwt_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seqs = [t.encode() for _, t in rows[:-2]]
+    for (d, _), s, g in zip(rows[:-2], seqs, brute_windows(rows[:-2], seqs, 50), strict=True):
+        assert (got[d].n_bytes, got[d].n_removed) == (len(s), sum(g))
+    assert got[98].n_removed == 0 and got[98].n_bytes == len(long) and (got[99].n_removed, got[99].n_spans) == (400, 1)
