@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import rows_of
@@ -107,11 +107,14 @@ def decode_bits(bits: bytes, marks: np.ndarray, tokens: int, table) -> np.ndarra
 
 
 def tokenize_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Blocks of encoded documents in ascending doc_id order; part and block give that order."""
+    """Blocks of encoded documents in ascending doc_id order; part and block give that order.
+
+    inside is the number of tokens of the part before the block.
+    """
 
     def run(batches):
         encoder = Encoder.at(tokenizer)
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, inside = TaskContext.get().partitionId(), 0, 0
         for batch, _, _ in text_batches(batches, limit=ENCODE_BYTES):
             bound, ids = encoder.encode(batch.column("text"))
             count = np.diff(bound) + 1
@@ -127,13 +130,13 @@ def tokenize_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 j = max(i + 1, int(np.searchsorted(ends, ends[i] - count[i] + BLOCK_TOKENS, side="right")))
                 piece = flat[ends[i] - count[i] : ends[j - 1]]
                 small = len(piece) and piece.max() < 65536
-                row = [part, n, len(piece), pack(doc[i:j]), pack(known[i:j]), pack(count[i:j]), pack(piece.astype(np.uint16) if small else piece), bool(small)]
-                types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["part", "block", "tokens", "doc_ids", "known", "counts", "ids", "small"])
-                i, n = j, n + 1
+                row = [part, n, len(piece), inside, pack(doc[i:j]), pack(known[i:j]), pack(count[i:j]), pack(piece.astype(np.uint16) if small else piece), bool(small)]
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["part", "block", "tokens", "inside", "doc_ids", "known", "counts", "ids", "small"])
+                i, n, inside = j, n + 1, inside + len(piece)
 
     parts = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return parts.mapInArrow(run, "part int, block int, tokens long, doc_ids binary, known binary, counts binary, ids binary, small boolean")
+    return parts.mapInArrow(run, "part int, block int, tokens long, inside long, doc_ids binary, known binary, counts binary, ids binary, small boolean")
 
 
 def _ids(row) -> np.ndarray:
@@ -179,8 +182,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
     for part in sorted(sums):
         before[part] = total
         total += sums[part]
-    ahead = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = blocks.select("part", "block", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("inside"))
     held = spark.sparkContext.broadcast((lengths, codes, before))
 
     def run(batches):
@@ -191,7 +192,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, types, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
-    blocks.join(F.broadcast(inside), ["part", "block"]).mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
+    blocks.mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
     scratch.drop(blocks)
 
 
