@@ -116,13 +116,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pena
     """A RuleModel from labels (doc_id, quality) of docs (doc_id, text).
 
     At most max_rows labelled documents, those with the smallest hash of their id, are learned from,
-    so what reaches the driver is bounded. Null labels are left out and a document's labels are
+    so what reaches the driver is bounded; of documents that share an id the one with the smallest hash
+    of its text counts. Null labels are left out and a document's labels are
     averaged. Without labels the score is 0.5 everywhere; with one kind only it is that share, smoothed.
     """
     named = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("_quality"))
     some = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    stats = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("_quality", stats_column("text").alias("_s"))
-    rows = stats.select("_quality", *[f(F.col("_s")).alias(n) for n, f in FEATURES.items()]).limit(2 * max_rows).toPandas()
+    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "_quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    stats = picked.select("_quality", stats_column("text").alias("_s"))
+    rows = stats.select("_quality", *[f(F.col("_s")).alias(n) for n, f in FEATURES.items()]).toPandas()
     y = (rows["_quality"].to_numpy(float) >= 0.5).astype(float)
     share = (y.sum() + 1) / (len(y) + 2)
     if len(set(y)) < 2:
