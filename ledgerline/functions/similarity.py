@@ -29,11 +29,27 @@ def may_reach(a: Column, b: Column, cutoff: float) -> Column:
 
 
 def scored_pairs(pairs: DataFrame, a: str, b: str, cutoff: float, out: str = "ratio") -> DataFrame:
-    """Distinct (a, b) of pairs whose ratio is at least cutoff."""
+    """Distinct (a, b) of pairs whose ratio is at least cutoff.
+
+    Before any is scored, pairs whose lengths are too far apart go, then those whose counts of characters
+    are: a ratio counts characters in common, so it is at most what the two bags have in common.
+    """
     distinct = pairs.where(may_reach(F.col(a), F.col(b), cutoff)).select(a, b).distinct()
+    distinct = distinct.where(shared_chars(F.col(a), F.col(b)) >= (F.length(a) + F.length(b)) * (cutoff / 2) - 1e-9)
     return distinct.withColumn(out, _ratio(a, b)).where(F.col(out) >= cutoff)
 
 
+def shared_chars(a: Column, b: Column) -> Column:
+    """An upper bound of the characters that two texts have in common: letters one by one, others together."""
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    one = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    rest = lambda c: F.length(F.translate(c, letters, ""))
+    out = F.least(rest(a), rest(b))
+    for x in letters:
+        out = out + F.least(one(a, x), one(b, x))
+    return out
+
+
 def numbered_chars(c: Column) -> Column:
     """Characters of a nonempty text, each with the number of its occurrence, so a bag of them is a set."""
     chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,21 @@ def restore_hidden(edited: DataFrame, original: DataFrame, pos: str = "_pos") ->
     return edited.join(original.select(pos, *missing), pos, "left").select(*original.columns)
 
 
-def search(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """Rows in which a column contains the text, without case; the text is taken literally."""
+def search(rows: DataFrame, pattern: str, columns: list[str], literal: bool = False) -> DataFrame:
+    """Rows in which one of the columns matches a regular expression somewhere, without case.
+
+    White space around the pattern goes; columns that rows do not have are left out; an empty pattern
+    matches all. With literal, or if it is no regular expression, the pattern is text.
+    """
+    pattern = pattern.strip()
+    try:
+        re.compile(pattern)
+    except re.error:
+        literal = True
     hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.coalesce(F.contains(F.lower(F.col(c)), F.lit(text.lower())), F.lit(False))
+    for c in [c for c in columns if c in rows.columns]:
+        value = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        hit = hit | (F.contains(F.lower(value), F.lit(pattern.lower())) if literal else value.rlike(f"(?iu){pattern}"))
     return rows.where(hit)
 
 

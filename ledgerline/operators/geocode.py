@@ -26,32 +26,59 @@ def submarket(components: Column) -> Column:
     return component(components, "sublocality", "sublocality_level_1", "neighborhood")
 
 
-def query_of(kind: str) -> Column:
-    """The query of a row for one kind of response."""
-    if kind == "geocode":
-        return F.when(~is_blank(F.col("address_1")) & ~is_blank(F.col("postcode")), F.concat_ws(", ", "address_1", "postcode"))
-    if kind == "reverse":
-        return F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string")))
-    place = F.coalesce(compound_split(F.col("building"))["address"], F.col("building"))
-    return F.when(~is_blank(F.col("building")), F.concat_ws(", ", place, F.when(~is_blank(F.col("submarket")), F.col("submarket")), F.lit("London, UK")))
+# Our own wordings of what may fail.
+NO_ADDRESS = "coordinates found, but no street address or postcode there"
+OUTSIDE = "the place found lies outside London"
+NO_MATCH = "neither address nor place found"
+
+
+def address_query() -> Column:
+    """What a row with an address and a postcode is asked by."""
+    return F.when(~is_blank(F.col("address_1")) & ~is_blank(F.col("postcode")), F.concat_ws(", ", "address_1", "postcode", F.lit("UK")))
+
+
+def place_query(place: Column) -> Column:
+    """What a place is asked by, with the row's submarket if it has one; null without a place."""
+    return F.when(~is_blank(place), F.concat_ws(", ", place, F.when(~is_blank(F.col("submarket")), F.col("submarket")), F.lit("London, UK")))
+
+
+def spot_query(lat: Column, lng: Column) -> Column:
+    """What coordinates are asked by."""
+    return F.when(lat.isNotNull() & lng.isNotNull(), F.concat_ws(",", lat.cast("string"), lng.cast("string")))
 
 
 def geocode_rows(rows: DataFrame, responses: DataFrame) -> DataFrame:
-    """rows with coordinates, address and submarket filled where they are blank, and failure.
+    """rows with coordinates, address, postcode and submarket filled where they are blank, and failure.
 
-    A row with coordinates only gets a submarket. Others ask by address and postcode, else by place,
-    whose answer must be OK, have coordinates and lie in London. What is there is never overwritten.
-    failure names what found nothing.
+    A row with coordinates, or one whose address and postcode are found, only gets a submarket, from
+    what stands at those coordinates. Others are asked by place: the address part of a compound
+    building first, then the whole building; an answer counts if it is OK and lies in London. Its own
+    components fill the address and postcode, and what stands at its coordinates fills what is still
+    blank. What is there is never overwritten. failure tells apart a place without an address, a place
+    outside London, and nothing found; where several responses share a query any one may count.
     """
-    told = lambda kind: responses.where((F.col("kind") == kind) & (F.col("status") == "OK")).groupBy("query").agg(F.first(F.struct("lat", "lng", "components")).alias(f"_{kind}"))
+
+    def ask(df, kind, query, name):
+        told = responses.where((F.col("kind") == kind) & (F.col("status") == "OK")).groupBy(F.col("query").alias(f"{name}_q")).agg(F.first(F.struct("lat", "lng", "components")).alias(name))
+        return df.withColumn(f"{name}_q", query).join(told, f"{name}_q", "left").drop(f"{name}_q")
+
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    out = rows.withColumns({"_placed": placed, "_q1": F.when(~placed, query_of("geocode")), "_q2": F.when(~placed, query_of("places"))})
-    places = told("places").where(in_london(F.col("_places.lat"), F.col("_places.lng")))
-    out = out.join(told("geocode").withColumnRenamed("query", "_q1"), "_q1", "left").join(places.withColumnRenamed("query", "_q2"), "_q2", "left")
-    out = out.withColumn("_hit", F.coalesce(F.when(F.col("_geocode.lat").isNotNull(), F.col("_geocode")), F.col("_places")))
+    out = ask(rows.withColumn("_placed", placed), "geocode", F.when(~placed, address_query()), "_address")
+    open_ = ~F.col("_placed") & F.col("_address.lat").isNull()
+    out = ask(out, "places", F.when(open_, place_query(compound_split(F.col("building"))["address"])), "_part")
+    out = ask(out, "places", F.when(open_, place_query(F.col("building"))), "_whole")
+    inside = lambda c: in_london(F.col(f"{c}.lat"), F.col(f"{c}.lng"))
+    out = out.withColumn("_place", F.when(inside("_part"), F.col("_part")).when(inside("_whole"), F.col("_whole")))
     fill = lambda c, v: F.when(is_blank(F.col(c)), v).otherwise(F.col(c))
-    out = out.withColumns({"lat": F.coalesce("lat", "_hit.lat"), "lng": F.coalesce("lng", "_hit.lng"), "address_1": fill("address_1", address_line(F.col("_hit.components"))), "postcode": fill("postcode", component(F.col("_hit.components"), "postal_code")), "submarket": fill("submarket", submarket(F.col("_hit.components")))})
-    out = out.withColumn("_q3", F.when(is_blank(F.col("submarket")), query_of("reverse"))).join(told("reverse").withColumnRenamed("query", "_q3"), "_q3", "left")
-    out = out.withColumn("submarket", fill("submarket", submarket(F.col("_reverse.components"))))
-    failure = F.when(~F.col("_placed") & F.col("_hit").isNull(), F.coalesce("_q1", "_q2", F.lit("nothing to ask by")))
+    out = out.withColumns({"lat": F.when(F.col("_placed"), F.col("lat")).otherwise(F.coalesce("_address.lat", "_place.lat", "lat")), "lng": F.when(F.col("_placed"), F.col("lng")).otherwise(F.coalesce("_address.lng", "_place.lng", "lng"))})
+    out = out.withColumns({"address_1": fill("address_1", address_line(F.col("_place.components"))), "postcode": fill("postcode", component(F.col("_place.components"), "postal_code"))})
+    short = is_blank(F.col("address_1")) | is_blank(F.col("postcode"))
+    found = F.col("_placed") | F.col("_address.lat").isNotNull() | F.col("_place").isNotNull()
+    again = found & (is_blank(F.col("submarket")) | (F.col("_place").isNotNull() & short))
+    out = ask(out, "reverse", F.when(again, spot_query(F.col("lat"), F.col("lng"))), "_there")
+    there = F.col("_there.components")
+    by_place = lambda v: F.when(F.col("_place").isNotNull(), v)
+    out = out.withColumns({"address_1": fill("address_1", by_place(address_line(there))), "postcode": fill("postcode", by_place(component(there, "postal_code"))), "submarket": fill("submarket", submarket(there))})
+    outside = F.col("_whole").isNotNull() & ~F.coalesce(inside("_whole"), F.lit(False))
+    failure = F.when(F.col("_place").isNotNull() & short, NO_ADDRESS).when(~found & outside, OUTSIDE).when(~found, NO_MATCH)
     return out.select(*rows.columns, failure.alias("failure"))

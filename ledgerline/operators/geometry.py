@@ -19,6 +19,11 @@ def _tokens(c):
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]{2,})"), 1)
 
 
+def upper_median(name: str):
+    """The upper of the two middle values of a column, or the middle one."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {name} DESC)")
+
+
 def caption_links(links: DataFrame) -> DataFrame:
     """Links with a target and of a caption's height, with their vertical centre y."""
     return links.where((F.col("uri") != "") & (F.col("y1") - F.col("y0") <= CAPTION_HEIGHT)).withColumn("y", (F.col("y0") + F.col("y1")) / 2)
@@ -36,7 +41,7 @@ def row_heights(words: DataFrame, units: DataFrame) -> DataFrame:
     by_size = sized.groupBy("unit_id", "page").agg(F.count("*").alias("n"), F.first("y").alias("y")).where("n = 1").select("unit_id", "page", "y")
     names = units.select("unit_id", "page", F.explode(F.array_except(_tokens(F.col("floor_unit")), F.array(*map(F.lit, FLOOR_STOPWORDS)))).alias("k"))
     named = names.join(w.select("page", "y", F.get(_tokens(F.col("text")), 0).alias("k")), ["page", "k"])
-    by_name = named.groupBy("unit_id", "page").agg(F.sort_array(F.collect_list("y")).alias("ys")).select("unit_id", "page", F.element_at("ys", (F.floor(F.size("ys") / 2) + 1).cast("int")).alias("y"))
+    by_name = named.groupBy("unit_id", "page").agg(upper_median("y").alias("y"))
     return by_size.unionByName(by_name.join(by_size, ["unit_id", "page"], "left_anti"))
 
 
@@ -69,3 +74,11 @@ def attach_links(words: DataFrame, links: DataFrame, units: DataFrame) -> DataFr
     ok = F.when(F.col("kind") == "brochure", inside).when(F.col("kind") == "floor plan", ~inside).otherwise(F.lit(True))
     kept = level.join(column_ranges(words), "page", "left").where(ok)
     return kept.groupBy("unit_id").agg(F.count("*").alias("n"), F.first("uri").alias("uri")).where("n = 1").select("unit_id", "uri")
+
+
+def caption_texts(words: DataFrame, links: DataFrame, pad: float = 2.0) -> DataFrame:
+    """links with caption: the words that a link's box, `pad` points larger, overlaps, in reading order; for logs."""
+    w = words.select("page", F.col("x0").alias("wx0"), F.col("y0").alias("wy0"), F.col("x1").alias("wx1"), F.col("y1").alias("wy1"), "text")
+    over = (F.col("wx0") < F.col("x1") + pad) & (F.col("wx1") > F.col("x0") - pad) & (F.col("wy0") < F.col("y1") + pad) & (F.col("wy1") > F.col("y0") - pad)
+    hits = links.distinct().join(w, "page").where(over).groupBy(*links.columns).agg(F.sort_array(F.collect_list(F.struct("wy0", "wx0", "text"))).alias("_t"))
+    return links.join(hits, links.columns, "left").select(*links.columns, F.coalesce(F.array_join(F.transform("_t", lambda x: x["text"]), " "), F.lit("")).alias("caption"))

@@ -113,21 +113,25 @@ def best_links(pages: DataFrame) -> DataFrame:
 
 
 def resolve_email_links(text: Column) -> Column:
-    """Email text in which links in angle brackets are kept only if they are neither administrative nor generic.
+    """Email text in which links in angle brackets stand bare, and only if they are neither administrative nor generic.
 
     The text is cut at links; each piece is joined again with its link or without. A link is
-    administrative by its own words or those in the ADMIN_CONTEXT characters before it.
+    administrative by its own words or those in the ADMIN_CONTEXT characters before it, in which
+    earlier links count; one that leads to a generic link is generic. That context is built from the
+    few pieces just before, as each earlier link takes more than ten characters of it.
     """
     pattern = r"<(https?://[^>\s]+)>"
     between = F.split(text, pattern)
     urls = F.regexp_extract_all(text, F.lit(pattern), 1)
+    reach = ADMIN_CONTEXT // len("<http://x>") + 1
 
     def one(k):
         url = F.get(urls, k)
-        before = F.concat(F.array_join(F.slice(between, 1, k + 1), " "))
-        near = F.substring(before, F.greatest(F.length(before) - ADMIN_CONTEXT + 1, F.lit(1)), F.lit(ADMIN_CONTEXT))
-        drop = url.isNull() | is_admin_link(near) | is_admin_link(url) | is_generic_link(url)
-        kept = F.coalesce(unwrap_tracking(url), url)
-        return F.concat(F.get(between, k), F.when(drop, F.lit("")).otherwise(F.concat(F.lit("<"), kept, F.lit(">"))))
+        back = F.least(k, F.lit(reach))
+        earlier = F.zip_with(F.slice(between, k - back + 1, back), F.slice(urls, k - back + 1, back), lambda t, u: F.concat(t, F.lit("<"), u, F.lit(">")))
+        before = F.concat(F.array_join(earlier, ""), F.get(between, k))
+        target = F.coalesce(unwrap_tracking(url), url)
+        drop = url.isNull() | is_admin_link(F.right(before, F.lit(ADMIN_CONTEXT))) | is_admin_link(url) | is_generic_link(url) | is_generic_link(target)
+        return F.concat(F.get(between, k), F.when(drop, F.lit("")).otherwise(target))
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.size(between) - 1), one), "")

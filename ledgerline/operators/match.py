@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import is_blank
-from ..functions.similarity import prefix_pairs, scored_pairs
+from ..functions.similarity import may_reach, prefix_pairs, scored_pairs
 from ..functions.text import digit_free, name_part, normalize_key, postcode_key
 
 FUZZY_CUTOFF = 0.85
@@ -27,41 +27,41 @@ def with_keys(rows: DataFrame) -> DataFrame:
     )
 
 
-def sole(rows: DataFrame, keys: list[str], target: str) -> DataFrame:
-    """keys and the struct `target` of the row that alone has them."""
-    cols = [c for c in rows.columns if not c.startswith("k_")]
-    found = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*cols)).alias(target))
+def sole(rows: DataFrame, keys: list[str], target: str, pos: str = "_pos") -> DataFrame:
+    """keys and `target`, the position of the row that alone has them."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(pos).alias(target))
     return found.where("_n = 1").drop("_n")
 
 
-def match_batch(batch: DataFrame, master: DataFrame, fuzzy: bool = True) -> DataFrame:
+def match_batch(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos: str = "_pos") -> DataFrame:
     """batch with match_tier (postcode, fallback, fuzzy_building or null) and the master row it matched.
 
     A tier matches when exactly one master row has the key. The postcode tier needs a postcode; the
     fallback ignores it, even a conflicting one; the fuzzy tier looks at rows still unmatched whose
     building has no digit. Only keys that are unique on the master's side are joined, so no batch row
-    is multiplied, and fuzzy names are scored once for each distinct pair within a block.
+    is multiplied, and fuzzy names are scored once for each distinct pair within a block. The tiers
+    carry positions (`pos`, distinct in the master); whole master rows are joined once at the end.
     """
     new, old = with_keys(batch), with_keys(master)
-    first = sole(old.where("k_postcode is not null"), [*KEYS, "k_postcode"], "_m1")
-    second = sole(old, KEYS, "_m2")
+    first = sole(old.where("k_postcode is not null"), [*KEYS, "k_postcode"], "_m1", pos)
+    second = sole(old, KEYS, "_m2", pos)
     out = new.join(first, [*KEYS, "k_postcode"], "left").join(second, KEYS, "left")
     tier = F.when(F.col("_m1").isNotNull(), "postcode").when(F.col("_m2").isNotNull(), "fallback")
     found = F.coalesce("_m1", "_m2")
     if fuzzy:
         block = ["k_provider", "k_floor"]
-        names = old.where("k_name is not null")
-        cols = [c for c in master.columns]
-        heads = names.groupBy(*block, F.col("k_name").alias("_old")).agg(F.count("*").alias("_n"), F.first(F.struct(*cols)).alias("_row"))
+        heads = old.where("k_name is not null").groupBy(*block, F.col("k_name").alias("_old")).agg(F.count("*").alias("_n"), F.min(pos).alias("_at"))
         asks = out.where(tier.isNull() & F.col("k_name").isNotNull()).select(*block, F.col("k_name").alias("_new")).distinct()
-        pairs = asks.join(heads, block)
+        pairs = asks.join(heads, block).where(may_reach(F.col("_new"), F.col("_old"), FUZZY_CUTOFF))
         near = scored_pairs(pairs, "_new", "_old", FUZZY_CUTOFF)
-        close = pairs.join(near, ["_new", "_old"]).groupBy(*block, F.col("_new").alias("k_name")).agg(F.sum("_n").alias("_n"), F.first("_row").alias("_m3"))
+        close = pairs.join(near, ["_new", "_old"]).groupBy(*block, F.col("_new").alias("k_name")).agg(F.sum("_n").alias("_n"), F.min("_at").alias("_m3"))
         out = out.join(close.where("_n = 1").drop("_n"), [*block, "k_name"], "left")
         third = F.when(tier.isNull(), F.col("_m3"))
         tier = F.coalesce(tier, F.when(third.isNotNull(), F.lit("fuzzy_building")))
         found = F.coalesce(found, third)
-    return out.select(*batch.columns, tier.alias("match_tier"), found.alias("master"))
+    out = out.select(*batch.columns, tier.alias("match_tier"), found.alias("_found"))
+    rows = master.select(F.col(pos).alias("_found"), F.struct(*master.columns).alias("master"))
+    return out.join(rows, "_found", "left").select(*batch.columns, "match_tier", "master")
 
 
 def suggest_similar(rows: DataFrame, master: DataFrame, top: int = 3) -> DataFrame:

@@ -31,12 +31,15 @@ def field_choices(rows: DataFrame, group: str, fields: list[str], pos: str = "_p
         kind = KINDS[f]
         c, blank = F.col(f), is_blank(F.col(f), kind)
         cls = value_class(c, kind)
-        classes = F.count_distinct(cls) + (F.max(blank.cast("int")) if blanks_count else F.lit(0))
+        # two classes or more, told from the least and the greatest: no distinct counts, so rows are not expanded
+        several = F.coalesce(F.min(cls) != F.max(cls), F.lit(False))
+        if blanks_count:
+            several = several | (F.bool_or(blank) & F.max(cls).isNotNull())
         text = c.cast("string")
         some = F.count_if(~blank)
         first = F.min_by(text, F.col(pos))
         sole = _least_by_pos(text, pos, ~blank)
-        parts.append(F.struct(F.lit(f).alias("field"), (classes > 1).alias("needs_choice"), F.when(classes <= 1, sole).alias("value"), F.when(some == 1, sole).otherwise(first).alias("default")))
+        parts.append(F.struct(F.lit(f).alias("field"), several.alias("needs_choice"), F.when(~several, sole).alias("value"), F.when(some == 1, sole).otherwise(first).alias("default")))
     return rows.groupBy(group).agg(F.array(*parts).alias("_f")).select(group, F.explode("_f").alias("_f")).select(group, "_f.*")
 
 
@@ -65,23 +68,27 @@ def duplicate_edges(rows: DataFrame, pos: str = "_pos") -> DataFrame:
     return by_key.select("a", "b").union(by_street.select("a", "b")).where("a <> b").distinct()
 
 
-def connected(edges: DataFrame, checkpoint) -> DataFrame:
-    """(id, component) by rounds of smallest labels with pointer jumping; checkpoint(df, name) cuts the lineage."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpoint(both, "edges")
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    while True:
-        labels = checkpoint(labels, "labels")
+def connected(edges: DataFrame, checkpoint, rounds: int = 60) -> DataFrame:
+    """(id, component) by rounds of smallest labels with pointer jumping; checkpoint(df, name) cuts the lineage.
+
+    A round is one written table. Chains of labels halve in each, so rounds grow with the logarithm of
+    a component's width; more than `rounds` are an error.
+    """
+    edges = checkpoint(edges.select("a", "b"), "edges")
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    for _ in range(rounds):
         told = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(told, "a", "left").select("a", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("before"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        new = new.join(jump, "label", "left").select("a", F.least("label", F.coalesce("next", "label")).alias("label"), "before")
-        new = checkpoint(new, "labels")
+        new = labels.join(told, "a").select("a", F.least("label", "near").alias("low"), F.col("label").alias("before"))
+        jump = labels.select(F.col("a").alias("low"), F.col("label").alias("next"))
+        new = checkpoint(new.join(jump, "low").select("a", F.least("low", "next").alias("label"), "before"), "labels")
         if new.where("label <> before").isEmpty():
             return new.select(F.col("a").alias("id"), F.col("label").alias("component"))
         labels = new.select("a", "label")
+    raise RuntimeError("components did not settle")
 
 
 def duplicate_groups(rows: DataFrame, checkpoint, pos: str = "_pos") -> DataFrame:
     """(pos, component) of new rows that are duplicates of each other; component is the first row's position."""
-    return connected(duplicate_edges(rows, pos), checkpoint).withColumnRenamed("id", pos)
+    named = checkpoint(rows.select("building", "provider", "floor_unit", "postcode", pos), "new_rows")
+    return connected(duplicate_edges(named, pos), checkpoint).withColumnRenamed("id", pos)

@@ -93,11 +93,17 @@ def apply_merge(master: DataFrame, updates: DataFrame, inserts: DataFrame, remov
     """The new master: removed rows go whatever their updates, approved fields overlay, new rows follow.
 
     updates: (_pos, field, value); inserts: listing columns and _pos; removed: (_pos). Positions of new
-    rows start after the master's, by their order in the batch.
+    rows start after the master's, by their order in the batch. A null value clears a field; a value
+    that is no number leaves a number as it was.
     """
     kept = master.join(removed.select("_pos").distinct(), "_pos", "left_anti") if removed is not None else master
     over = updates.where(F.col("field").isin(COLUMNS)).groupBy("_pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_u"))
-    cols = [F.when(F.map_contains_key("_u", F.lit(c)), F.col("_u")[c].try_cast(LISTING[c].dataType)).otherwise(F.col(c)).alias(c) for c in COLUMNS]
+    def merged(c):
+        value = F.col("_u")[c].try_cast(LISTING[c].dataType)
+        told = F.map_contains_key("_u", F.lit(c)) & (value.isNotNull() | F.col("_u")[c].isNull())
+        return F.when(told, value).otherwise(F.col(c)).alias(c)
+
+    cols = [merged(c) for c in COLUMNS]
     out = kept.join(over, "_pos", "left").select("_pos", *cols)
     top = master.agg(F.coalesce(F.max("_pos"), F.lit(-1)).alias("_top"))
     new = inserts.crossJoin(F.broadcast(top)).select((F.col("_top") + 1 + F.col("_pos")).alias("_pos"), *COLUMNS)

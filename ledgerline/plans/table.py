@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import LISTING, to_listing
+from ..sources.mapping import header_hash
 
 KEEP_VERSIONS = 30
 LOG = "timestamp string, success boolean, row_count long, error string, source string, new_count long, updated_count long, version_path string, fields_changed long, removed_count long"
@@ -18,27 +19,33 @@ class MasterTable:
     """A folder with `versions/<stamp>` (Parquet), `CURRENT` (the name of one) and `log/` (JSON lines).
 
     All access goes through Spark and Hadoop's file systems, so the folder can be in any store they
-    reach. A write goes to a new version, is read back and counted, and only then becomes current.
+    reach. A write goes to a new version, is counted as it is written and as it is read back, and only then
+    becomes current: the pointer is renamed over the old one in one step, so a reader or a crash at
+    any time finds one of the two.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        self._over = spark.sparkContext._gateway.new_array(rename, 1)
+        self._over[0] = rename.OVERWRITE
 
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/{name}"))
 
     def _write_text(self, name: str, text: str) -> None:
-        """Write beside and rename over, so that a reader sees the old or the new one."""
-        to, part = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/.{name.replace('/', '_')}.part")
+        """Write beside and rename over in one step, so that a reader sees the old or the new one."""
+        to, part = (self._fs.makeQualified(self._path(p)) for p in (f"{self.root}/{name}", f"{self.root}/.{name.replace('/', '_')}.part"))
         out = self._fs.create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
         self._fs.mkdirs(to.getParent())
-        self._fs.delete(to, False)
-        self._fs.rename(part, to)
+        self._context.rename(part, to, self._over)
 
     def current(self) -> str | None:
         """Path of the current version."""
@@ -54,13 +61,19 @@ class MasterTable:
         return self.spark.read.parquet(path)
 
     def write(self, rows: DataFrame, source: str = "merge", **counts) -> str:
-        """A new version of rows in written order: no provider last, then by provider in lower case and position."""
+        """A new version of rows in written order: no provider last, then by provider in lower case and position.
+
+        rows are counted as they are written; the order's ranges are sampled from them beforehand, so rows
+        that are dear to compute should come from a written table, as a merge's do.
+        """
         stamp = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%d_%H-%M-%S-%f")
         path = f"{self.root}/versions/{stamp}"
         try:
+            seen = Observation()
             out = to_listing(rows).orderBy(F.col("provider").isNull(), F.lower("provider"), "_pos")
-            out.write.parquet(path)
-            saved, told = self.spark.read.parquet(path).count(), rows.count()
+            # observed above the sort, whose ranges are sampled from a pass of their own
+            out.observe(seen, F.count("*").alias("n")).write.parquet(path)
+            saved, told = self.spark.read.parquet(path).count(), seen.get["n"]
             if saved != told:
                 raise ValueError(f"{saved} rows were written of {told}")
         except Exception as error:
@@ -87,8 +100,7 @@ class MasterTable:
         """Versions, newest first, each with its last log entry."""
         names = self._names()
         paths = self.spark.createDataFrame([(f"{self.root}/versions/{n}",) for n in names], "version_path string")
-        last = self.read_log().where("version_path is not null").groupBy("version_path").agg(F.max_by(F.struct("timestamp", "row_count", "source", "new_count", "updated_count", "removed_count", "fields_changed"), "timestamp").alias("e"))
-        out = paths.join(last, "version_path", "left").select("version_path", "e.*").orderBy(F.desc("version_path"))
+        out = with_last_entry(paths, self.read_log()).orderBy(F.desc("version_path"))
         return out.limit(limit) if limit else out
 
     def _names(self) -> list[str]:
@@ -105,9 +117,48 @@ class MasterTable:
                 self.log(f"{name}-retention", False, error=str(error)[:200])
 
 
+def with_last_entry(versions: DataFrame, log: DataFrame) -> DataFrame:
+    """versions (version_path) with the fields of their last log entry, null where there is none."""
+    fields = [c for c in ("timestamp", "row_count", "source", "new_count", "updated_count", "removed_count", "fields_changed") if c in log.columns]
+    last = log.where("version_path is not null").groupBy("version_path").agg(F.max_by(F.struct(*fields), "timestamp").alias("e"))
+    return versions.join(last, "version_path", "left").select("version_path", "e.*")
+
+
+def latest_uploads(batches: DataFrame) -> DataFrame:
+    """The latest batch of each content hash, whatever its status; null hashes have none."""
+    last = batches.where("content_hash is not null").groupBy("content_hash").agg(F.max_by(F.struct(*batches.columns), F.struct("timestamp", "path")).alias("b"))
+    return last.select("b.*")
+
+
 def latest_upload(batches: DataFrame, content_hash: str) -> DataFrame:
-    """The latest batch with this content hash, whatever its status; a null hash never matches."""
-    return batches.where(F.col("content_hash") == content_hash).orderBy(F.desc("timestamp"), F.desc("path")).limit(1)
+    """The latest batch with this content hash; a null hash never matches."""
+    return latest_uploads(batches.where(F.col("content_hash") == content_hash))
+
+
+class RescueStore:
+    """What reviewers said about critical fields that no header settles, one JSON for each set of headers."""
+
+    STATE = "header_hash string, headers array<string>, assignments map<string,string>"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.table = MasterTable(spark, root)
+        self.spark, self.root = spark, self.table.root
+
+    def save(self, headers: list[str], assignments: dict[str, str | None]) -> str:
+        """Keep {field: header or null} for these headers; the last one saved counts."""
+        name = header_hash(headers)
+        self.table._write_text(f"rescues/{name}.json", json.dumps({"header_hash": name, "headers": headers, "assignments": assignments}) + "\n")
+        return name
+
+    def read(self) -> DataFrame:
+        if not self.table._exists("rescues"):
+            return self.spark.createDataFrame([], self.STATE)
+        return self.spark.read.schema(self.STATE).json(f"{self.root}/rescues")
+
+    def lookup(self, hashes: list[str]) -> dict[str, dict[str, str | None]]:
+        """The assignments of those of these header sets that have any; few headers, as a reviewer's."""
+        rows = self.read().where(F.col("header_hash").isin(hashes)).collect() if hashes else []
+        return {r["header_hash"]: dict(r["assignments"] or {}) for r in rows}
 
 
 class Staging:

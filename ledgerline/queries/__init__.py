@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import keys, linkage, tables
+from . import keys, linkage, listings, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (keys, linkage, tables):
+for _module in (keys, linkage, tables, listings):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

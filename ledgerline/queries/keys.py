@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import links
+from ..sources.documents import explode_units, strip_tags
+from ..sources.mapping import headers_key
 from .adapter import sql_key, sql_tight, table, with_listing
 
 QUERIES, ORACLES = {}, {}
@@ -151,28 +153,35 @@ def link_score(spark, sf):
     return table(spark, sf, "pages").select("page_id", links.is_generic_link(u).alias("generic"), links.score_link(u, F.lit("")).alias("score"))
 
 
-@query(None)
+_HOST = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 1 THEN {_HOST} || '/files/plan.pdf' WHEN 2 THEN {_HOST} || '/details' ELSE 'https://cdn.example.org/Brochure.pdf?v=1' END AS link, CASE page_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS score FROM pages WHERE page_id % 4 > 0")
 def page_links(spark, sf):
-    return links.best_links(table(spark, sf, "pages"))
+    """Pages behind a few more anchors, so that each score occurs; their own anchors look like no brochure."""
+    more = "CASE page_id % 4 WHEN 1 THEN '<a href=\"/files/plan.pdf\">Plan</a>' WHEN 2 THEN '<a href=\"/details\">Our <b>Brochure</b></a>' WHEN 3 THEN '<a href=\"https://cdn.example.org/Brochure.pdf?v=1\">x</a><a href=\"/next-brochure.pdf\">y</a>' ELSE '' END"
+    return links.best_links(table(spark, sf, "pages").withColumn("html", F.concat(F.expr(more), "html")))
 
 
 @query("SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS text_md5 FROM pages")
 def html_strip(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(F.regexp_replace("html", "<[^>]+>", " ").cast("binary")).alias("text_md5"))
+    return table(spark, sf, "pages").select("page_id", F.md5(strip_tags(F.col("html")).cast("binary")).alias("text_md5"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    unit = F.concat(F.lit('{"provider": "p", "units": [{"building": "b", "size_sqft": '), F.get_json_object("props", "$.k"), F.lit("}]}"))
+    units = explode_units(table(spark, sf, "events").select(F.col("event_id").cast("string").alias("file"), unit.alias("json")))
+    return units.select(F.col("source_file").cast("long").alias("event_id"), F.col("size_sqft").cast("long").alias("k"))
 
 
 @query("SELECT c_mktsegment, sha256(string_agg(CAST(c_nationkey AS VARCHAR), '␟' ORDER BY c_nationkey)) AS header_hash FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) GROUP BY 1")
 def header_hash(spark, sf):
     d = table(spark, sf, "customer").select("c_mktsegment", "c_nationkey").distinct()
-    return d.groupBy("c_mktsegment").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("c_nationkey")), lambda x: x.cast("string")), "␟"), 256).alias("header_hash"))
+    return d.groupBy("c_mktsegment").agg(headers_key(F.transform(F.sort_array(F.collect_list("c_nationkey")), lambda x: x.cast("string"))).alias("header_hash"))
 
 
-@query(rf"SELECT p_partkey, regexp_replace('See <https://www.example.org/brochures/' || p_brand || '.pdf> or' || chr(10) || chr(10) || 'to unsubscribe  now ' || p_name, ' +$', '') AS body FROM part")
+@query(rf"SELECT p_partkey, regexp_replace('See https://www.example.org/brochures/' || p_brand || '.pdf or' || chr(10) || chr(10) || 'to unsubscribe  now ' || p_name, ' +$', '') AS body FROM part")
 def email_clean(spark, sf):
     from ..sources.documents import clean_email
 

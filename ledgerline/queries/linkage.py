@@ -58,6 +58,13 @@ def match_fuzzy(spark, sf):
     return m.select(F.col("_batch_pos").alias("batch_pos"), F.col("master._pos").alias("master_pos"), "building", F.col("master.building").alias("master_building"))
 
 
+@query(None)
+def match_all_tiers(spark, sf):
+    """All three tiers, as a plan runs them."""
+    m = _matches(spark, sf, fuzzy=True)
+    return m.select(F.col("_batch_pos").alias("batch_pos"), F.col("master._pos").alias("master_pos"), "match_tier")
+
+
 @query(None)
 def suggest_near(spark, sf):
     batch, master = sides(spark, sf)
@@ -127,8 +134,7 @@ AND EXISTS (SELECT 1 FROM seen s WHERE s.kb = m.kb AND s.kp = m.kp) AND NOT EXIS
 def stale_rows(spark, sf):
     batch, master = sides(spark, sf)
     matched = _matches(spark, sf).where("match_tier is not null").select(F.col("master._pos").alias("_pos"))
-    snapshot = [r[0] for r in master.select("provider").distinct().collect()]  # here every supplier, a small dimension, sends everything
-    return stale_candidates(batch, master, matched, snapshot=snapshot).select(F.col("_pos").alias("pos"))
+    return stale_candidates(batch, master, matched, snapshot=master.select("provider")).select(F.col("_pos").alias("pos"))
 
 
 @query(

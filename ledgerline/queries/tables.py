@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import geocode, geometry, sheets
+from ..operators import display, geocode, geometry, sheets
 from ..plans.merge import select_properties
+from ..plans.table import latest_uploads, with_last_entry
+from ..sources.documents import inherit_building
 from .adapter import table
 
 QUERIES, ORACLES = {}, {}
@@ -25,10 +26,10 @@ def query(sql: str | None):
 _KIND = "CASE WHEN event_id % 3 = 0 THEN event_type END"
 
 
-@query(f"SELECT event_id, last_value({_KIND} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS building FROM events")
+@query(f"SELECT * FROM (SELECT event_id, last_value({_KIND} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS building FROM events) WHERE building IS NOT NULL")
 def carry_forward(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").select("event_id", F.last(F.expr(_KIND), ignorenulls=True).over(w).alias("building"))
+    units = table(spark, sf, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("_pos"), F.coalesce(F.expr(_KIND), F.lit("")).alias("building"))
+    return inherit_building(units).select(F.col("_pos").alias("event_id"), "building")
 
 
 @query(
@@ -36,32 +37,24 @@ def carry_forward(spark, sf):
 r AS (SELECT user_id, run, lead(min(event_type)) OVER (PARTITION BY user_id ORDER BY run) AS next FROM b GROUP BY user_id, run) SELECT event_id, next FROM b JOIN r ON b.user_id = r.user_id AND b.run = r.run"""
 )
 def next_distinct(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    e = e.withColumn("run", F.sum((~F.col("event_type").eqNullSafe(F.lag("event_type").over(w))).cast("int")).over(w))
-    runs = e.groupBy("user_id", "run").agg(F.min("event_type").alias("t")).select("user_id", "run", F.lead("t").over(Window.partitionBy("user_id").orderBy("run")).alias("next"))
-    return e.join(runs, ["user_id", "run"]).select("event_id", "next")
+    units = table(spark, sf, "events").select(F.lit("f").alias("file"), F.col("user_id").cast("string").alias("sheet"), F.col("event_id").alias("pos"), F.col("event_type").alias("building"))
+    return sheets.with_next_building(units).select(F.col("pos").alias("event_id"), F.col("next_building").alias("next"))
 
 
 @query("SELECT user_id, list_sort(list(value))[CAST(floor(count(value) / 2.0) AS BIGINT) + 1] AS median FROM events GROUP BY 1")
 def upper_median(spark, sf):
-    v = F.sort_array(F.collect_list("value"))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.element_at(v, (F.floor(F.count("value") / 2) + 1).cast("int")).alias("median"))
+    return table(spark, sf, "events").groupBy("user_id").agg(geometry.upper_median("value").alias("median"))
 
 
 @query("SELECT a.user_id, a.event_type, max(b.last) AS newest_other FROM (SELECT user_id, event_type, max(ts) AS last FROM events GROUP BY 1, 2) a LEFT JOIN (SELECT user_id, event_type, max(ts) AS last FROM events GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.event_type <> b.event_type GROUP BY 1, 2")
 def newest_sibling(spark, sf):
-    m = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last"))
-    top = m.groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("last", "event_type")), asc=False), 1, 2).alias("top"))
-    out = m.join(top, "user_id")
-    other = F.get(F.filter("top", lambda x: x["event_type"] != F.col("event_type")), 0)["last"]
-    return out.select("user_id", "event_type", other.alias("newest_other"))
+    dates = table(spark, sf, "events").groupBy(F.col("user_id").alias("file"), F.col("event_type").alias("sheet")).agg(F.max("ts").alias("updated"))
+    return sheets.newest_siblings(dates).select(F.col("file").alias("user_id"), F.col("sheet").alias("event_type"), F.col("newest").alias("newest_other"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '9') OR contains(lower(c_mktsegment), 'build')")
+@query("SELECT c_custkey, c_name FROM customer WHERE regexp_matches(lower(c_name), '[3-5]9|^b.*ing$') OR regexp_matches(lower(c_mktsegment), '[3-5]9|^b.*ing$')")
 def search_filter(spark, sf):
-    hit = F.lower("c_name").contains("9") | F.lower("c_mktsegment").contains("build")
-    return table(spark, sf, "customer").where(hit).select("c_custkey", "c_name")
+    return display.search(table(spark, sf, "customer"), " [3-5]9|^B.*ing$ ", ["c_name", "c_mktsegment", "no_such_column"]).select("c_custkey", "c_name")
 
 
 @query("(SELECT c_custkey AS property_id FROM customer WHERE c_custkey % 3 = 0 AND NOT c_acctbal > 0) UNION SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey % 5 = 0")
@@ -74,7 +67,8 @@ def selection_set(spark, sf):
 
 @query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_name IS NULL, lower(s_name), s_suppkey LIMIT 10")
 def provider_sort(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", "s_name").orderBy(F.col("s_name").isNull(), F.lower("s_name"), "s_suppkey").limit(10)
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("_pos"), F.col("s_name").alias("provider"))
+    return rows.orderBy(*display.provider_order()).limit(10).select(F.col("_pos").alias("s_suppkey"), F.col("provider").alias("s_name"))
 
 
 @query(
@@ -82,13 +76,14 @@ def provider_sort(spark, sf):
 )
 def version_log(spark, sf):
     e = table(spark, sf, "events")
-    last = e.where("event_id % 2 = 0").groupBy(F.col("user_id").alias("version")).agg(F.max("ts").alias("stamp"))
-    return e.select(F.col("user_id").alias("version")).distinct().join(last, "version", "left")
+    log = e.where("event_id % 2 = 0").select(F.col("user_id").alias("version_path"), F.col("ts").alias("timestamp"), F.col("event_type").alias("source"))
+    return with_last_entry(e.select(F.col("user_id").alias("version_path")).distinct(), log).select(F.col("version_path").alias("version"), F.col("timestamp").alias("stamp"))
 
 
 @query("SELECT o_orderpriority AS content_hash, max(o_orderkey) AS path FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY o_orderpriority) AS last FROM orders) WHERE o_orderdate = last GROUP BY 1")
 def latest_upload(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("content_hash")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("path"))
+    batches = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("timestamp"), F.col("o_orderpriority").alias("content_hash"))
+    return latest_uploads(batches).select("content_hash", "path")
 
 
 @query("SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1")
@@ -101,9 +96,8 @@ def first_of_each(spark, sf):
     """WITH a AS (SELECT doc_id, count(*) OVER (PARTITION BY source) AS n, source, lang FROM documents) SELECT doc_id, source || ' — ' || lang || CASE WHEN n > 1 THEN ' — ' || CAST(doc_id AS VARCHAR) ELSE '' END AS label FROM a"""
 )
 def new_labels(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    many = d.groupBy("source").agg(F.count("*").alias("n"))
-    return d.join(many, "source").select("doc_id", F.concat_ws(" — ", "source", "lang", F.when(F.col("n") > 1, F.col("doc_id").cast("string"))).alias("label"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("_pos"), F.col("source").alias("address_1"), F.col("lang").alias("provider"), F.col("doc_id").cast("string").alias("floor_unit"))
+    return display.property_labels(rows).select(F.col("_pos").alias("doc_id"), "label")
 
 
 def _lines(spark, sf):
@@ -173,10 +167,10 @@ def garbled_files(spark, sf):
 
 @query(
     """WITH u AS (SELECT o_orderkey AS unit_id, o_custkey AS page, 100 * (o_orderkey % 7) + 20.0 AS y FROM orders), k AS (SELECT page FROM u GROUP BY 1 HAVING count(*) >= 2), l AS (SELECT o_custkey AS page, 'u' || CAST(o_orderkey AS VARCHAR) AS uri, 100 * (o_orderkey % 7) + 25.0 + (o_orderkey % 3) * 4 AS y FROM orders)
-SELECT u.unit_id, min(uri) AS uri FROM u JOIN k ON k.page = u.page JOIN l ON l.page = u.page AND abs(l.y - u.y) <= 12 GROUP BY 1 HAVING count(*) = 1"""
+SELECT u.unit_id, min(uri) AS uri FROM u JOIN k ON k.page = u.page JOIN l ON l.page = u.page AND abs(l.y - u.y) <= 12 WHERE u.unit_id <> 0 GROUP BY 1 HAVING count(*) = 1"""
 )
 def row_links(spark, sf):
-    """Orders as units of a customer's page: one word, the order's key, shows a unit's size; each has a link some points below."""
+    """Orders as units of a customer's page: one word, the order's key, shows a unit's size; each has a link some points below. A size of 0 places no unit."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("page"), (100 * (F.col("o_orderkey") % 7)).cast("double").alias("y"))
     units = o.select(F.col("k").alias("unit_id"), "page", F.lit("").alias("floor_unit"), F.col("k").cast("double").alias("size_sqft"))
     words = o.select("page", F.lit(0.0).alias("x0"), (F.col("y") + 15).alias("y0"), F.lit(9.0).alias("x1"), (F.col("y") + 25).alias("y1"), F.col("k").cast("string").alias("text"))
@@ -186,7 +180,7 @@ def row_links(spark, sf):
 
 
 @query(
-    """SELECT c_custkey AS pos, CASE WHEN c_nationkey % 4 = 0 THEN 51.5 WHEN inside THEN 51.4 END AS lat, CASE WHEN c_nationkey % 4 = 0 THEN 'given' WHEN inside THEN c_mktsegment END AS submarket FROM (SELECT *, c_nationkey % 3 > 0 AS inside FROM customer)"""
+    """SELECT c_custkey AS pos, CASE WHEN c_nationkey % 4 = 0 THEN 51.5 WHEN inside THEN 51.4 END AS lat, CASE WHEN c_nationkey % 4 = 0 THEN 'given' WHEN inside THEN 'Area' END AS submarket FROM (SELECT *, c_nationkey % 3 > 0 AS inside FROM customer)"""
 )
 def geocode_places(spark, sf):
     """Customers as listings: some have coordinates, others are looked up among responses of which some lie outside London."""
@@ -199,4 +193,6 @@ def geocode_places(spark, sf):
     part = F.array(F.struct(F.col("c_mktsegment").alias("name"), F.array(F.lit("neighborhood")).alias("types")))
     lat = F.when(F.col("c_nationkey") % 3 > 0, 51.4).otherwise(48.0)
     responses = c.select(F.concat_ws(", ", "c_name", F.lit("London, UK")).alias("query"), F.lit("places").alias("kind"), F.lit("OK").alias("status"), lat.alias("lat"), F.lit(0.0).alias("lng"), part.alias("components"))
-    return geocode.geocode_rows(rows, responses).select(F.col("_pos").alias("pos"), "lat", "submarket")
+    # the area comes from what stands at the coordinates
+    there = responses.select(F.lit("51.4,0.0").alias("query"), F.lit("reverse").alias("kind"), "status", F.lit(0.0).alias("lat"), "lng", F.array(F.struct(F.lit("Area").alias("name"), F.array(F.lit("sublocality")).alias("types"))).alias("components")).distinct()
+    return geocode.geocode_rows(rows, responses.unionByName(there)).select(F.col("_pos").alias("pos"), "lat", "submarket")

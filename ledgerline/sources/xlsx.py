@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.schema import to_listing
+from ..operators.sheets import classify_sheets, sheet_lines
+from .mapping import CRITICAL, headers_key, resolve
+
 CELLS = "file string, sheet string, sheet_state string, row_no int, col_no int, value string, formula string, hyperlink string"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -73,6 +77,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def formula_fallback(formula):
     """The value that an exported placeholder formula falls back to: text in quotes, or a number."""
+    # a fixed format: how exports write formulas that other programs lack
     inner = F.regexp_extract(formula, r"(?s)^=IFERROR\(__xludf\.DUMMYFUNCTION\(.*\),\s*(.+)\)$", 1)
     inner = F.trim(inner)
     quoted = inner.rlike('(?s)^".*"$') & (F.length(inner) >= 2)
@@ -98,6 +103,68 @@ def sheet_headers(cells: DataFrame, header_row: int = 1) -> list[str]:
     return [str(rows.get(k) or f"column {k}") for k in range(1, max(rows, default=0) + 1)]
 
 
+def workbook_sheets(data: bytes) -> list[tuple[str, str]]:
+    """(name, state) of a workbook's sheets, in order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    return [(s.get("name"), s.get("state") or "visible") for s in root.iter(f"{_MAIN}sheet")]
+
+
+def list_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, position, sheet, sheet_state) of all workbooks under a path, empty sheets included; a CSV file is one sheet without a name."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(f, k, *s) for f, data in zip(batch["path"], batch["content"], strict=True) for k, s in enumerate([(None, "visible")] if f.lower().endswith(".csv") else workbook_sheets(data))]
+            yield pd.DataFrame(rows, columns=["file", "position", "sheet", "sheet_state"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,csv}").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, position int, sheet string, sheet_state string")
+
+
+def read_listing(cells: DataFrame, header_row: int = 1) -> DataFrame:
+    """Listing rows of one sheet that this engine wrote, under whatever order its columns have.
+
+    Each column is known by its own header; columns of no field go, missing ones are null. The
+    brochure link is the cell's link and not its text.
+    """
+    headers = sheet_headers(cells, header_row)
+    return to_listing(sheet_table(cells, headers, header_row))
+
+
+def scan_upload(spark: SparkSession, path: str, rescues: dict[str, dict] | None = None) -> DataFrame:
+    """One row for each sheet of the workbooks under a path: (file, sheet, sheet_state, headers, header_hash, mapping,
+    unresolved, outcome, reasons).
+
+    A sheet whose headers settle all critical fields, perhaps with a kept rescue (by header hash), has
+    no outcome; the others are classified, by their own lines and the dates of the file's other
+    unresolved sheets. Headers come from each sheet's first row.
+    """
+    cells = read_cells(spark, path)
+    head = cells.where("row_no = 1").select("file", "sheet", "col_no", cell_text("").alias("t"))
+    head = head.groupBy("file", "sheet").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "t"))).alias("m"))
+    names = F.transform(F.sequence(F.lit(1), F.array_max(F.map_keys("m")).cast("int")), lambda k: F.coalesce(F.nullif(F.col("m")[k], F.lit("")), F.concat(F.lit("column "), k.cast("string"))))
+    head = head.select("file", "sheet", names.alias("headers"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file, sheet, headers in zip(batch["file"], batch["sheet"], batch["headers"], strict=True):
+                names = list(headers)
+                mapping, open_ = resolve(names, file.rsplit("/", 1)[-1], rescues)
+                rows.append((file, sheet, names, {h: f for h, f in mapping.items() if f}, open_))
+            yield pd.DataFrame(rows, columns=["file", "sheet", "headers", "mapping", "unresolved"])
+
+    found = head.mapInPandas(run, "file string, sheet string, headers array<string>, mapping map<string,string>, unresolved array<string>")
+    found = found.withColumn("header_hash", headers_key("headers"))
+    every = list_sheets(spark, path).where("sheet is not null").join(found, ["file", "sheet"], "left")
+    every = every.withColumn("unresolved", F.coalesce("unresolved", F.array(*map(F.lit, CRITICAL))))
+    doubtful = every.where(F.size("unresolved") > 0).select("file", "sheet", "sheet_state")
+    lines = sheet_lines(cells.withColumn("value", cell_text("")).join(doubtful.select("file", "sheet"), ["file", "sheet"], "left_semi"))
+    told = classify_sheets(doubtful, lines).select("file", "sheet", "outcome", "reasons")
+    return every.join(told, ["file", "sheet"], "left").select("file", "position", "sheet", "sheet_state", "headers", "header_hash", "mapping", "unresolved", "outcome", "reasons")
+
+
 def write_workbook(rows: list[dict], columns: list[str], labels: list[str], sheet: str = "Sheet1") -> bytes:
     """A workbook of few rows, such as an export a person opens; text as inline strings, links as hyperlinks."""
     letters = lambda k: (letters((k - 1) // 26) if k > 26 else "") + chr(65 + (k - 1) % 26)
