@@ -3,11 +3,12 @@
 1. Chunks of documents exchange their shingles, which gives every shingle its number of occurrences
    and so a global order, rare ones first.
 2. Documents with equal sets form a class. Two classes that link share a shingle of their prefixes
-   (the rarest tenth); star edges over prefix shingles give groups outside which nothing can link.
+   (the rarest tenth) and have sizes within the ratio; star edges over the documents of a prefix shingle,
+   cut where sizes are too far apart, give groups outside which nothing can link.
 3. Within a group each set is a query against inverted lists: short lists are merged and counted,
    long ones are probed by binary search, and those reaching the needed overlap are kept.
-   A group too large for one task first meets one of its members, then what did not link to that
-   member meets the whole group in blocks.
+   A group of more than task_shingles first meets one of its members, each document on its own; then
+   what did not link to that member meets the whole group in blocks of that size.
 """
 
 from __future__ import annotations
@@ -91,46 +92,61 @@ def _profiles(chunks: DataFrame, k: int, ratio: int) -> DataFrame:
     return chunks.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary")
 
 
-def _prefix_edges(reps: DataFrame, buckets: int) -> DataFrame:
-    """Star edges (a, b) between documents that share a prefix shingle, to the smallest of them.
+def size_runs(token: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, ratio: int):
+    """What documents with one shingle fall into by their set sizes, as two sets link only if the smaller has ratio per cent of the larger.
 
-    A task sends each shingle once, with the smallest id it has seen, and its own stars as edges,
-    so a shingle of very many documents is as many rows as there are tasks.
+    Rows are (shingle, least size, greatest size, smallest document). Runs end where a size is out of
+    reach of all before it. Returns (shingle, least, greatest, document) of each run, and star edges
+    (run's document, document) within it.
+    """
+    order = np.lexsort((doc, low, token))
+    token, low, high, doc = token[order], low[order], high[order], doc[order]
+    if not len(token):
+        return token, low, high, doc, np.zeros((0, 2), np.int64)
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    # greatest size so far of the same shingle
+    reach = np.maximum.accumulate(np.cumsum(new).astype(np.int64) << 32 | high) & 0xFFFFFFFF
+    new[1:] |= 100 * reach[:-1] < ratio * low[1:]
+    at = np.flatnonzero(new)
+    first = np.minimum.reduceat(doc, at)
+    mine = first[np.cumsum(new) - 1]
+    edge = np.unique(np.stack([mine, doc], 1)[mine != doc], axis=0)
+    return token[at], low[at], np.maximum.reduceat(high, at), first, edge
+
+
+def _prefix_edges(reps: DataFrame, buckets: int, ratio: int) -> DataFrame:
+    """Star edges (a, b) between documents that share a prefix shingle and whose sizes a chain of others brings together.
+
+    A task sends each run of a shingle once, with its sizes and the smallest id, and its own stars as
+    edges, so a shingle of very many documents is a few rows for each task.
     """
-
-    def stars(token, doc):
-        order = np.lexsort((doc, token))
-        token, doc = token[order], doc[order]
-        first = np.ones(len(token), bool)
-        first[1:] = token[1:] != token[:-1]
-        low = doc[first][np.cumsum(first) - 1] if len(doc) else doc
-        edge = np.unique(np.stack([low, doc], 1)[low != doc], axis=0)
-        return token[first], doc[first], edge
 
     def send(batches):
         for batch in batches:
-            docs = batch.column("doc_id").to_numpy()
+            docs, sizes = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
             raw = batch.column("prefix").to_pylist()
             token = np.concatenate([unpack(x, U64) for x in raw]) if raw else np.zeros(0, U64)
-            doc = np.repeat(docs, [len(x or b"") // 8 for x in raw])
-            token, doc, edge = stars(token, doc)
-            order, cut = by_bucket((mix(token) % U64(buckets)).astype(np.int64), buckets)
-            rows = [(int(k), pack(token[order[i:j]]), pack(doc[order[i:j]])) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+            count = [len(x or b"") // 8 for x in raw]
+            size = np.repeat(sizes, count)
+            *run, edge = size_runs(token, size, size, np.repeat(docs, count), ratio)
+            order, cut = by_bucket((mix(run[0]) % U64(buckets)).astype(np.int64), buckets)
+            rows = [(int(k), *[pack(c[order[i:j]]) for c in run]) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
             for i in range(0, len(edge), 100_000):
                 part = edge[i : i + 100_000]
-                rows.append((-1 - int(part[0, 1]) % buckets, None, pack(part)))
-            bucket, tokens, ids = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(tokens, pa.binary()), pa.array(ids, pa.binary())], names=["bucket", "tokens", "ids"])
+                rows.append((-1 - int(part[0, 1]) % buckets, None, None, None, pack(part)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "tokens", "low", "high", "ids"])
 
     def meet(table: pa.Table) -> pa.Table:
-        ids = np.concatenate([unpack(x, np.int64) for x in table["ids"].to_pylist()])
+        get = lambda c, t: np.concatenate([unpack(x, t) for x in table[c].to_pylist()])
         if table["bucket"][0].as_py() < 0:
-            edge = ids.reshape(-1, 2)
+            edge = get("ids", np.int64).reshape(-1, 2)
         else:
-            edge = stars(np.concatenate([unpack(x, U64) for x in table["tokens"].to_pylist()]), ids)[2]
+            edge = size_runs(get("tokens", U64), get("low", np.int64), get("high", np.int64), get("ids", np.int64), ratio)[-1]
         return pa.table({"a": pa.array(edge[:, 0]), "b": pa.array(edge[:, 1])})
 
-    return reps.select("doc_id", "prefix").mapInArrow(send, "bucket int, tokens binary, ids binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return reps.select("doc_id", "n", "prefix").mapInArrow(send, "bucket int, tokens binary, low binary, high binary, ids binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def divide_skip(sets: list[np.ndarray], ratio: int, query: np.ndarray, known: np.ndarray, mu: float = 0.0085) -> np.ndarray:
@@ -181,7 +197,7 @@ def divide_skip(sets: list[np.ndarray], ratio: int, query: np.ndarray, known: np
     return root
 
 
-def similarity_components(docs: DataFrame, ratio: int = 90, k: int = 3, task_shingles: int = 2_000_000) -> DataFrame:
+def similarity_components(docs: DataFrame, ratio: int = 90, k: int = 3, task_shingles: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     Two documents link when 100 * |intersection| >= ratio * |union| of their distinct k-word
@@ -203,7 +219,7 @@ def similarity_components(docs: DataFrame, ratio: int = 90, k: int = 3, task_shi
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes, "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    groups = components(_prefix_edges(reps, buckets), scratch)
+    groups = components(_prefix_edges(reps, buckets, ratio), scratch)
     sizes = reps.join(groups.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "component", "n", "s1", "s2")
     sizes = scratch.save(sizes, "members")
     weight = scratch.save(sizes.groupBy("component").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("blocks")), "weights")
@@ -233,16 +249,18 @@ def similarity_components(docs: DataFrame, ratio: int = 90, k: int = 3, task_shi
         return pa.table({"a": pa.array(ids[root[apart]], pa.int64()), "b": pa.array(ids[apart], pa.int64())})
 
     edges = scratch.save(sets_of(weight.where("blocks <= 1")).groupBy("component").applyInArrow(links, "a long, b long"), "links")
+    large = None
     if not weight.where("blocks > 1").isEmpty():
         large = scratch.save(sets_of(weight.where("blocks > 1")), "large")
-        edges = edges.unionByName(_large_groups(large, scratch, ratio, links))
+        edges = edges.unionByName(_large_groups(large, scratch, ratio, task_shingles, links))
     found = components(edges, scratch)
+    scratch.drop(sizes, weight, *([large] if large is not None else []))
     classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("n", "s1", "s2", "component")
     out = profiles.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _large_groups(large: DataFrame, scratch: Scratch, ratio: int, links) -> DataFrame:
+def _large_groups(large: DataFrame, scratch: Scratch, ratio: int, task_shingles: int, links) -> DataFrame:
     """Edges within groups that no task could hold: first against one member, then by blocks."""
     centre = large.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
     centre = centre.join(large, ["component", "doc_id"]).select("component", F.col("doc_id").alias("centre"), F.col("tokens").alias("centre_tokens"))
@@ -259,7 +277,7 @@ def _large_groups(large: DataFrame, scratch: Scratch, ratio: int, links) -> Data
 
     met = scratch.save(large.join(centre, "component").mapInArrow(meet, "component long, blocks int, doc_id long, tokens binary, label long, query boolean"), "met")
     edges = met.where("label <> doc_id").select(F.col("label").alias("a"), F.col("doc_id").alias("b"))
-    left = met.where("query").groupBy("component").agg(F.ceil(F.count("*") / 2000).cast("int").alias("query_blocks"))
+    left = met.where("query").groupBy("component").agg(F.ceil(F.sum(F.length("tokens")) / (8 * task_shingles)).cast("int").alias("query_blocks"))
     met = met.join(left, "component")
     spot = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
     side = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("query_blocks").cast("long")).cast("int")

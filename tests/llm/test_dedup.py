@@ -123,6 +123,26 @@ def test_jaccard_chain(spark):
         assert got == brute_links({d: shingles(t, 3) for d, t in rows}, 90)
 
 
+def test_size_runs():
+    """Sizes out of reach of all before them begin a run; runs of several tasks join where a size between them does."""
+    run = lambda rows: ngram_jaccard.size_runs(*(np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64, np.int64), strict=True)), 90)
+    token, low, high, doc, edge = run([(7, 100, 100, 5), (7, 92, 92, 9), (7, 80, 80, 1), (7, 111, 111, 3), (8, 100, 100, 2)])
+    assert list(zip(token.tolist(), low.tolist(), high.tolist(), doc.tolist(), strict=True)) == [(7, 80, 80, 1), (7, 92, 111, 3), (8, 100, 100, 2)]
+    assert edge.tolist() == [[3, 5], [3, 9]]
+    assert run([(7, 80, 85, 4), (7, 95, 120, 2), (7, 90, 90, 6)])[-1].tolist() == [[2, 4], [2, 6]]
+    assert run([(7, 80, 85, 4), (7, 95, 120, 2)])[-1].tolist() == []
+
+
+def test_chain_longer_than_a_task(spark):
+    """A chain of links that no task holds whole, beside texts that share rare shingles and never link."""
+    base = [f"w{i}" for i in range(600)]
+    rows = [(n, " ".join(base[2 * n :] + [f"v{i}" for i in range(2 * n)])) for n in range(40)]
+    rows += [(100 + n, " ".join(base[:60] + [f"x{n}y{i}" for i in range(30 + 40 * n)])) for n in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.similarity_components(df, task_shingles=2500).collect()}
+    assert got == brute_links({d: shingles(t, 3) for d, t in rows}, 90)
+
+
 def test_keep_one(docs):
     kept = [r.doc_id for r in ngram_jaccard.keep_one(docs, 90, 3).collect()]
     assert 8 in kept and 9 not in kept and kept.count(None) == 2
