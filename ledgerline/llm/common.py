@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import ctypes.util
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -20,47 +23,75 @@ BLOCK_BYTES = 3 << 20
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _saving = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _shuffle_files_go(spark: SparkSession):
+    """While any table of the session is being saved, shuffle files go as soon as their query ends."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _saving.get(key) or (0, spark.conf.get(CLEANUP, "false"))
+        _saving[key] = (n + 1, before)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _saving[key]
+            _saving[key] = (n - 1, before)
+            if n == 1:
+                del _saving[key]
+                spark.conf.set(CLEANUP, before)
 
 
 class Scratch:
-    """Tables written to the cluster's shared checkpoint folder: they cut lineage and outlive executors."""
+    """Tables written to the cluster's shared checkpoint folder: they cut lineage and outlive executors.
+
+    What nothing reads any more is dropped at once; tables that a result reads lazily go when the driver
+    ends. The folder is spark.checkpoint.dir; only a session that runs in one process may lack it.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not current.isDefined() and not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="ledgerline-")
             if not current.isDefined():
                 spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root}/ledgerline-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        atexit.register(self._end)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it reread; its shuffle files go as soon as it is written."""
-        path, conf = self.path(name), self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
-        try:
+        path = self.path(name)
+        with _shuffle_files_go(self.spark):
             df.write.parquet(path)
-        finally:
-            conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = self.paths.pop(id(t), None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+            if path := self.paths.pop(id(t), None):
+                self._delete(path)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before, or on a lost gateway
+            self._delete(self.root)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -17,11 +17,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     loops yield a component of one; an empty table yields an empty result.
     """
     e = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    nodes = None
-    cur = scratch.save(e, "edges")
-    first = cur
-    cur = cur.where("u > v")
-    state = None
+    first = scratch.save(e, "edges")
+    cur, saved, state = first.where("u > v"), None, None
     for _ in range(rounds):
         # large star: u's larger neighbours are told of u's smallest neighbour (or of u itself)
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,6 +28,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         new = scratch.save(small, "stars")
+        if saved is not None:
+            scratch.drop(saved)
+        saved = new
         now = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first()
         if now == state:
             cur = new
@@ -40,4 +40,6 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         raise RuntimeError("components did not settle")
     nodes = first.select(F.col("u").alias("id")).union(first.select(F.col("v").alias("id"))).distinct()
     roots = cur.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
-    return scratch.save(nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component")), "components")
+    out = scratch.save(nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component")), "components")
+    scratch.drop(first, saved)
+    return out

@@ -239,4 +239,6 @@ def _search(classes: DataFrame, width: int, total: int, threshold: float, max_sa
             release()
         return out
 
-    return scratch.save(entries.unionByName(asks).groupBy("cell", "part", "block").applyInArrow(search, "id long, links long, b long, edge boolean"), "found")
+    found = scratch.save(entries.unionByName(asks).groupBy("cell", "part", "block").applyInArrow(search, "id long, links long, b long, edge boolean"), "found")
+    scratch.drop(filed)
+    return found

@@ -26,6 +26,15 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_examples(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as instruction data: only what the assistant says bears loss, and all three limits bind."""
+    from .packing import pack_examples
+
+    said = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), F.when(said, F.col("text")).alias("text"), F.when(~said, F.col("text")).alias("prompt"))
+    return pack_examples(turns, tokenizer_path("word_bpe_49k.json"), max_segments=32, max_loss=1024, prompt="prompt")
+
+
 def _crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
@@ -108,5 +117,5 @@ def op1_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation, op6_huffman_ids, op1_bwt_merge,)}
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation, op6_huffman_ids, op1_bwt_merge, pack_conversations)}
 ORACLES: dict[str, str] = {"op1_bwt_merge": oracles.OP1, "op3_product_quantisation": oracles.OP3, "op4_block_anchors": oracles.OP4, "op9_divide_skip_join": oracles.OP9}

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import crf_language as crf
+from ledgerline.llm import queries as q
 from ledgerline.llm.docstats import stats_column
 from ledgerline.llm.encode import Encoder
 from ledgerline.llm.isolation_rules import apply_rules, fit_forest
@@ -99,3 +100,9 @@ def test_packing_places_each_id_once(spark, texts, segments, loss, prompt):
             assert r.loss_tokens == r.length - max(0, min(r.length, len(lead) - at))
             at += r.length
         assert at == len(ids)
+
+
+def test_conversations_bind_all_limits(spark):
+    rows = q.pack_conversations(spark, SF).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.sum("loss_tokens").alias("loss")).collect()
+    assert all(r.n <= 2048 and r.k <= 32 and r.loss <= 1024 for r in rows)
+    assert any(r.n == 2048 for r in rows) or any(r.k == 32 for r in rows) or any(r.loss == 1024 for r in rows)
