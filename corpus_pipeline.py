@@ -21,18 +21,30 @@ TARGETS = {"clean": None, "toxic": 0.0}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble scores 0.7 or more."""
+    """Documents that the rule ensemble scores 0.7 or more.
+
+    Null and empty texts are scored by their zero statistics; equal rows are kept or dropped together; all
+    columns stay, whatever their names; an empty table stays empty.
+    """
     model = fit_quality(docs, read(spark, sf_dir, "labels"))
     return score_quality(docs, model, "_quality_score").where("_quality_score >= 0.7").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that with the smallest doc_id.
+
+    Null, empty and wordless texts and rows with a null doc_id have no duplicates and stay; rows that share
+    the kept doc_id all stay; columns of any name stay; an empty table stays empty.
+    """
     return keep_one(docs, ratio=80, k=5)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document before them has."""
+    """Texts without the passages of 13 words or more that a document with a smaller doc_id has.
+
+    Null and empty texts stay as they are (null as empty); a row that loses all its words goes; rows that
+    share a doc_id keep what only they share; n_chars is counted anew; an empty table stays empty.
+    """
     return drop_repeats(docs, window=13)
 
 
@@ -47,7 +59,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens.
+
+    Null and empty texts are their end id alone; repeated rows are packed each; other columns are ignored;
+    an empty table gives no rows.
+    """
     return pack_examples(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -60,5 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        kept = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
