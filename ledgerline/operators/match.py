@@ -27,41 +27,45 @@ def with_keys(rows: DataFrame) -> DataFrame:
     )
 
 
-def sole(rows: DataFrame, keys: list[str], target: str, pos: str = "_pos") -> DataFrame:
-    """keys and `target`, the position of the row that alone has them."""
-    found = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(pos).alias(target))
-    return found.where("_n = 1").drop("_n")
-
-
-def match_batch(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos: str = "_pos") -> DataFrame:
-    """batch with match_tier (postcode, fallback, fuzzy_building or null) and the master row it matched.
+def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos: str = "_pos", checkpoint=None) -> DataFrame:
+    """batch with match_tier (postcode, fallback, fuzzy_building or null) and master_pos, the position of the row it matched.
 
     A tier matches when exactly one master row has the key. The postcode tier needs a postcode; the
     fallback ignores it, even a conflicting one; the fuzzy tier looks at rows still unmatched whose
-    building has no digit. Only keys that are unique on the master's side are joined, so no batch row
-    is multiplied, and fuzzy names are scored once for each distinct pair within a block. The tiers
-    carry positions (`pos`, distinct in the master); whole master rows are joined once at the end.
+    building has no digit. The master's keys are counted once, in one aggregate that all tiers read.
+    Only keys that are unique on the master's side are joined, so no batch row is multiplied, and fuzzy
+    names are scored once for each distinct pair within a block. `pos` is distinct in the master.
+    checkpoint(df, name) keeps what the exact tiers found and the pairs of names, which are read twice.
     """
-    new, old = with_keys(batch), with_keys(master)
-    first = sole(old.where("k_postcode is not null"), [*KEYS, "k_postcode"], "_m1", pos)
-    second = sole(old, KEYS, "_m2", pos)
-    out = new.join(first, [*KEYS, "k_postcode"], "left").join(second, KEYS, "left")
+    new = with_keys(batch)
+    kinds = with_keys(master).groupBy(*KEYS, "k_postcode", "k_name").agg(F.count("*").alias("_n"), F.min(pos).alias("_at"))
+    count = lambda rows, keys, at: rows.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.min("_at").alias(at))
+    sole = lambda rows, keys, at: count(rows, keys, at).where("_n = 1").drop("_n")
+    first = sole(kinds.where("k_postcode is not null"), [*KEYS, "k_postcode"], "_m1")
+    out = new.join(first, [*KEYS, "k_postcode"], "left").join(sole(kinds, KEYS, "_m2"), KEYS, "left")
     tier = F.when(F.col("_m1").isNotNull(), "postcode").when(F.col("_m2").isNotNull(), "fallback")
     found = F.coalesce("_m1", "_m2")
     if fuzzy:
+        keep = checkpoint or (lambda df, name: df)
+        out = keep(out, "exact")
         block = ["k_provider", "k_floor"]
-        heads = old.where("k_name is not null").groupBy(*block, F.col("k_name").alias("_old")).agg(F.count("*").alias("_n"), F.min(pos).alias("_at"))
+        heads = count(kinds.where("k_name is not null").withColumnRenamed("k_name", "_old"), [*block, "_old"], "_at")
         asks = out.where(tier.isNull() & F.col("k_name").isNotNull()).select(*block, F.col("k_name").alias("_new")).distinct()
-        pairs = asks.join(heads, block).where(may_reach(F.col("_new"), F.col("_old"), FUZZY_CUTOFF))
+        pairs = keep(asks.join(heads, block).where(may_reach(F.col("_new"), F.col("_old"), FUZZY_CUTOFF)), "pairs")
         near = scored_pairs(pairs, "_new", "_old", FUZZY_CUTOFF)
         close = pairs.join(near, ["_new", "_old"]).groupBy(*block, F.col("_new").alias("k_name")).agg(F.sum("_n").alias("_n"), F.min("_at").alias("_m3"))
         out = out.join(close.where("_n = 1").drop("_n"), [*block, "k_name"], "left")
         third = F.when(tier.isNull(), F.col("_m3"))
         tier = F.coalesce(tier, F.when(third.isNotNull(), F.lit("fuzzy_building")))
         found = F.coalesce(found, third)
-    out = out.select(*batch.columns, tier.alias("match_tier"), found.alias("_found"))
-    rows = master.select(F.col(pos).alias("_found"), F.struct(*master.columns).alias("master"))
-    return out.join(rows, "_found", "left").select(*batch.columns, "match_tier", "master")
+    return out.select(*batch.columns, tier.alias("match_tier"), found.alias("master_pos"))
+
+
+def match_batch(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos: str = "_pos", checkpoint=None) -> DataFrame:
+    """batch with match_tier and `master`, the whole row that match_positions found."""
+    rows = master.select(F.col(pos).alias("master_pos"), F.struct(*master.columns).alias("master"))
+    found = match_positions(batch, master, fuzzy, pos, checkpoint)
+    return found.join(rows, "master_pos", "left").select(*batch.columns, "match_tier", "master")
 
 
 def suggest_similar(rows: DataFrame, master: DataFrame, top: int = 3) -> DataFrame:

@@ -51,21 +51,29 @@ def collisions(diffed: DataFrame, master_pos: str = "_pos") -> DataFrame:
     return groups.select("master_pos", "n", F.filter(order, lambda x: F.array_contains("f", x)).alias("fields"))
 
 
-def duplicate_edges(rows: DataFrame, pos: str = "_pos") -> DataFrame:
-    """(a, b): each row to the first of its group, over equal keys and over streets without a contradiction.
+def duplicate_keys(rows: DataFrame, pos: str = "_pos") -> DataFrame:
+    """(pos, match keys, k_postcode, street, number): what rows may be duplicates by."""
+    found = {"street": street_key(F.col("building")), "number": house_number(F.col("building"))}
+    return with_keys(rows).withColumns(found).select(pos, *KEYS, "k_postcode", "street", "number")
+
+
+def duplicate_edges(keys: DataFrame, pos: str = "_pos") -> DataFrame:
+    """(a, b) of duplicate_keys: each row to the first of its group, over equal keys and over streets without a contradiction.
 
     Rows are alike under the match key with the postcode, or without one if they have none. Rows of
     one street, provider and floor are alike if the whole group names at most one house number and
     at most one postcode.
     """
-    k = with_keys(rows)
-    exact = k.groupBy(*KEYS, F.coalesce("k_postcode", F.lit("")).alias("p"), F.col("k_postcode").isNull().alias("q")).agg(F.min(pos).alias("a"))
-    by_key = k.select(F.col(pos).alias("b"), *KEYS, F.coalesce("k_postcode", F.lit("")).alias("p"), F.col("k_postcode").isNull().alias("q")).join(exact, [*KEYS, "p", "q"])
-    s = k.withColumns({"street": street_key(F.col("building")), "number": house_number(F.col("building"))}).where("street <> ''")
+    k = keys.withColumns({"p": F.coalesce("k_postcode", F.lit("")), "q": F.col("k_postcode").isNull()})
+    exact = k.groupBy(*KEYS, "p", "q").agg(F.min(pos).alias("a"), F.count("*").alias("n")).where("n > 1")
+    by_key = k.join(exact, [*KEYS, "p", "q"]).select("a", F.col(pos).alias("b"))
     group = ["street", "k_provider", "k_floor"]
-    fine = s.groupBy(*group).agg(F.min(pos).alias("a"), F.count_distinct("number").alias("numbers"), F.count_distinct("k_postcode").alias("postcodes")).where("numbers <= 1 and postcodes <= 1")
-    by_street = s.select(F.col(pos).alias("b"), *group).join(fine, group)
-    return by_key.select("a", "b").union(by_street.select("a", "b")).where("a <> b").distinct()
+    s = keys.where("street <> ''")
+    # at most one value: the least is the greatest
+    fine = s.groupBy(*group).agg(F.min(pos).alias("a"), F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("number", "k_postcode") for f in (F.min, F.max)])
+    fine = fine.where("n > 1 and coalesce(min_number = max_number, true) and coalesce(min_k_postcode = max_k_postcode, true)").select(*group, "a")
+    by_street = s.join(fine, group).select("a", F.col(pos).alias("b"))
+    return by_key.union(by_street).where("a <> b").distinct()
 
 
 def connected(edges: DataFrame, checkpoint, rounds: int = 60) -> DataFrame:
@@ -90,5 +98,5 @@ def connected(edges: DataFrame, checkpoint, rounds: int = 60) -> DataFrame:
 
 def duplicate_groups(rows: DataFrame, checkpoint, pos: str = "_pos") -> DataFrame:
     """(pos, component) of new rows that are duplicates of each other; component is the first row's position."""
-    named = checkpoint(rows.select("building", "provider", "floor_unit", "postcode", pos), "new_rows")
-    return connected(duplicate_edges(named, pos), checkpoint).withColumnRenamed("id", pos)
+    keys = checkpoint(duplicate_keys(rows, pos), "duplicate_keys")
+    return connected(duplicate_edges(keys, pos), checkpoint).withColumnRenamed("id", pos)

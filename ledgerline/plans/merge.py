@@ -41,7 +41,7 @@ def build_plan(batch: DataFrame, master: DataFrame, checkpoint, fully_occupied:
     """batch and master: listing columns and a distinct _pos each. checkpoint(df, name) writes and rereads a table."""
     master, batch = backfill_ids(master), batch.select(*COLUMNS, "_pos")
     named = batch.withColumnRenamed("_pos", "_batch_pos")
-    matches = checkpoint(match_batch(named, master), "matches")
+    matches = checkpoint(match_batch(named, master, checkpoint=checkpoint), "matches")
     matched = checkpoint(diff_matches(matches, COLUMNS), "matched")
     unmatched = matches.where("match_tier is null").select(*COLUMNS, F.col("_batch_pos").alias("_pos"))
     stale = stale_candidates(batch, master, matched.select(F.col("master._pos").alias("_pos")), "_pos", fully_occupied)

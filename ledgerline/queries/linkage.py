@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.diff import diff_matches
 from ..operators.enrich import match_units
-from ..operators.match import match_batch, suggest_similar
+from ..operators.match import match_batch, match_positions, suggest_similar
 from ..operators.resolve import collisions, duplicate_groups, field_choices
 from ..operators.stale import stale_candidates
 from ..plans.checkpoints import writer
@@ -26,9 +26,13 @@ def query(sql: str | None):
     return add
 
 
-def _matches(spark, sf, fuzzy=False):
+def _matches(spark, sf, fuzzy=False, match=match_batch):
     batch, master = sides(spark, sf)
-    return match_batch(batch.withColumnRenamed("_pos", "_batch_pos"), master, fuzzy)
+    return match(batch.withColumnRenamed("_pos", "_batch_pos"), master, fuzzy, checkpoint=writer(spark) if fuzzy else None)
+
+
+def _positions(spark, sf, fuzzy=False):
+    return _matches(spark, sf, fuzzy, match_positions)
 
 
 def _diffed(spark, sf):
@@ -44,12 +48,12 @@ diffs AS (SELECT batch_pos, master_pos, 'postcode' AS field, new_postcode AS new
 
 @query("SELECT coalesce(tier, 'none') AS tier, count(*) AS n FROM matched GROUP BY 1")
 def match_tiers(spark, sf):
-    return _matches(spark, sf).groupBy(F.coalesce("match_tier", F.lit("none")).alias("tier")).agg(F.count("*").alias("n"))
+    return _positions(spark, sf).groupBy(F.coalesce("match_tier", F.lit("none")).alias("tier")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT pos AS batch_pos, master_pos, tier FROM matched WHERE tier IS NOT NULL")
 def match_unique(spark, sf):
-    return _matches(spark, sf).where("match_tier is not null").select(F.col("_batch_pos").alias("batch_pos"), F.col("master._pos").alias("master_pos"), F.col("match_tier").alias("tier"))
+    return _positions(spark, sf).where("match_tier is not null").select(F.col("_batch_pos").alias("batch_pos"), "master_pos", F.col("match_tier").alias("tier"))
 
 
 @query(None)
@@ -61,8 +65,7 @@ def match_fuzzy(spark, sf):
 @query(None)
 def match_all_tiers(spark, sf):
     """All three tiers, as a plan runs them."""
-    m = _matches(spark, sf, fuzzy=True)
-    return m.select(F.col("_batch_pos").alias("batch_pos"), F.col("master._pos").alias("master_pos"), "match_tier")
+    return _positions(spark, sf, fuzzy=True).select(F.col("_batch_pos").alias("batch_pos"), "master_pos", "match_tier")
 
 
 @query(None)
@@ -123,7 +126,7 @@ d AS (SELECT pos, min(least(first, coalesce(street_first, first))) AS component
 SELECT pos, component FROM d WHERE component IN (SELECT component FROM d GROUP BY 1 HAVING count(*) > 1)"""
 )
 def dedup_components(spark, sf):
-    new = _matches(spark, sf).where("match_tier is null").select(*COLUMNS, F.col("_batch_pos").alias("_pos"))
+    new = _positions(spark, sf).where("match_tier is null").select(*COLUMNS, F.col("_batch_pos").alias("_pos"))
     return duplicate_groups(new, writer(spark)).select(F.col("_pos").alias("pos"), "component")
 
 
@@ -133,7 +136,7 @@ AND EXISTS (SELECT 1 FROM seen s WHERE s.kb = m.kb AND s.kp = m.kp) AND NOT EXIS
 )
 def stale_rows(spark, sf):
     batch, master = sides(spark, sf)
-    matched = _matches(spark, sf).where("match_tier is not null").select(F.col("master._pos").alias("_pos"))
+    matched = _positions(spark, sf).where("match_tier is not null").select(F.col("master_pos").alias("_pos"))
     return stale_candidates(batch, master, matched, snapshot=master.select("provider")).select(F.col("_pos").alias("pos"))
 
 
@@ -167,7 +170,7 @@ SELECT pos, building, postcode, size_sqft, rent_pcm FROM merged UNION ALL SELECT
 )
 def apply_plan(spark, sf):
     _, master = sides(spark, sf)
-    new = _matches(spark, sf).where("match_tier is null").select(*COLUMNS, F.col("_batch_pos").alias("_pos"))
+    new = _positions(spark, sf).where("match_tier is null").select(*COLUMNS, F.col("_batch_pos").alias("_pos"))
     out = apply_merge(master, _updates(spark, sf), new, master.where("_pos % 11 = 0"))
     return out.select(F.col("_pos").alias("pos"), "building", "postcode", "size_sqft", "rent_pcm")
 
