@@ -140,17 +140,18 @@ def london_box(spark, sf):
 
 
 _LINK = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://www.linkedin.com/company/x' WHEN 2 THEN 'www.example.org/' WHEN 3 THEN url || '/Brochure.PDF?x=1' WHEN 4 THEN 'http://x.com/download#a' ELSE 'mailbox.com/a/floor plan' END"
+_LABEL = "CASE page_id % 4 WHEN 0 THEN 'Our Brochure' WHEN 1 THEN 'Download' WHEN 2 THEN NULL ELSE 'Home' END"
 _FULL = rf"CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN u ELSE 'https://' || u END"
 
 
 @query(
-    rf"""WITH a AS (SELECT page_id, {_LINK} AS u FROM pages), b AS (SELECT *, {_FULL} AS f, regexp_extract(lower(u), '^([^?#]*)', 1) AS p FROM a), c AS (SELECT *, regexp_extract(f, '^[^:/?#]+://([^/?#]*)', 1) AS h, regexp_extract(f, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS r, regexp_extract(f, '^[^:/?#]+://[^/?#]*[^?#]*\?([^#]*)', 1) AS q FROM b)
+    rf"""WITH a AS (SELECT page_id, {_LINK} AS u, lower(coalesce({_LABEL}, '')) AS l FROM pages), b AS (SELECT *, {_FULL} AS f, regexp_extract(lower(u), '^([^?#]*)', 1) AS p FROM a), c AS (SELECT *, regexp_extract(f, '^[^:/?#]+://([^/?#]*)', 1) AS h, regexp_extract(f, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS r, regexp_extract(f, '^[^:/?#]+://[^/?#]*[^?#]*\?([^#]*)', 1) AS q FROM b)
 SELECT page_id, regexp_matches(h, '(^|\.)(linkedin\.com|instagram\.com|twitter\.com|x\.com|facebook\.com|rics\.org)$') OR (regexp_matches(r, '^/*$') AND q = '') AS generic,
-  CASE WHEN p LIKE '%.pdf' AND p LIKE '%brochure%' THEN 3 WHEN p LIKE '%.pdf' THEN 2 WHEN regexp_matches(p, 'brochure|download|floorplan|floor plan') THEN 1 ELSE 0 END AS score FROM c"""
+  CASE WHEN p LIKE '%.pdf' AND (p LIKE '%brochure%' OR l LIKE '%brochure%') THEN 3 WHEN p LIKE '%.pdf' THEN 2 WHEN regexp_matches(p || ' ' || l, 'brochure|download|floorplan|floor plan') THEN 1 ELSE 0 END AS score FROM c"""
 )
 def link_score(spark, sf):
     u = F.expr(_LINK)
-    return table(spark, sf, "pages").select("page_id", links.is_generic_link(u).alias("generic"), links.score_link(u, F.lit("")).alias("score"))
+    return table(spark, sf, "pages").select("page_id", links.is_generic_link(u).alias("generic"), links.score_link(u, F.expr(_LABEL)).alias("score"))
 
 
 _HOST = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"

@@ -85,15 +85,17 @@ def change_split(spark, sf):
 
 
 @query(
-    """, m AS (SELECT *, CASE WHEN pos % 2 = 0 THEN upper(building) ELSE building END AS shown FROM batch) SELECT pos, building AS new FROM m WHERE shown <> building"""
+    """, m AS (SELECT *, CASE WHEN pos % 2 = 0 THEN upper(building) ELSE building END AS shown, CASE WHEN pos % 3 = 0 THEN lower(provider) ELSE provider END AS named, CASE WHEN pos % 5 = 0 THEN replace(postcode, ' ', '  ') ELSE postcode END AS code FROM batch)
+SELECT pos, 'building' AS field, building AS new FROM m WHERE shown <> building UNION ALL SELECT pos, 'provider', provider FROM m WHERE named <> provider UNION ALL SELECT pos, 'postcode', postcode FROM m WHERE code <> postcode"""
 )
 def silent_updates(spark, sf):
     from ..operators.diff import silent_updates as silent
 
     batch, _ = sides(spark, sf)
-    old = F.struct(*[(F.when(F.col("_pos") % 2 == 0, F.upper(c)).otherwise(F.col(c)) if c == "building" else F.col(c)).alias(c) for c in COLUMNS])
+    shown = {"building": F.when(F.col("_pos") % 2 == 0, F.upper("building")), "provider": F.when(F.col("_pos") % 3 == 0, F.lower("provider")), "postcode": F.when(F.col("_pos") % 5 == 0, F.replace("postcode", F.lit(" "), F.lit("  ")))}
+    old = F.struct(*[F.coalesce(shown.get(c, F.col(c)), F.col(c)).alias(c) for c in COLUMNS])
     rows = batch.select("_pos", old.alias("o"), F.struct(*COLUMNS).alias("n"))
-    return rows.select(F.col("_pos").alias("pos"), F.explode(silent(F.col("o"), F.col("n"))).alias("field", "new")).select("pos", "new")
+    return rows.select(F.col("_pos").alias("pos"), F.explode(silent(F.col("o"), F.col("n"))).alias("field", "new"))
 
 
 @query(
