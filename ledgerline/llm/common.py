@@ -57,7 +57,7 @@ class Scratch:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
-            if not current.isDefined() and not spark.sparkContext.master.startswith("local["):
+            if not current.isDefined() and spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="ledgerline-")
             if not current.isDefined():
