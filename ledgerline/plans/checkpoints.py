@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = tempfile.mkdtemp(prefix="ledgerline-")
     spark.sparkContext.setCheckpointDir(root)
