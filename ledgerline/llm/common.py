@@ -27,7 +27,7 @@ _lock, _saving = threading.Lock(), {}
 
 
 @contextlib.contextmanager
-def _shuffle_files_go(spark: SparkSession):
+def shuffle_files_go(spark: SparkSession):
     """While any table of the session is being saved, shuffle files go as soon as their query ends."""
     key = id(spark._jsparkSession)
     with _lock:
@@ -72,7 +72,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it reread; its shuffle files go as soon as it is written."""
         path = self.path(name)
-        with _shuffle_files_go(self.spark):
+        with shuffle_files_go(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path

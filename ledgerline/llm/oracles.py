@@ -51,3 +51,38 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 nodes AS (SELECT DISTINCT a AS id FROM links), {_COMPONENT}
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON id = d.doc_id
 """
+
+#: The unsigned crc32 (polynomial 0xEDB88320) of a decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({0}, '.'), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"""
+_FRAMED = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_TREE = """SELECT {key}, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM {name} WHERE n > 1 GROUP BY {key}, level, pos // 8"""
+
+OP12 = f"""
+WITH RECURSIVE told AS (SELECT *, {_LEAF} AS leaf, CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low FROM documents),
+d AS (SELECT doc_id, {_FRAMED.format("lang")} AS tree, lang, leaf, {_LEAF.replace("text", "low")} AS claim, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM told),
+t AS (SELECT tree, 0 AS level, pos, leaf AS node, n FROM d UNION ALL {_TREE.format(key="tree", name="t")}),
+g AS (SELECT t.tree, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t JOIN (SELECT DISTINCT tree, lang FROM d) USING (tree) WHERE t.n = 1),
+u AS (SELECT 0 AS one, 0 AS level, pos, subroot AS node, n FROM g UNION ALL {_TREE.format(key="one", name="u")}),
+root AS (SELECT node AS root FROM u WHERE n = 1),
+steps AS (SELECT d.tree, d.pos AS id, t.level, coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos < (d.pos >> (3 * t.level))), '') AS before, coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos > (d.pos >> (3 * t.level))), '') AS after
+  FROM d JOIN t ON t.tree = d.tree AND t.n > 1 AND t.pos // 8 = (d.pos >> (3 * t.level + 3)) GROUP BY ALL),
+higher AS (SELECT g.tree, u.level, coalesce(string_agg(u.node, '' ORDER BY u.pos) FILTER (u.pos < (g.pos >> (3 * u.level))), '') AS before, coalesce(string_agg(u.node, '' ORDER BY u.pos) FILTER (u.pos > (g.pos >> (3 * u.level))), '') AS after
+  FROM g JOIN u ON u.n > 1 AND u.pos // 8 = (g.pos >> (3 * u.level + 3)) GROUP BY ALL),
+way AS (SELECT tree, id, level, before, after FROM steps UNION ALL SELECT d.tree, d.pos, 1000 + higher.level, before, after FROM d JOIN higher USING (tree)),
+ways AS (SELECT tree, id, string_agg(before || after, '' ORDER BY level) AS siblings, list(struct_pack(b := before, a := after) ORDER BY level) AS path FROM way GROUP BY tree, id),
+f AS (SELECT d.tree, d.pos, claim AS node, coalesce(path, []) AS path FROM d LEFT JOIN ways ON ways.tree = d.tree AND ways.id = d.pos UNION ALL SELECT tree, pos, sha256(path[1].b || node || path[1].a), path[2:] FROM f WHERE len(path) > 0)
+SELECT d.doc_id, d.leaf, g.subroot, root.root, sha256(coalesce(siblings, '')) AS proof_sha256, f.node AS folded_root, f.node = root.root AS verified
+FROM d JOIN g USING (tree) CROSS JOIN root LEFT JOIN ways ON ways.tree = d.tree AND ways.id = d.pos JOIN f ON f.tree = d.tree AND f.pos = d.pos AND len(f.path) = 0
+"""
+
+OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN [0, 1, 2, 3]] AS x FROM t),
+c AS (SELECT *, len(units) AS n, least(x[1] % (len(units) + 1), x[2] % (len(units) + 1)) AS a, greatest(x[1] % (len(units) + 1), x[2] % (len(units) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""

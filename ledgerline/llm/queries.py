@@ -117,5 +117,31 @@ def op1_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation, op6_huffman_ids, op1_bwt_merge, pack_conversations)}
-ORACLES: dict[str, str] = {"op1_bwt_merge": oracles.OP1, "op3_product_quantisation": oracles.OP3, "op4_block_anchors": oracles.OP4, "op9_divide_skip_join": oracles.OP9}
+def op11_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .external_shuffle import text_size, write_shards
+
+    shards = write_shards(read(spark, sf_dir, "documents"), Scratch(spark).path("shards"), n_shards=24, seed=42)
+    text = F.col("row.text")
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    return shards.select("row.doc_id", text_size(text).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_array_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle_manifest import FIELDS, build_manifest, leaf_digest
+
+    docs = read(spark, sf_dir, "documents")
+    lowered = F.when(_crc() % 3 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    claim = leaf_digest([lowered if c == "text" else F.col(c) for c in FIELDS])
+    return build_manifest(docs, claim=claim).proofs().withColumnRenamed("id", "doc_id")
+
+
+def op13_lookaround_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle, restore
+
+    made = fill_in_middle(read(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op7_rule_ensemble, op9_divide_skip_join, op4_block_anchors, op5_soft_mixing, op8_isolation_rules, op10_crf_language, op3_product_quantisation, op6_huffman_ids, op1_bwt_merge, op11_two_pass_shuffle, op12_array_levels, op13_lookaround_split, pack_conversations)}
+ORACLES: dict[str, str] = {"op1_bwt_merge": oracles.OP1, "op3_product_quantisation": oracles.OP3, "op4_block_anchors": oracles.OP4, "op9_divide_skip_join": oracles.OP9, "op12_array_levels": oracles.OP12, "op13_lookaround_split": oracles.OP13}
