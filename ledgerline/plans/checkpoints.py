@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,18 @@ def writer(spark: SparkSession):
         return spark.read.schema(df.schema).parquet(path)
 
     return checkpoint
+
+
+def numbered(rows: DataFrame, order: list[str], pos: str, checkpoint) -> DataFrame:
+    """rows with `pos` counted from 0 without gaps by order: sorted ranges, and the number of rows before each range.
+
+    checkpoint(df, name) keeps the ranges; one number for each partition comes to the driver.
+    """
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranges = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": part, "_place": place}), "ranges")
+    before, total = [], 0
+    for r in sorted(ranges.groupBy("_part").agg(F.count("*").alias("n"), F.min("_place").alias("low")).collect()):
+        before.append((r["_part"], total - r["low"]))
+        total += r["n"]
+    shifts = F.broadcast(rows.sparkSession.createDataFrame(before, "_part int, _shift long"))  # a row for each partition
+    return ranges.join(shifts, "_part").withColumn(pos, F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")

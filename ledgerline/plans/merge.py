@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import DIFF_FIELDS, KINDS, LISTING, is_blank
@@ -31,10 +31,19 @@ class MergePlan:
     stale: DataFrame
 
 
+def _made_id() -> Column:
+    keys = [F.coalesce(c, F.lit("")) for c in ("building", "provider", "floor_unit", "postcode")]
+    return F.substring(F.sha2(F.concat_ws("␟", F.col("_pos").cast("string"), *keys), 256), 1, 32)
+
+
 def backfill_ids(rows: DataFrame) -> DataFrame:
     """rows with a property_id wherever it is blank, from the row's position and keys, so that a rerun agrees."""
-    made = F.sha2(F.concat_ws("␟", F.col("_pos").cast("string"), *[F.coalesce(c, F.lit("")) for c in ("building", "provider", "floor_unit", "postcode")]), 256)
-    return rows.withColumn("property_id", F.when(is_blank(F.col("property_id")), F.substring(made, 1, 32)).otherwise(F.col("property_id")))
+    return rows.withColumn("property_id", F.when(is_blank(F.col("property_id")), _made_id()).otherwise(F.col("property_id")))
+
+
+def missing_ids(master: DataFrame) -> DataFrame:
+    """Updates (_pos, field, value) that give rows without a property_id the one that backfill_ids makes."""
+    return master.where(is_blank(F.col("property_id"))).select("_pos", F.lit("property_id").alias("field"), _made_id().alias("value"))
 
 
 def build_plan(batch: DataFrame, master: DataFrame, checkpoint, fully_occupied: DataFrame | None = None) -> MergePlan:
@@ -89,12 +98,12 @@ def default_inserts(plan: MergePlan) -> DataFrame:
     return backfill_ids(alone.unionByName(merged))
 
 
-def apply_merge(master: DataFrame, updates: DataFrame, inserts: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+def apply_merge(master: DataFrame, updates: DataFrame, inserts: DataFrame, removed: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """The new master: removed rows go whatever their updates, approved fields overlay, new rows follow.
 
     updates: (_pos, field, value); inserts: listing columns and _pos; removed: (_pos). Positions of new
     rows start after the master's, by their order in the batch. A null value clears a field; a value
-    that is no number leaves a number as it was.
+    that is no number leaves a number as it was. top: the last position, where master is a part only.
     """
     kept = master.join(removed.select("_pos").distinct(), "_pos", "left_anti") if removed is not None else master
     over = updates.where(F.col("field").isin(COLUMNS)).groupBy("_pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_u"))
@@ -105,8 +114,9 @@ def apply_merge(master: DataFrame, updates: DataFrame, inserts: DataFrame, remov
 
     cols = [merged(c) for c in COLUMNS]
     out = kept.join(over, "_pos", "left").select("_pos", *cols)
-    top = master.agg(F.coalesce(F.max("_pos"), F.lit(-1)).alias("_top"))
-    new = inserts.crossJoin(F.broadcast(top)).select((F.col("_top") + 1 + F.col("_pos")).alias("_pos"), *COLUMNS)
+    last = master.agg(F.coalesce(F.max("_pos"), F.lit(-1)).alias("_top"))
+    new = inserts.crossJoin(F.broadcast(last)) if top is None else inserts.withColumn("_top", F.lit(top).cast("long"))
+    new = new.select((F.col("_top") + 1 + F.col("_pos")).alias("_pos"), *COLUMNS)
     return out.unionByName(new)
 
 
