@@ -32,8 +32,8 @@ def scatter(docs: DataFrame, scratch: Scratch, seed: int, id_column: str, text_c
     """First pass: (bucket, key, row) of every row, and the number of rows in each bucket.
 
     A row's bucket comes from a hash of seed and id. Where that heaps up one bucket, as an id that a third of
-    the rows share would, its rows are dealt one by one to buckets of their own and written, so that
-    what is counted is what is shuffled.
+    the rows share would, its rows are dealt one by one over all buckets and written, so that what is
+    counted is what is shuffled.
     """
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
     ident, text = docs[f"`{id_column}`"], docs[f"`{text_column}`"]
@@ -45,19 +45,16 @@ def scatter(docs: DataFrame, scratch: Scratch, seed: int, id_column: str, text_c
     found = sized.groupBy(place(F.col("id")).alias("bucket")).agg(F.count("*").alias("rows"), F.sum("size").alias("size")).toPandas()
     hot = found[(found["size"] > HOT * aim) & (found["rows"] > 1)]
     rows = docs.select(place(ident).alias("bucket"), F.xxhash64(F.lit(seed + 1), ident, text).alias("key"), row)
-    if len(hot):
-        more = math.ceil(hot["size"].sum() / aim)
-        again = rows.where(F.col("bucket").isin(hot["bucket"].tolist()))
-        dealt = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(more)).cast("int") + n
-        again = scratch.save(again.select(dealt.alias("bucket"), "key", "row"), "hot")
-        rows = rows.where(~F.col("bucket").isin(hot["bucket"].tolist())).unionAll(again)
-        counted = again.groupBy("bucket").agg(F.count("*").alias("rows")).toPandas()
-        found = found.drop(hot.index)
-        found, n = {**dict(zip(found["bucket"], found["rows"], strict=True)), **dict(zip(counted["bucket"], counted["rows"], strict=True))}, n + more
-    else:
-        found = dict(zip(found["bucket"], found["rows"], strict=True))
     counts = np.zeros(n, np.int64)
-    counts[list(found)] = list(found.values())
+    counts[found["bucket"]] = found["rows"]
+    if len(hot):
+        held = F.col("bucket").isin(hot["bucket"].tolist())
+        dealt = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(n)).cast("int")
+        again = scratch.save(rows.where(held).select(dealt.alias("bucket"), "key", "row"), "hot")
+        rows = rows.where(~held).unionAll(again)
+        more = again.groupBy("bucket").agg(F.count("*").alias("rows")).toPandas()
+        counts[hot["bucket"]] = 0
+        counts[more["bucket"]] += more["rows"].to_numpy()
     return rows, counts
 
 
