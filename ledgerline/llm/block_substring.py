@@ -195,7 +195,8 @@ def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(["doc_id long", "text string", *[f"_{k} {kinds[c]}" for k, c in enumerate(others)]])
-    out = repeated_words(docs, window, finish, schema, others).withColumnsRenamed({f"_{k}": c for k, c in enumerate(others)})
+    out = repeated_words(docs, window, finish, schema, others)
+    made = {c: F.col(f"_{k}") for k, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.length("text").cast(kinds["n_chars"])
+    return out.select(*[made[c].alias(c) for c in docs.columns])

@@ -62,7 +62,7 @@ def to_chunks(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text", *[docs[c].alias(k) for c, k in zip(extra or [], names, strict=True)]).mapInArrow(run, CHUNK)
+    return docs.select("doc_id", "text", *[docs[f"`{c}`"].alias(k) for c, k in zip(extra or [], names, strict=True)]).mapInArrow(run, CHUNK)
 
 
 def rows_of(batches):

@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _trim = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
@@ -99,6 +100,19 @@ def shuffle_parts(spark: SparkSession) -> int:
     return min(32768, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or the first longer one that no column has."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df as such, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix, text_buffer
+from .common import U64, Words, blocks, fresh, mix, text_buffer
 
 BITS = 18
 #: Longer lines are labelled in pieces of this many words, each with CONTEXT words of its line on either side.
@@ -318,5 +318,6 @@ def predict_language(docs: DataFrame, model: LanguageField, lang_col: str = "lan
                 score.append(float(share[d, best[d]] / total[d]) if some[d] else 0.0)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
 
-    out = docs.drop(lang_col, score_col).withColumn("_lang", run("text"))
-    return out.withColumns({lang_col: F.col("_lang.lang"), score_col: F.col("_lang.score")}).drop("_lang")
+    told = fresh("_lang", [*docs.columns, lang_col, score_col])
+    out = docs.drop(lang_col, score_col).withColumn(told, run("text"))
+    return out.withColumns({lang_col: F.col(f"{told}.lang"), score_col: F.col(f"{told}.score")}).drop(told)

@@ -39,18 +39,28 @@ _live: dict = {}
 
 
 class Encoder:
-    """ids of texts under one tokenizer file.
+    """ids of texts under one tokenizer file, as the library gives them for a whole text without special tokens added.
+
+    Added tokens that a text spells out, such as an end mark, are one id each; with specials=False they are
+    text like any other.
 
     Both tokenizer kinds here split at white space before merging, so a text is cut there and each
     piece's ids are kept: the library runs once for each new piece. The caches hold at most
     `limit` parts and half as many pieces; beyond that they are encoded again. Results equal encoding the whole text at once.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 700_000, specials: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that strip, stand alone or are normalised are not known here")
+        # texts are cut at added tokens first, the longest at each place; what is between is text
+        self.added = {t.content: np.array([k], "<u4").tobytes() for k, t in added.items()} if specials else {}
+        self.marks = "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))
+        self.cut = re.compile(f"({self.marks})")
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
         self.cache: dict[str, bytes] = {}
@@ -60,11 +70,18 @@ class Encoder:
         self.unusual = _UNUSUAL_WORDS if self.words else _UNUSUAL
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
+    def at(cls, path: str, specials: bool = True) -> Encoder:
         """One encoder for each Python worker, so that its cache serves all of a worker's tasks."""
-        if path not in _live:
-            _live[path] = cls(path)
-        return _live[path]
+        if (path, specials) not in _live:
+            _live[path, specials] = cls(path, specials=specials)
+        return _live[path, specials]
+
+    def _one(self, text: str) -> bytes:
+        """ids of a text with unusual white space or added tokens."""
+        if not self.added:
+            return b"".join(self._ids(self.pieces(text)))
+        parts = self.cut.split(text)
+        return b"".join([self.added[p] if k % 2 else b"".join(self._ids(self.pieces(p))) for k, p in enumerate(parts)])
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text with unusual white space."""
@@ -103,7 +120,10 @@ class Encoder:
         others are cut by a pattern, with the same result.
         """
         texts = texts.fill_null("")
-        plain = pc.invert(pc.match_substring_regex(texts, self.unusual)).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.unusual)
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.marks))
+        plain = pc.invert(odd).to_numpy(zero_copy_only=False)
         n = len(texts)
         sizes = np.zeros(n, np.int64)
         parts = []
@@ -131,7 +151,7 @@ class Encoder:
                 return bound, ids
             parts.append((np.flatnonzero(plain), bound, ids))
         rest = np.flatnonzero(~plain)
-        raw = [b"".join(self._ids(self.pieces(texts[int(k)].as_py()))) for k in rest]
+        raw = [self._one(texts[int(k)].as_py()) for k in rest]
         sizes[rest] = [len(x) // 4 for x in raw]
         bound = np.concatenate([[0], np.cumsum(sizes)])
         out = np.zeros(bound[-1], "<u4")

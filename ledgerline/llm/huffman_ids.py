@@ -106,14 +106,15 @@ def decode_bits(bits: bytes, marks: np.ndarray, tokens: int, table) -> np.ndarra
     return out.ravel()[:tokens]
 
 
-def tokenize_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def tokenize_blocks(docs: DataFrame, tokenizer: str, end_id: int, specials: bool = True) -> DataFrame:
     """Blocks of encoded documents in ascending doc_id order; part and block give that order.
 
-    inside is the number of tokens of the part before the block.
+    inside is the number of tokens of the part before the block. An added token that a text spells out is one id, or
+    text like any other with specials=False.
     """
 
     def run(batches):
-        encoder = Encoder.at(tokenizer)
+        encoder = Encoder.at(tokenizer, specials)
         part, n, inside = TaskContext.get().partitionId(), 0, 0
         for batch, _, _ in text_batches(batches, limit=ENCODE_BYTES):
             bound, ids = encoder.encode(batch.column("text"))

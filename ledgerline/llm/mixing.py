@@ -160,7 +160,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float | N
     scratch = Scratch(docs.sparkSession)
     model = fit_domains(docs, labels, list(targets), scratch, max_rows)
     names = model.names
-    carried = docs.select(F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row"), "text")
+    carried = docs.select(F.struct(*[docs[f"`{c}`"] for c in (keep or docs.columns)]).alias("row"), "text")
     held = scratch.save(model.posteriors(carried), "posteriors")
     mixture = Mixture(model, ridge, most, held)
     p = [F.col("posterior")[k] for k in range(len(names))]

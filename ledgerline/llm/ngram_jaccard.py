@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunk, exchange, find, rows_of, to_chunks, told, with_answers
-from .common import _WIN, U64, Scratch, Words, _ranges, by_bucket, mix, pack, shuffle_parts, text_batches, unpack
+from .common import _WIN, U64, Scratch, Words, _ranges, by_bucket, columns_of, mix, pack, shuffle_parts, text_batches, unpack
 from .components import components
 
 #: Shingle counts travel under the low 48 bits of a hash; where two shingles share them the order is as good.
@@ -253,13 +253,21 @@ def similarity_components(docs: DataFrame, ratio: int = 90, k: int = 3, task_shi
     if not weight.where("blocks > 1").isEmpty():
         large = scratch.save(sets_of(weight.where("blocks > 1")), "large")
         edges = edges.unionByName(_large_groups(large, scratch, ratio, task_shingles, links))
-    found = components(edges, scratch)
+    found = components(edges.unionByName(_shared_ids(some, classes)), scratch)
     scratch.drop(sizes, weight, *([large] if large is not None else []))
     classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("n", "s1", "s2", "component")
     out = profiles.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges that join an id to the classes of all its texts, for ids that repeat with different ones."""
+    kind = F.struct("n", "s1", "s2")
+    several = rows.groupBy("doc_id").agg(F.min(kind).alias("low"), F.max(kind).alias("high")).where("low <> high").select("doc_id")
+    held = rows.join(several, "doc_id", "left_semi").join(classes, ["n", "s1", "s2"])
+    return held.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+
 def _large_groups(large: DataFrame, scratch: Scratch, ratio: int, task_shingles: int, links) -> DataFrame:
     """Edges within groups that no task could hold: first against one member, then by blocks."""
     centre = large.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
@@ -298,4 +306,4 @@ def keep_one(docs: DataFrame, ratio: int = 80, k: int = 5) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; null doc_ids and other columns stay."""
     found = similarity_components(docs, ratio, k)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns_of(docs))

@@ -77,10 +77,11 @@ class Packer:
             self.place()
 
 
-def pack_examples(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int | None = None, pool: int = 256, prompt: str | None = None) -> DataFrame:
+def pack_examples(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int | None = None, pool: int = 256, prompt: str | None = None, specials: bool = True) -> DataFrame:
     """One row for each piece of each row of docs (doc_id, text).
 
-    Every text is encoded whole and ends with end_id. `prompt` names an optional text column whose
+    Every text is encoded whole and ends with end_id; an added token that a text spells out is one id, or text like
+    any other with specials=False. `prompt` names an optional text column whose
     tokens come before the text's and bear no loss. Tasks pack what they read, in one pass with at
     most `pool` open examples, so there is no shuffle and each task leaves one sequence unfilled.
     Null texts and empty ones give the end id alone; a null doc_id is kept; repeated rows are packed
@@ -92,7 +93,7 @@ def pack_examples(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder.at(tokenizer)
+        encoder = Encoder.at(tokenizer, specials)
         packer = Packer(max_tokens, max_segments, max_loss, TaskContext.get().partitionId() << 32, pool)
 
         def rows():

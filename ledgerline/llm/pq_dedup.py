@@ -7,9 +7,9 @@ look-ups against its own uncoded residual, and checks what the look-up distance
 A neighbour at distance r lies in another cell only if the plane between the two centroids is within
 r * cos(a) of the query, where a is the angle between their difference and the plane's normal; its
 look-up distance depends on such an angle too. In d dimensions the cosine of an angle between unrelated
-directions spreads by 1 / sqrt(d), so both cuts allow `spread` / sqrt(d) of r. From spread = sqrt(d) on
-they are the triangle inequality and nothing is lost; with 3 the share of pairs at the threshold itself
-that are found is 0.999 in 64 dimensions, and closer pairs are lost more rarely.
+directions spreads by 1 / sqrt(d), so both cuts allow a share of r, at least `spread` / sqrt(d). Vectors that
+fill fewer dimensions than they have, all together or each group in its own, need a larger share: it is
+measured on the sample, as what near pairs there need. A share of 1 is the triangle inequality and loses nothing.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ from .common import Scratch, pack, release
 from .components import components
 
 EPS = 1e-5
+#: Queries of the sample whose neighbours the share is measured on, neighbours of each, and of all those pairs the
+#: part that the share must suffice for; it is then raised by MARGIN.
+MEASURED, NEIGHBOURS, SUFFICES, MARGIN = 1024, 16, 0.999, 1.15
+#: Vectors of lengths that few have are compared with all others of their length, one task for each length.
+FEW = 2000
 #: Vectors of a list, on average, as long as the sample has SAMPLE_LIST vectors for each list.
 LIST_MEAN, SAMPLE_LIST = 256, 8
 #: Entries of a list that one task holds; longer lists are split and each part is visited.
@@ -94,6 +99,39 @@ def train(x: np.ndarray, lists: int, subspaces: int = 8, codes: int = 256, seed:
     return Quantiser(coarse, cuts, [_kmeans(residual[:, a:b], codes, rng, 6) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
+def needed_share(q: Quantiser, x: np.ndarray, spread: float) -> float:
+    """The share of a distance that both cuts must allow so that near pairs of the sample x are found.
+
+    A pair's share does not depend on its distance's scale, so each query's nearest neighbours tell it whether or
+    not they are near enough to link. It is spread / sqrt(dimensions) at least and 1 at most.
+    """
+    least = min(1.0, spread / x.shape[1] ** 0.5)
+    if least == 1 or len(x) < 2:
+        return least
+    near, far = _nearest(x, q.coarse)
+    residual = x - q.coarse[near]
+    codes, error = q.encode(residual)
+    coded = q.coarse[near] + np.concatenate([book[codes[:, j]] for j, book in enumerate(q.books)], 1)
+    gaps = np.sqrt(_nearest(q.coarse, q.coarse)[1])
+    need = []
+    for i in range(0, min(len(x), MEASURED), 64):
+        ask = np.arange(i, min(i + 64, len(x), MEASURED))
+        d = 2 - 2 * x[ask] @ x.T
+        d[np.arange(len(ask)), ask] = np.inf
+        k = min(NEIGHBOURS, len(x) - 1)
+        row, col = np.repeat(np.arange(len(ask)), k), np.argpartition(d, k - 1, axis=1)[:, :k].ravel()
+        r = np.sqrt(np.maximum(d[row, col], 0))
+        row, col, r = row[r > 1e-6], col[r > 1e-6], r[r > 1e-6]
+        own, other = near[ask[row]], near[col]
+        gap = np.where(own == other, 1.0, gaps[own, other])
+        probe = np.where(own == other, 0.0, (far[ask[row], other] - far[ask[row], own]) / (2 * r * np.maximum(gap, 1e-12)))
+        looked = ((x[ask[row]] - coded[col]) ** 2).sum(1)
+        table = (looked - r**2 - error[col] ** 2) / np.maximum(2 * r * error[col], 1e-12)
+        need.append(np.maximum(probe, np.where(error[col] > 1e-9, table, 0.0)))
+    need = np.concatenate(need)
+    return float(min(1.0, max(least, MARGIN * np.quantile(need, SUFFICES)))) if len(need) else least
+
+
 def _usable(v: Column) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -131,8 +169,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, max_sample: int
     Rows that repeat a vec_id are vectors of their own, which count as each other's links if they are
     near. An empty table gives no rows; extra columns are ignored. The quantiser learns from at most
     max_sample distinct vectors, those with the smallest hash; all are indexed and all are queries.
-    Every pair reported is checked exactly; `spread` sets how many lists are visited (see above),
-    and the square root of the length makes the search exact.
+    Every pair reported is checked exactly; `spread` sets the least share of lists that is visited (see above),
+    and the square root of the length makes the search exact. Vectors of a length that at most FEW have are
+    compared exactly.
     """
     scratch = Scratch(vectors.sparkSession)
     v = F.col("embedding")
@@ -143,8 +182,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, max_sample: int
     classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     alone = base.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     widths = {r["width"]: r["n"] for r in classes.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}
-    found = None
+    rare = [w for w, n in widths.items() if n <= FEW]
+    found = scratch.save(_exact(classes.where(F.size("v").isin(rare)), threshold), "rare") if rare else None
     for width, total in sorted(widths.items()):
+        if width in rare:
+            continue
         some = _search(classes.where(F.size("v") == width), width, total, threshold, max_sample, spread, scratch)
         found = some if found is None else found.unionByName(some)
     if found is None:
@@ -158,15 +200,44 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, max_sample: int
     return out.unionByName(alone)
 
 
+def _folded(ids: np.ndarray, links: np.ndarray, names: np.ndarray, label: np.ndarray) -> pa.Table:
+    """Rows (id, links, -1, false) of the links of ids, and (name, 0, its group's first name, true) of what they connect."""
+    linked, other = links > 0, label != np.arange(len(names))
+    rep, size = np.concatenate([ids[linked], names[other]]), int(linked.sum())
+    return pa.table({"id": pa.array(rep, pa.int64()), "links": pa.array(np.concatenate([links[linked], np.zeros(other.sum(), np.int64)]), pa.int64()), "b": pa.array(np.concatenate([np.full(size, -1), names[label[other]]]), pa.int64()), "edge": pa.array(np.arange(len(rep)) >= size)})
+
+
+def _exact(classes: DataFrame, threshold: float) -> DataFrame:
+    """As _search, for lengths of few vectors each: all of one length in one task, by cosine alone."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, count = table["id"].to_numpy(), table["n"].to_numpy()
+        x = _matrix(table["v"], len(table["v"][0]))
+        norm = np.linalg.norm(x, axis=1)
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        order = np.argsort(ids)
+        ids, count, x, norm = ids[order], count[order], x[order], norm[order]
+        for i in range(0, len(ids), ASK_STEP):
+            near = x[i : i + ASK_STEP] @ x.T / (norm[i : i + ASK_STEP, None] * norm) >= threshold
+            near[np.arange(len(near)), i + np.arange(len(near))] = False
+            links[i : i + len(near)] = near @ count
+            row, col = np.nonzero(near)
+            label = joined(label, i + row, col)
+        return _folded(ids, links, ids, label)
+
+    return classes.withColumn("width", F.size("v")).groupBy("width").applyInArrow(compare, "id long, links long, b long, edge boolean")
+
+
 def _search(classes: DataFrame, width: int, total: int, threshold: float, max_sample: int, spread: float, scratch: Scratch) -> DataFrame:
     """(id, links, b, edge): for classes (id, n, v) of one length, how many vectors of other classes
     each links to, in parts to be summed, and edges (id, b) that connect what is linked.
     """
     sample = _matrix(classes.orderBy(F.xxhash64("v"), "id").limit(max_sample).select("v").toArrow()["v"], width)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    held = classes.sparkSession.sparkContext.broadcast(train(sample, max(1, min(total // LIST_MEAN, len(sample) // SAMPLE_LIST))))
+    quantiser = train(sample, max(1, min(total // LIST_MEAN, len(sample) // SAMPLE_LIST)))
+    held = classes.sparkSession.sparkContext.broadcast(quantiser)
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    reach = min(1.0, spread / width**0.5)
+    reach = needed_share(quantiser, sample, spread)
     raw = classes.schema["v"].dataType.elementType.simpleString()
     dtype = np.float32 if raw == "float" else np.float64
 
@@ -186,15 +257,14 @@ def _search(classes: DataFrame, width: int, total: int, threshold: float, max_sa
     filed = scratch.save(classes.select("id", "n", "v").mapInArrow(assign, "id long, n long, cell int, probes array<int>, codes binary, error double, x binary"), "filed")
     probed = filed.select(F.explode("probes").alias("cell"), "id", "n", "x")
 
-    def pieces(table, rows):
-        number = {r["cell"]: -(-r["rows"] // rows) for r in table.groupBy("cell").agg(F.count("*").alias("rows")).collect()}
-        return F.create_map(*[F.lit(int(x)) for kv in number.items() for x in kv])
-
-    split, deal = pieces(filed, LIST_ROWS)[F.col("cell")], pieces(probed, ASK_ROWS)[F.col("cell")]
+    # a row for each list, of which there are at most max_sample / SAMPLE_LIST
+    parts = lambda table, rows, name: F.broadcast(table.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(name)))
+    sizes = parts(filed, LIST_ROWS, "split"), parts(probed, ASK_ROWS, "deal")
+    split, deal = F.col("split"), F.col("deal")
     mine = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    entries = filed.select("cell", mine(split).alias("part"), every(deal).alias("block"), F.lit(False).alias("query"), "id", "n", "codes", "error", "x")
-    asks = probed.where(split.isNotNull()).select("cell", every(split).alias("part"), mine(deal).alias("block"), F.lit(True).alias("query"), "id", "n", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "x")
+    entries = filed.join(sizes[0], "cell").join(sizes[1], "cell").select("cell", mine(split).alias("part"), every(deal).alias("block"), F.lit(False).alias("query"), "id", "n", "codes", "error", "x")
+    asks = probed.join(sizes[0], "cell").join(sizes[1], "cell").select("cell", every(split).alias("part"), mine(deal).alias("block"), F.lit(True).alias("query"), "id", "n", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "x")
 
     def search(table: pa.Table) -> pa.Table:
         q = held.value
@@ -231,10 +301,7 @@ def _search(classes: DataFrame, width: int, total: int, threshold: float, max_sa
                     ok = (cosine >= threshold) & (ids[m] != ids[n])
                     np.add.at(links, i + row[ok], count[n[ok]])
                     label = joined(label, spot[m[ok]], spot[n[ok]])
-        linked, other = links > 0, label != np.arange(len(names))
-        rep = np.concatenate([ids[a][linked], names[other]])
-        size = int(linked.sum())
-        out = pa.table({"id": pa.array(rep, pa.int64()), "links": pa.array(np.concatenate([links[linked], np.zeros(other.sum(), np.int64)]), pa.int64()), "b": pa.array(np.concatenate([np.full(size, -1), names[label[other]]]), pa.int64()), "edge": pa.array(np.arange(len(rep)) >= size)})
+        out = _folded(ids[a], links, names, label)
         if len(ids) > LIST_ROWS:
             release()
         return out

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .docstats import stats_column
 
 #: Name of each feature and its value from the statistics s.
@@ -147,6 +148,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pena
 def score_quality(docs: DataFrame, model: RuleModel, out: str = "score") -> DataFrame:
     """docs with the model's score (0 to 1) in the column `out`; rows and other columns stay as they are.
 
-    Null and empty texts are scored by their zero statistics.
+    Null and empty texts are scored by their zero statistics; a column called `out` is replaced.
     """
-    return docs.withColumn("_rule_stats", stats_column("text")).withColumn(out, model.column(F.col("_rule_stats"))).drop("_rule_stats")
+    stats = fresh("_rule_stats", [*docs.columns, out])
+    return docs.withColumn(stats, stats_column("text")).withColumn(out, model.column(F.col(stats))).drop(stats)

@@ -1,6 +1,8 @@
 """Dense groups of near copies: searches split on both sides, links folded as they are found."""
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from ledgerline.llm import pq_dedup
 
@@ -54,11 +56,46 @@ def test_recall_at_the_threshold(spark):
         assert least * 6000 <= got <= 6000
 
 
+@pytest.mark.parametrize(("rank", "rows"), [(2, 12000), (3, 12000), (3, 20000), (4, 20000), (5, 12000), (6, 12000), (8, 20000)])
+def test_recall_of_low_ranks(spark, rank, rows):
+    """Vectors that fill few of their 64 dimensions, where a plane between cells is seldom at a right angle to a pair."""
+    rng = np.random.default_rng(rank * rows)
+    x = rng.normal(size=(rows, rank)) @ rng.normal(size=(rank, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(int((u[i : i + 1000] @ u.T >= 0.95).sum()) for i in range(0, rows, 1000)) - rows
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(rows), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = pq_dedup.near_duplicates(df).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * want <= got <= want
+
+
+def test_recall_of_groups_in_their_own_planes(spark):
+    """Each group fills three dimensions, all of them fill 64."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(size=(300, 3)) @ rng.normal(size=(3, 64)) * 0.05 for c in rng.normal(size=(40, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((u @ u.T >= 0.95).sum()) - len(x)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    assert 0.99 * want <= pq_dedup.near_duplicates(df).agg({"n_links": "sum"}).first()[0] <= want
+
+
+def test_many_lengths(spark):
+    """Lengths that few vectors have are one job."""
+    rng = np.random.default_rng(9)
+    rows = [(40 * w + k, (np.ones(w) + 0.4 * rng.normal(size=w)).tolist()) for w in range(2, 60) for k in range(30)]
+    got = sorted(tuple(r) for r in pq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = []
+    for w in range(2, 60):
+        mine = [r for r in rows if len(r[1]) == w]
+        want += brute([i for i, _ in mine], np.array([v for _, v in mine]))
+    assert got == sorted(want)
+
+
 def test_dense_group_is_dealt(spark, monkeypatch):
     """No group holds more than a few entries and queries, and the result is that of all pairs."""
     rng = np.random.default_rng(5)
     x = np.concatenate([np.ones(8) + 0.05 * rng.normal(size=(400, 8)), rng.normal(size=(50, 8))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(pq_dedup, "FEW", 0)
     monkeypatch.setattr(pq_dedup, "LIST_ROWS", 60)
     monkeypatch.setattr(pq_dedup, "ASK_ROWS", 40)
     seen, frame = [], type(df)

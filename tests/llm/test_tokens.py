@@ -16,15 +16,45 @@ from ledgerline.llm.queries import tokenizer_path
 ODD = ["  a  b\t c\n\n d\x1c e f  \n x", " ", "\n", "a\n", "\na b", "it's don't <|endoftext|> x<|endoftext|>y", "Á ́e É Σας", "a \n b\r\nc", "a　b c\x85d", None, "", "\x01a \x01b", "名前 12345 ½"]
 
 
+MARKED = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|><|endoftext|>\n x", " \n<|endoftext|>\t", "<|endof<|endoftext|>text|>", "<|ENDOFTEXT|> <|endoftext |>", "it'<|startoftext|>s"]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 @pytest.mark.parametrize("limit", [700_000, 4])
 def test_encoder(texts, name, limit):
+    from tokenizers import Tokenizer
+
     e = Encoder(tokenizer_path(name), limit)
-    every = ODD + [t for _, t in texts]
-    for group in (every, ODD, [t for _, t in texts], [], [None]):
+    library = Tokenizer.from_file(tokenizer_path(name))  # as it is, nothing set
+    every = ODD + MARKED + [t for _, t in texts]
+    for group in (every, ODD, MARKED, [t for _, t in texts], [], [None]):
         bound, ids = e.encode(pa.array(group, pa.string()))
         for k, t in enumerate(group):
-            assert ids[bound[k] : bound[k + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+            assert ids[bound[k] : bound[k + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_as_text(name):
+    """By parameter only, a spelled out added token is text."""
+    e = Encoder(tokenizer_path(name), specials=False)
+    bound, ids = e.encode(pa.array(MARKED))
+    for k, t in enumerate(MARKED):
+        assert ids[bound[k] : bound[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert not set(ids.tolist()) & set(e.tokenizer.get_added_tokens_decoder())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_random_texts_with_added_tokens(name):
+    import random
+
+    from tokenizers import Tokenizer
+
+    r, library, e = random.Random(4), Tokenizer.from_file(tokenizer_path(name)), Encoder(tokenizer_path(name))
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\t", "word", "It's", "é", "e\u0301", "12", "!", "<|", "名"]
+    made = ["".join(r.choices(parts, k=r.randrange(1, 12))) for _ in range(3000)]
+    bound, ids = e.encode(pa.array(made))
+    for k, t in enumerate(made):
+        assert ids[bound[k] : bound[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 300])
