@@ -7,9 +7,10 @@ pieces of packed sequences. Near duplicates share four fifths of their five-word
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.block_substring import drop_repeats
-from ledgerline.llm.common import Scratch, read
+from ledgerline.llm.common import Scratch, columns_of, fresh, read
 from ledgerline.llm.mixing import fit_mixture, rated
 from ledgerline.llm.ngram_jaccard import keep_one
 from ledgerline.llm.packing import pack_examples
@@ -27,7 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns stay, whatever their names; an empty table stays empty.
     """
     model = fit_quality(docs, read(spark, sf_dir, "labels"))
-    return score_quality(docs, model, "_quality_score").where("_quality_score >= 0.7").select(*docs.columns)
+    score = fresh("_quality_score", docs.columns)
+    return score_quality(docs, model, score).where(F.col(score) >= 0.7).select(*columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
