@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import is_blank
-from ..functions.similarity import may_reach, prefix_pairs, scored_pairs
+from ..functions.similarity import block_pairs, scored_pairs, segment_candidates
 from ..functions.text import digit_free, name_part, normalize_key, postcode_key
 
 FUZZY_CUTOFF = 0.85
@@ -34,7 +34,7 @@ def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos
     fallback ignores it, even a conflicting one; the fuzzy tier looks at rows still unmatched whose
     building has no digit. The master's keys are counted once, in one aggregate that all tiers read.
     Only keys that are unique on the master's side are joined, so no batch row is multiplied, and fuzzy
-    names are scored once for each distinct pair within a block. `pos` is distinct in the master.
+    names are scored once for each distinct pair within a block, whose pairs are dealt evenly whatever its size. `pos` is distinct in the master.
     checkpoint(df, name) keeps what the exact tiers found and the pairs of names, which are read twice.
     """
     new = with_keys(batch)
@@ -51,7 +51,7 @@ def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos
         block = ["k_provider", "k_floor"]
         heads = count(kinds.where("k_name is not null").withColumnRenamed("k_name", "_old"), [*block, "_old"], "_at")
         asks = out.where(tier.isNull() & F.col("k_name").isNotNull()).select(*block, F.col("k_name").alias("_new")).distinct()
-        pairs = keep(asks.join(heads, block).where(may_reach(F.col("_new"), F.col("_old"), FUZZY_CUTOFF)), "pairs")
+        pairs = keep(block_pairs(asks, heads, block, "_new", "_old", FUZZY_CUTOFF), "pairs")
         near = scored_pairs(pairs, "_new", "_old", FUZZY_CUTOFF)
         close = pairs.join(near, ["_new", "_old"]).groupBy(*block, F.col("_new").alias("k_name")).agg(F.sum("_n").alias("_n"), F.min("_at").alias("_m3"))
         out = out.join(close.where("_n = 1").drop("_n"), [*block, "k_name"], "left")
@@ -72,11 +72,11 @@ def suggest_similar(rows: DataFrame, master: DataFrame, top: int = 3) -> DataFra
     """(building, suggestion, ratio): master buildings like the digit-free buildings of rows, at most `top` each.
 
     Names are compared by building alone, with every distinct key of the master. Candidates share a
-    character among the rarest of each, which every pair with the ratio meets; ties go by key.
+    segment where few edits can have left it; ties go by key.
     """
     new = rows.where(digit_free(F.col("building"))).select("building", normalize_key(F.col("building")).alias("_new")).where("_new <> ''").distinct()
     old = master.select(normalize_key(F.col("building")).alias("_old"), "building").where("_old <> ''").groupBy("_old").agg(F.min("building").alias("suggestion"))
-    near = scored_pairs(prefix_pairs(new, "_new", old, "_old", FUZZY_CUTOFF), "_old", "_new", FUZZY_CUTOFF)
-    best = near.groupBy("_new").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "_old"))), 1, top).alias("best"))
-    flat = best.select("_new", F.explode("best").alias("x")).select("_new", F.col("x._old").alias("_old"), (-F.col("x.r")).alias("ratio"))
-    return new.join(flat, "_new").join(old, "_old").select("building", "suggestion", "ratio")
+    near = scored_pairs(segment_candidates(new, "_new", old, "_old", FUZZY_CUTOFF), "_old", "_new", FUZZY_CUTOFF)
+    place = F.row_number().over(Window.partitionBy("_new").orderBy(F.desc("ratio"), "_old"))
+    best = near.withColumn("_place", place).where(F.col("_place") <= top)
+    return new.join(best, "_new").join(old, "_old").select("building", "suggestion", "ratio")
