@@ -85,8 +85,8 @@ def char_mask(c: Column) -> Column:
     """62 bits: which of _ONE a text has, and which of _TWO twice. Two masks differ in no more bits than
     characters must be put in or taken out to make one text of the other.
     """
-    count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
-    tests = [count(x) >= 1 for x in _ONE] + [count(x) >= 2 for x in _TWO]
+    first, last = lambda x: F.instr(c, F.lit(x)), lambda x: F.length(c) + 1 - F.instr(F.reverse(c), F.lit(x))
+    tests = [first(x) > 0 for x in _ONE] + [(first(x) > 0) & (first(x) < last(x)) for x in _TWO]
     out = F.lit(0).cast("long")
     for k, t in enumerate(tests):
         out = out.bitwiseOR(F.when(t, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))

@@ -106,12 +106,62 @@ def _join_url(base: pd.Series, href: pd.Series) -> pd.Series:
 
 
 def best_links(pages: DataFrame) -> DataFrame:
-    """(page_id, link, score): the anchor of each page that looks most like a brochure; the first of equals, none at 0."""
-    flat = pages.select("page_id", "url", F.posexplode(anchors("html")).alias("at", "a")).withColumn("score", score_link(F.col("a.href"), F.col("a.text"))).where("score > 0")
+    """(page_id, link, score): the anchor of each page that looks most like a brochure; the first of equals, none at 0 or within the page."""
+    flat = pages.select("page_id", "url", F.posexplode(anchors("html")).alias("at", "a")).where("not startswith(a.href, '#')")
+    flat = flat.withColumn("score", score_link(F.col("a.href"), F.col("a.text"))).where("score > 0")
     best = flat.groupBy("page_id").agg(F.max(F.struct("score", (-F.col("at")).alias("first"), "url", F.col("a.href").alias("href"))).alias("m"))
     return best.select("page_id", _join_url("m.url", "m.href").alias("link"), F.col("m.score").alias("score"))
 
 
+def resolve_links(links: DataFrame, responses: DataFrame, checkpoint, hops: int = 20) -> DataFrame:
+    """(url, link, outcome, hops) of distinct links (url): where each leads, as its pages answered.
+
+    responses (url, status, location, html) are what a fetch of each url gave, one for each. A PDF is itself; a
+    tracking wrapper is what it wraps, unless that is a mail address. Answers from 300 to 399 lead on, at most
+    `hops` times; the page at the end gives its best anchor, or itself if none looks like a brochure. A link
+    stays as it is (without wrappers) if an answer is missing or no success, or if it runs in a circle. outcome
+    is document, mail, anchor, page, dead or circle. checkpoint(df, name) keeps each round, and only links that
+    are still on their way are joined again.
+    """
+    start = full_url(F.col("url"))
+    way = links.select("url").where("url is not null").distinct().select("url", start.alias("start"), start.alias("at"), F.lit(0).alias("hops"), F.lit(True).alias("fresh"))
+    told = responses.groupBy("url").agg(F.min(F.struct("status", "location")).alias("r")).select(F.col("url").alias("at"), "r.*", F.lit(True).alias("known"))
+    ended = []
+    for _ in range(2 * hops + 2):
+        target = F.when(F.col("fresh"), unwrap_tracking(F.col("at")))
+        seen = way.withColumn("target", target).withColumn("pdf", F.col("fresh") & clean_path(F.col("at")).endswith(".pdf"))
+        next_ = F.col("status").between(300, 399) & F.col("location").isNotNull()
+        outcome = (
+            F.when(F.col("pdf"), "document")
+            .when(F.col("target").startswith("mailto:"), "mail")
+            .when(F.col("target").isNotNull(), None)
+            .when(F.col("known").isNull() | ~(F.col("status").between(200, 299) | next_), "dead")
+            .when(next_ & (F.col("hops") >= hops), "circle")
+            .when(~next_, "page")
+        )
+        found = checkpoint(seen.join(told, "at", "left").withColumn("outcome", outcome), "hop")
+        ended.append(found.where("outcome is not null").select("url", "start", "at", "hops", "outcome"))
+        found = found.where("outcome is null")
+        if found.isEmpty():
+            break
+        inner = full_url(F.col("target"))
+        moved = F.when(F.col("target").isNotNull(), inner).otherwise(_join_url("at", "location"))
+        way = found.select("url", F.coalesce(inner, "start").alias("start"), moved.alias("at"), F.when(F.col("target").isNull(), F.col("hops") + 1).otherwise(0).alias("hops"), F.col("target").isNotNull().alias("fresh"))
+    else:  # wrappers in wrappers without end
+        ended.append(way.select("url", "start", "at", "hops", F.lit("circle").alias("outcome")))
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    every = checkpoint(every, "ends")
+    reached = every.where("outcome = 'page'").select(F.col("at").alias("url")).distinct()
+    pages = responses.join(reached, "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
+    best = best_links(pages.select(F.col("url").alias("page_id"), "url", "html")).select(F.col("page_id").alias("at"), F.col("link").alias("best"))
+    out = every.join(best, "at", "left")
+    page = F.col("outcome") == "page"
+    link = F.when(page, F.coalesce("best", "at")).when(F.col("outcome") == "document", F.col("at")).otherwise(F.col("start"))
+    return out.select("url", link.alias("link"), F.when(page & F.col("best").isNotNull(), "anchor").otherwise(F.col("outcome")).alias("outcome"), "hops")
+
+
 def resolve_email_links(text: Column) -> Column:
     """Email text in which links in angle brackets stand bare, and only if they are neither administrative nor generic.
 

@@ -35,10 +35,12 @@ def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos
     building has no digit. The master's keys are counted once, in one aggregate that all tiers read.
     Only keys that are unique on the master's side are joined, so no batch row is multiplied, and fuzzy
     names are scored once for each distinct pair within a block, whose pairs are dealt evenly whatever its size. `pos` is distinct in the master.
-    checkpoint(df, name) keeps what the exact tiers found and the pairs of names, which are read twice.
+    checkpoint(df, name) keeps the master's keys, what the exact tiers found and the pairs of names, which are read more than once.
     """
+    keep = checkpoint or (lambda df, name: df)
     new = with_keys(batch)
     kinds = with_keys(master).groupBy(*KEYS, "k_postcode", "k_name").agg(F.count("*").alias("_n"), F.min(pos).alias("_at"))
+    kinds = keep(kinds, "kinds") if fuzzy else kinds
     count = lambda rows, keys, at: rows.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.min("_at").alias(at))
     sole = lambda rows, keys, at: count(rows, keys, at).where("_n = 1").drop("_n")
     first = sole(kinds.where("k_postcode is not null"), [*KEYS, "k_postcode"], "_m1")
@@ -46,7 +48,6 @@ def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos
     tier = F.when(F.col("_m1").isNotNull(), "postcode").when(F.col("_m2").isNotNull(), "fallback")
     found = F.coalesce("_m1", "_m2")
     if fuzzy:
-        keep = checkpoint or (lambda df, name: df)
         out = keep(out, "exact")
         block = ["k_provider", "k_floor"]
         heads = count(kinds.where("k_name is not null").withColumnRenamed("k_name", "_old"), [*block, "_old"], "_at")

@@ -10,9 +10,23 @@ from ..functions.text import house_number, street_key, tolerant_text
 from .match import KEYS, with_keys
 
 
-def value_class(c: Column, kind: str) -> Column:
-    """Key under which values that differ in formatting only are equal; numbers are compared at six decimals."""
-    return F.when(is_blank(c, kind), F.lit(None)).otherwise(tolerant_text(c) if kind == "str" else F.round(c, 6).cast("string"))
+#: Numbers that differ by less are equal.
+NUMBER_GAP = 1e-6
+
+
+def _several(c: Column, kind: str, pos: str) -> Column:
+    """Of a group: whether its values that are not blank are two classes or more.
+
+    Texts are of one class if they differ in formatting only. A number is of the class of the first one, by
+    pos, that is nearer than NUMBER_GAP, so there is a second class if the least or the greatest number is
+    that far from the first of all: no number is rounded, and no class is collected.
+    """
+    told = F.when(~is_blank(c, kind), tolerant_text(c) if kind == "str" else c)
+    if kind == "str":
+        return F.coalesce(F.min(told) != F.max(told), F.lit(False))
+    first = _least_by_pos(c, pos, ~is_blank(c, kind))
+    far = F.greatest(F.max(told) - first, first - F.min(told)) >= NUMBER_GAP
+    return F.coalesce(far & (F.count(told) > 1), F.lit(False))
 
 
 def _least_by_pos(c: Column, pos: str, keep: Column) -> Column:
@@ -22,7 +36,7 @@ def _least_by_pos(c: Column, pos: str, keep: Column) -> Column:
 def field_choices(rows: DataFrame, group: str, fields: list[str], pos: str = "_pos", blanks_count: bool = False) -> DataFrame:
     """(group, field, needs_choice, value, default): what the rows of each group say about each field.
 
-    Values agree when they differ in formatting only. Blanks have no say, or are a class of their own
+    Texts agree when they differ in formatting only, numbers when they are nearer than NUMBER_GAP to the first. Blanks have no say, or are a class of their own
     with blanks_count. needs_choice is set for two classes or more; value is the first of the only
     class; default is the sole non-blank value, else the first row's.
     """
@@ -30,11 +44,10 @@ def field_choices(rows: DataFrame, group: str, fields: list[str], pos: str = "_p
     for f in fields:
         kind = KINDS[f]
         c, blank = F.col(f), is_blank(F.col(f), kind)
-        cls = value_class(c, kind)
-        # two classes or more, told from the least and the greatest: no distinct counts, so rows are not expanded
-        several = F.coalesce(F.min(cls) != F.max(cls), F.lit(False))
+        # told from the least and the greatest: no distinct counts, so rows are not expanded
+        several = _several(c, kind, pos)
         if blanks_count:
-            several = several | (F.bool_or(blank) & F.max(cls).isNotNull())
+            several = several | (F.bool_or(blank) & F.bool_or(~blank))
         text = c.cast("string")
         some = F.count_if(~blank)
         first = F.min_by(text, F.col(pos))

@@ -8,6 +8,7 @@ from ..functions import text as t
 from ..operators import links
 from ..sources.documents import explode_units, strip_tags
 from ..sources.mapping import headers_key
+from ..plans.checkpoints import writer
 from .adapter import sql_key, sql_tight, table, with_listing
 
 QUERIES, ORACLES = {}, {}
@@ -164,6 +165,29 @@ def page_links(spark, sf):
     return links.best_links(table(spark, sf, "pages").withColumn("html", F.concat(F.expr(more), "html")))
 
 
+_MORE = "CASE page_id % 4 WHEN 1 THEN '<a href=\"/files/plan.pdf\">Plan</a>' WHEN 2 THEN '<a href=\"#top\">Brochure</a><a href=\"/details\">Our <b>Brochure</b></a>' ELSE '' END"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, url, page_id % 5 AS n, CASE page_id % 4 WHEN 1 THEN {_HOST} || '/files/plan.pdf' WHEN 2 THEN {_HOST} || '/details' ELSE url END AS best FROM pages)
+SELECT 'https://go.example/' || page_id || '/0' AS url, CASE n WHEN 4 THEN 'https://go.example/' || page_id || '/0' WHEN 3 THEN 'https://go.example/' || page_id || '/0' ELSE best END AS link,
+  CASE n WHEN 4 THEN 'circle' WHEN 3 THEN 'dead' ELSE CASE WHEN page_id % 4 IN (1, 2) THEN 'anchor' ELSE 'page' END END AS outcome, CASE n WHEN 4 THEN 20 WHEN 3 THEN 1 ELSE n + 1 END AS hops FROM p"""
+)
+def link_hops(spark, sf):
+    """Pages behind short links of one to three hops, some of which end nowhere or run in a circle."""
+    pages = table(spark, sf, "pages")
+    step = lambda k: F.concat(F.lit("https://go.example/"), F.col("page_id").cast("string"), F.lit(f"/{k}"))
+    n, none = F.col("page_id") % 5, F.lit(None).cast("string")
+    last = {0: F.col("url"), 1: step(1), 2: step(1), 3: F.lit("/gone"), 4: step(1)}
+    hop = [pages.where(n == k).select(step(0).alias("url"), F.lit(302).alias("status"), to.alias("location"), none.alias("html")) for k, to in last.items()]
+    hop += [pages.where(n == k).select(step(1).alias("url"), F.lit(301).alias("status"), to.alias("location"), none.alias("html")) for k, to in ((1, F.col("url")), (2, step(2)), (4, step(0)))]
+    hop.append(pages.where(n == 2).select(step(2).alias("url"), F.lit(308).alias("status"), F.col("url").alias("location"), none.alias("html")))
+    responses = pages.select("url", F.lit(200).alias("status"), none.alias("location"), F.concat(F.expr(_MORE), "html").alias("html"))
+    for h in hop:
+        responses = responses.unionByName(h)
+    return links.resolve_links(pages.select(step(0).alias("url")), responses, writer(spark))
+
+
 @query("SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS text_md5 FROM pages")
 def html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(strip_tags(F.col("html")).cast("binary")).alias("text_md5"))

@@ -11,7 +11,7 @@ from ..operators.resolve import collisions, duplicate_groups, field_choices
 from ..operators.stale import stale_candidates
 from ..plans.checkpoints import writer
 from ..plans.merge import COLUMNS, apply_merge, approval_summary
-from .adapter import sides, with_listing
+from .adapter import sides, table, with_listing
 
 QUERIES, ORACLES = {}, {}
 
@@ -119,6 +119,22 @@ def field_choice(spark, sf):
     return field_choices(rows, "building_key", ["floor_unit", "postcode"])
 
 
+@query(
+    """, r AS (SELECT o_custkey % 700 AS g, o_orderkey AS pos, 100 + (o_orderkey % 4) * 4e-7 AS size_sqft, CASE WHEN o_orderkey % 9 > 0 THEN 5 + (o_orderkey % 3) * 3e-7 + CASE WHEN o_orderkey % 61 = 0 THEN 1e-5 ELSE 0 END END AS rent_pcm FROM orders),
+v AS (SELECT g, pos, 'size_sqft' AS field, size_sqft AS v FROM r UNION ALL SELECT g, pos, 'rent_pcm', rent_pcm FROM r),
+f AS (SELECT g, field, min_by(v, pos) FILTER (v IS NOT NULL) AS rep, arg_min_null(v, pos) AS top, count(v) AS k, count(*) AS n FROM v GROUP BY 1, 2),
+c AS (SELECT f.*, (SELECT count(*) FROM v WHERE v.g = f.g AND v.field = f.field AND abs(v.v - f.rep) >= 1e-6) > 0 OR (k > 0 AND k < n) AS needs FROM f)
+SELECT g, field, needs AS needs_choice, CASE WHEN NOT needs THEN rep END AS value, CASE WHEN k = 1 THEN rep ELSE top END AS "default" FROM c"""
+)
+def number_choice(spark, sf):
+    """Close numbers, some of them blank, that agree or not."""
+    k = F.col("o_orderkey")
+    rent = F.when(k % 9 > 0, F.lit(5.0) + (k % 3) * F.lit(3e-7) + F.when(k % 61 == 0, F.lit(1e-5)).otherwise(0.0))
+    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 700).alias("g"), k.alias("_pos"), (F.lit(100.0) + (k % 4) * F.lit(4e-7)).alias("size_sqft"), rent.alias("rent_pcm"))
+    found = field_choices(rows, "g", ["size_sqft", "rent_pcm"], blanks_count=True)
+    return found.select("g", "field", "needs_choice", F.col("value").cast("double").alias("value"), F.col("default").cast("double").alias("default"))
+
+
 @query(
     """, new AS (SELECT * FROM matched WHERE tier IS NULL), e AS (SELECT pos, min(pos) OVER (PARTITION BY kb, kp, kf, coalesce(kz, ''), kz IS NULL) AS first FROM new),
 s AS (SELECT pos, kp, kf, kz, regexp_replace(kb, '[^ ]*$', '') || CASE regexp_extract(kb, '([^ ]*)$', 1) WHEN 'st' THEN 'street' ELSE regexp_extract(kb, '([^ ]*)$', 1) END AS street FROM new),
