@@ -5,6 +5,8 @@ responses: (query, kind, status, lat, lng, components array<struct<name, types>>
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ def submarket(components: Column) -> Column:
     return component(components, "sublocality", "sublocality_level_1", "neighborhood")
 
 
+#: Metres within which an answer at other coordinates counts, metres of a degree, and the latitude of the plane.
+NEAR, DEGREE, LATITUDE = 25.0, 111_320.0, 51.5
 # Our own wordings of what may fail.
 NO_ADDRESS = "coordinates found, but no street address or postcode there"
 OUTSIDE = "the place found lies outside London"
@@ -47,19 +51,39 @@ def spot_query(lat: Column, lng: Column) -> Column:
     return F.when(lat.isNotNull() & lng.isNotNull(), F.concat_ws(",", lat.cast("string"), lng.cast("string")))
 
 
-def geocode_rows(rows: DataFrame, responses: DataFrame) -> DataFrame:
+def nearest(spots: DataFrame, answers: DataFrame, key: str, within: float = NEAR) -> DataFrame:
+    """spots (lat, lng) with the nearest of answers (lat, lng, key, ...), a struct `answer`, at most `within` metres away;
+    of those equally far, to a thousandth of a millimetre, the one with the least key.
+
+    Both are put on a grid whose cells are as wide as that; an answer stands in its cell and the eight around
+    it, so they meet by cell. Spots without one go. Each pair of coordinates is asked once and answers
+    at the same ones are one, that with the least key. Metres are those of a plane at London's latitude.
+    """
+    x, y = F.col("lng") * (DEGREE * math.cos(math.radians(LATITUDE))), F.col("lat") * DEGREE
+    placed = lambda t: t.where("lat is not null and lng is not null and not isnan(lat) and not isnan(lng)").withColumns({"_x": x, "_y": y})
+    cell = lambda c: F.floor(F.col(c) / within)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    there = answers.groupBy("lat", "lng").agg(F.min_by(F.struct(*answers.columns), key).alias("answer"))
+    there = placed(there).select("answer", F.col("_x").alias("_ax"), F.col("_y").alias("_ay"), around("_x").alias("_cx")).withColumn("_cy", around("_ay"))
+    asked = placed(spots.select("lat", "lng").distinct()).withColumns({"_cx": cell("_x"), "_cy": cell("_y")})
+    apart = F.round(F.sqrt((F.col("_x") - F.col("_ax")) ** 2 + (F.col("_y") - F.col("_ay")) ** 2), 6)
+    pairs = asked.join(there, ["_cx", "_cy"]).withColumn("_far", apart).where(F.col("_far") <= within)
+    return pairs.groupBy("lat", "lng").agg(F.min_by("answer", F.struct("_far", f"answer.{key}")).alias("answer"))
+
+
+def geocode_rows(rows: DataFrame, responses: DataFrame, within: float = NEAR) -> DataFrame:
     """rows with coordinates, address, postcode and submarket filled where they are blank, and failure.
 
     A row with coordinates, or one whose address and postcode are found, only gets a submarket, from
-    what stands at those coordinates. Others are asked by place: the address part of a compound
-    building first, then the whole building; an answer counts if it is OK and lies in London. Its own
+    what stands at those coordinates: the nearest answer, at most `within` metres away. Others are asked
+    by place: the address part of a compound building first, then the whole building; an answer counts if it is OK and lies in London. Its own
     components fill the address and postcode, and what stands at its coordinates fills what is still
     blank. What is there is never overwritten. failure tells apart a place without an address, a place
-    outside London, and nothing found; where several responses share a query any one may count.
+    outside London, and nothing found; of several responses to one query the least counts.
     """
 
     def ask(df, kind, query, name):
-        told = responses.where((F.col("kind") == kind) & (F.col("status") == "OK")).groupBy(F.col("query").alias(f"{name}_q")).agg(F.first(F.struct("lat", "lng", "components")).alias(name))
+        told = responses.where((F.col("kind") == kind) & (F.col("status") == "OK")).groupBy(F.col("query").alias(f"{name}_q")).agg(F.min(F.struct("lat", "lng", "components")).alias(name))
         return df.withColumn(f"{name}_q", query).join(told, f"{name}_q", "left").drop(f"{name}_q")
 
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
@@ -75,8 +99,11 @@ def geocode_rows(rows: DataFrame, responses: DataFrame) -> DataFrame:
     short = is_blank(F.col("address_1")) | is_blank(F.col("postcode"))
     found = F.col("_placed") | F.col("_address.lat").isNotNull() | F.col("_place").isNotNull()
     again = found & (is_blank(F.col("submarket")) | (F.col("_place").isNotNull() & short))
-    out = ask(out, "reverse", F.when(again, spot_query(F.col("lat"), F.col("lng"))), "_there")
-    there = F.col("_there.components")
+    told = responses.where("kind = 'reverse' and status = 'OK'").select("query", "components")
+    told = told.select("query", "components", *[F.get(F.split("query", ","), k).try_cast("double").alias(c) for k, c in enumerate(("lat", "lng"))])
+    spots = nearest(out.where(again).select("lat", "lng"), told, "query", within).select("lat", "lng", F.col("answer.components").alias("_there"))
+    out = out.withColumn("_again", again).join(spots, ["lat", "lng"], "left")
+    there = F.when(F.col("_again"), F.col("_there"))
     by_place = lambda v: F.when(F.col("_place").isNotNull(), v)
     out = out.withColumns({"address_1": fill("address_1", by_place(address_line(there))), "postcode": fill("postcode", by_place(component(there, "postal_code"))), "submarket": fill("submarket", submarket(there))})
     outside = F.col("_whole").isNotNull() & ~F.coalesce(inside("_whole"), F.lit(False))

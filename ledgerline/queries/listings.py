@@ -141,6 +141,20 @@ def occupied_sheets(spark, sf):
 # ---------------------------------------------------------------- geocoding
 
 
+@query(
+    """WITH s AS (SELECT c_custkey AS pos, 51.5 + (c_custkey * 7919 % 1009) / 100000.0::DOUBLE AS lat, -0.1 + (c_custkey * 7477 % 997) / 100000.0::DOUBLE AS lng FROM customer),
+a AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, 51.5 + (o_orderkey * 31 % 331) / 33000.0::DOUBLE AS lat, -0.1 + (o_orderkey * 17 % 313) / 31000.0::DOUBLE AS lng FROM orders WHERE o_orderkey % 7 = 0),
+p AS (SELECT pos, key, round(sqrt(pow(s.lng * 69298.3293504998 - a.lng * 69298.3293504998, 2) + pow(s.lat * 111320.0::DOUBLE - a.lat * 111320.0::DOUBLE, 2)), 6) AS far FROM s JOIN a ON abs(s.lat - a.lat) < 0.001)
+SELECT pos, arg_min(key, (far, key)) AS key FROM p WHERE far <= 25 GROUP BY pos"""
+)
+def nearest_answers(spark, sf):
+    """Customers at made coordinates with the nearest of answers at others, some of which share one place."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    spots = table(spark, sf, "customer").select(k.alias("pos"), (F.lit(51.5) + (k * 7919 % 1009) / F.lit(100000.0)).alias("lat"), (F.lit(-0.1) + (k * 7477 % 997) / F.lit(100000.0)).alias("lng"))
+    answers = table(spark, sf, "orders").where(o % 7 == 0).select(o.cast("string").alias("key"), (F.lit(51.5) + (o * 31 % 331) / F.lit(33000.0)).alias("lat"), (F.lit(-0.1) + (o * 17 % 313) / F.lit(31000.0)).alias("lng"))
+    return spots.join(geocode.nearest(spots, answers, "key"), ["lat", "lng"]).select("pos", "answer.key")
+
+
 @query(
     """SELECT c_custkey AS pos, CAST(CASE c_custkey % 6 WHEN 0 THEN 51.5 WHEN 1 THEN 51.51 WHEN 2 THEN 51.52 WHEN 5 THEN 51.55 END AS DOUBLE) AS lat,
   CASE c_custkey % 6 WHEN 0 THEN 'own road' WHEN 1 THEN CAST(c_custkey AS VARCHAR) || ' Quince Row' WHEN 2 THEN '9 Plover Street' END AS address_1, CASE c_custkey % 6 WHEN 0 THEN 'N1 1AA' WHEN 1 THEN 'N1 2BB' WHEN 2 THEN 'N1 3CC' END AS postcode, CASE c_custkey % 6 WHEN 0 THEN 'Angel' WHEN 2 THEN 'Barbican' END AS submarket,
