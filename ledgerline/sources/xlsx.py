@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import to_listing
 from ..operators.sheets import classify_sheets, sheet_lines
-from .mapping import CRITICAL, headers_key, resolve
+from .mapping import CRITICAL, guess_provider, headers_key, resolve, structural_header
 
 CELLS = "file string, sheet string, sheet_state string, row_no int, col_no int, value string, formula string, hyperlink string"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+#: Cells that a task holds at once, beside a workbook's bytes and shared strings.
+CELL_ROWS = 20_000
+
+
 def _column(ref: str) -> int:
     n = 0
     for ch in ref:
@@ -42,15 +47,27 @@ def workbook_cells(data: bytes):
             t = tree(f"{folder}/_rels/{base}.rels")
             return {} if t is None else {r.get("Id"): r.get("Target") for r in t}
 
-        shared = tree("xl/sharedStrings.xml")
-        strings = [] if shared is None else ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in shared]
+        def elements(name, *tags):
+            """Elements of a part as they end; the rows or strings that have been read go from memory at once."""
+            whole = None
+            with z.open(name) as part:
+                for event, e in ElementTree.iterparse(part, ("start", "end")):
+                    if event == "start":
+                        whole = e if e.tag in (f"{_MAIN}sheetData", f"{_MAIN}sst") else whole
+                        continue
+                    if e.tag in tags:
+                        yield e
+                    if e.tag in (f"{_MAIN}row", f"{_MAIN}si") and whole is not None:
+                        whole.clear()
+
+        strings = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in elements("xl/sharedStrings.xml", f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
         targets = relations("xl/workbook.xml")
         for s in tree("xl/workbook.xml").iter(f"{_MAIN}sheet"):
             target = targets[s.get(f"{_REL}id")]
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            sheet, links = tree(path), relations(path)
-            url = {h.get("ref"): links.get(h.get(f"{_REL}id")) for h in sheet.iter(f"{_MAIN}hyperlink")}
-            for c in sheet.iter(f"{_MAIN}c"):
+            links = relations(path)
+            url = {h.get("ref"): links.get(h.get(f"{_REL}id")) for h in elements(path, f"{_MAIN}hyperlink")} if links else {}
+            for c in elements(path, f"{_MAIN}c"):
                 ref, kind = c.get("r"), c.get("t")
                 v, f = c.find(f"{_MAIN}v"), c.find(f"{_MAIN}f")
                 value = v.text if v is not None else None
@@ -67,9 +84,12 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """CELLS of all workbooks under a path; each file is one row of work, read where Spark can read it."""
 
     def run(batches):
+        names = [c.split()[0] for c in CELLS.split(", ")]
         for batch in batches:
-            rows = [(f, *c) for f, data in zip(batch["path"], batch["content"], strict=True) for c in workbook_cells(data)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")])
+            for f, data in zip(batch["path"], batch["content"], strict=True):
+                cells = workbook_cells(data)
+                while rows := [(f, *c) for c in islice(cells, CELL_ROWS)]:
+                    yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
     return files.mapInPandas(run, CELLS)
@@ -134,7 +154,7 @@ def read_listing(cells: DataFrame, header_row: int = 1) -> DataFrame:
 
 def scan_upload(spark: SparkSession, path: str, rescues: dict[str, dict] | None = None) -> DataFrame:
     """One row for each sheet of the workbooks under a path: (file, sheet, sheet_state, headers, header_hash, mapping,
-    unresolved, outcome, reasons).
+    unresolved, provider, area, outcome, reasons). provider is what the file's name says, area the structural header.
 
     A sheet whose headers settle all critical fields, perhaps with a kept rescue (by header hash), has
     no outcome; the others are classified, by their own lines and the dates of the file's other
@@ -152,17 +172,18 @@ def scan_upload(spark: SparkSession, path: str, rescues: dict[str, dict] | None
             for file, sheet, headers in zip(batch["file"], batch["sheet"], batch["headers"], strict=True):
                 names = list(headers)
                 mapping, open_ = resolve(names, file.rsplit("/", 1)[-1], rescues)
-                rows.append((file, sheet, names, {h: f for h, f in mapping.items() if f}, open_))
-            yield pd.DataFrame(rows, columns=["file", "sheet", "headers", "mapping", "unresolved"])
+                base = file.rsplit("/", 1)[-1]
+                rows.append((file, sheet, names, {h: f for h, f in mapping.items() if f}, open_, guess_provider(base), structural_header(names, base)))
+            yield pd.DataFrame(rows, columns=["file", "sheet", "headers", "mapping", "unresolved", "provider", "area"])
 
-    found = head.mapInPandas(run, "file string, sheet string, headers array<string>, mapping map<string,string>, unresolved array<string>")
+    found = head.mapInPandas(run, "file string, sheet string, headers array<string>, mapping map<string,string>, unresolved array<string>, provider string, area string")
     found = found.withColumn("header_hash", headers_key("headers"))
     every = list_sheets(spark, path).where("sheet is not null").join(found, ["file", "sheet"], "left")
     every = every.withColumn("unresolved", F.coalesce("unresolved", F.array(*map(F.lit, CRITICAL))))
     doubtful = every.where(F.size("unresolved") > 0).select("file", "sheet", "sheet_state")
     lines = sheet_lines(cells.withColumn("value", cell_text("")).join(doubtful.select("file", "sheet"), ["file", "sheet"], "left_semi"))
     told = classify_sheets(doubtful, lines).select("file", "sheet", "outcome", "reasons")
-    return every.join(told, ["file", "sheet"], "left").select("file", "position", "sheet", "sheet_state", "headers", "header_hash", "mapping", "unresolved", "outcome", "reasons")
+    return every.join(told, ["file", "sheet"], "left").select("file", "position", "sheet", "sheet_state", "headers", "header_hash", "mapping", "unresolved", "provider", "area", "outcome", "reasons")
 
 
 def write_workbook(rows: list[dict], columns: list[str], labels: list[str], sheet: str = "Sheet1") -> bytes:
