@@ -7,7 +7,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .common import text_batches
 from .encode import ENCODE_BYTES, Encoder
@@ -77,6 +78,22 @@ class Packer:
             self.place()
 
 
+def answers(turns: DataFrame, role: str = "assistant") -> DataFrame:
+    """Examples (doc_id, prompt, text) of turns (conv_id, turn, role, text): each turn of `role` is an answer, whose prompt is what was said since the one before.
+
+    doc_id is conv_id * 1,000,000 + the example's last turn. Turns after the last answer are a prompt without a text;
+    turns of one number go by role and text; null texts are empty; an empty table gives no rows. A window
+    numbers a conversation's answers, so only one prompt's turns are gathered at a time.
+    """
+    said = F.coalesce(F.col("role") == role, F.lit(False))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    told = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"), "role", "text", said.alias("said"))
+    told = told.withColumn("k", F.coalesce(F.sum(F.col("said").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = F.sort_array(F.collect_list(F.when(~F.col("said"), F.struct("turn", "role", "t"))))
+    one = told.groupBy("conv_id", "k").agg(F.max("turn").alias("turn"), F.array_join(F.transform(before, lambda x: x["t"]), "\n").alias("prompt"), F.max(F.when(F.col("said"), F.col("t"))).alias("text"))
+    return one.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), "prompt", "text")
+
+
 def pack_examples(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int | None = None, pool: int = 256, prompt: str | None = None, specials: bool = True) -> DataFrame:
     """One row for each piece of each row of docs (doc_id, text).
 

@@ -27,12 +27,10 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as instruction data: only what the assistant says bears loss, and all three limits bind."""
-    from .packing import pack_examples
+    """Conversations as instruction data: an example is an answer with all turns since the last one as its prompt."""
+    from .packing import answers, pack_examples
 
-    said = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), F.when(said, F.col("text")).alias("text"), F.when(~said, F.col("text")).alias("prompt"))
-    return pack_examples(turns, tokenizer_path("word_bpe_49k.json"), max_segments=32, max_loss=1024, prompt="prompt")
+    return pack_examples(answers(read(spark, sf_dir, "conversations")), tokenizer_path("word_bpe_49k.json"), max_segments=12, max_loss=1024, prompt="prompt")
 
 
 def _crc(column: str = "doc_id"):

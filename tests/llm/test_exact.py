@@ -13,7 +13,7 @@ from ledgerline.llm import queries as q
 from ledgerline.llm.docstats import stats_column
 from ledgerline.llm.encode import Encoder
 from ledgerline.llm.isolation_rules import apply_rules, fit_forest
-from ledgerline.llm.packing import pack_examples
+from ledgerline.llm.packing import answers, pack_examples
 from ledgerline.llm.queries import tokenizer_path
 from ledgerline.llm.rule_quality import FEATURES, fit_quality, score_quality
 
@@ -104,5 +104,24 @@ def test_packing_places_each_id_once(spark, texts, segments, loss, prompt):
 
 def test_conversations_bind_all_limits(spark):
     rows = q.pack_conversations(spark, SF).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.sum("loss_tokens").alias("loss")).collect()
-    assert all(r.n <= 2048 and r.k <= 32 and r.loss <= 1024 for r in rows)
-    assert any(r.n == 2048 for r in rows) or any(r.k == 32 for r in rows) or any(r.loss == 1024 for r in rows)
+    assert all(r.n <= 2048 and r.k <= 12 and r.loss <= 1024 for r in rows)
+    assert any(r.k == 12 for r in rows)
+
+
+def test_each_limit_binds(spark):
+    """One kind of example for each limit, of which that limit alone ends sequences."""
+    shapes = {"n": ("a b c d " * 40, "x", 2048, 512, 1024), "k": ("a", "b", 2048, 8, 1024), "loss": ("a", "b c d e f g h i " * 20, 2048, 512, 300)}
+    for which, (prompt, text, tokens, segments, loss) in shapes.items():
+        docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(prompt).alias("prompt"), F.lit(text).alias("text")).coalesce(1)
+        made = pack_examples(docs, q.tokenizer_path("word_bpe_49k.json"), max_tokens=tokens, max_segments=segments, max_loss=loss, prompt="prompt")
+        rows = made.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.sum("loss_tokens").alias("loss")).orderBy("sequence_id").collect()[:-1]
+        most = {"n": tokens, "k": segments, "loss": loss}
+        assert len(rows) > 2 and all(r[which] == most[which] for r in rows)
+        assert all(r[other] < most[other] for r in rows for other in most if other != which)
+
+
+def test_answers_keep_their_prompts(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "user", None), (1, 4, "user", "v"), (1, 5, "assistant", "b"), (1, 6, "user", "w"), (2, 0, "assistant", "c"), (2, 1, None, "x"), (3, 0, "user", "y")]
+    got = sorted(map(tuple, answers(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)).collect()))
+    assert got == [(1_000_002, "s\nu", "a"), (1_000_005, "\nv", "b"), (1_000_006, "w", None), (2_000_000, "", "c"), (2_000_001, "x", None), (3_000_000, "y", None)]
+    assert answers(spark.createDataFrame(rows[:0], "conv_id long, turn int, role string, text string")).count() == 0
