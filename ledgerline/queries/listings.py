@@ -51,16 +51,31 @@ def map_rows(spark, sf):
     return rows.groupBy("building", "floor_unit", "size_sqft", "postcode", "source_file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('Building', 'building'), ('Floor/Unit', 'floor_unit'), ('Size (sq ft)', 'size_sqft'), ('Monthly Rate', 'rent_pcm'), ('Property Postcode', 'postcode'), ('Legal Structure', NULL), ('Special Feature', 'special_features')) AS t(header, field)")
+_RENT = "CASE s_suppkey % 3 WHEN 0 THEN 'Monthly Rate' WHEN 1 THEN 'Monthly Rates' ELSE 'Montly Rate' END"
+_CODE = "CASE WHEN s_suppkey % 2 = 0 THEN 'Postcode' ELSE 'Post-Code' END"
+
+
+@query(
+    f"""WITH h AS (SELECT s_suppkey, unnest(['Building', 'Floor/Unit', 'Size (sq ft)', {_RENT}, {_CODE}, 'Legal Structure', 'Supplier ' || s_nationkey]) AS header, unnest(['building', 'floor_unit', 'size_sqft', 'rent_pcm', 'postcode', NULL, NULL]) AS field FROM supplier)
+SELECT CAST(s_suppkey AS VARCHAR) AS id, header, field FROM h"""
+)
 def header_fields(spark, sf):
-    found = mapping.suggest_mapping([*_HEADERS, "Special Feature"])
-    return spark.createDataFrame(list(found.items()), "header string, field string")
+    """Headers of one sheet for each supplier, some of them misspelt."""
+    headers = ["'Building'", "'Floor/Unit'", "'Size (sq ft)'", _RENT, _CODE, "'Legal Structure'", "'Supplier ' || s_nationkey"]
+    sheets_ = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.array(*map(F.expr, headers)).alias("headers"))
+    return mapping.map_headers(sheets_)
+
+
+_WHO = "translate(n_name, '_0123456789', ' abcdefghij')"
+_FILE = f"""CASE s_suppkey % 4 WHEN 0 THEN 'Union availability June 26.xlsx' WHEN 1 THEN {_WHO} || ' Offices_2026-07-17.xlsx' WHEN 2 THEN {_WHO} || ' (draft ' || CAST(s_suppkey AS VARCHAR) || ') Sept 2026 live data.csv'
+  ELSE '12-03-' || CAST(2000 + s_suppkey % 100 AS VARCHAR) || '.xlsx' END"""
 
 
-@query("SELECT * FROM (VALUES ('Union availability June 26.xlsx', 'UNION'), ('Larch Offices_2026-07-17.xlsx', 'Larch Offices'), ('Plover (draft) Sept 2026 live data.csv', 'Plover'), ('12-03-2026.xlsx', '12-03-2026')) AS t(file, provider)")
+@query(f"SELECT s_suppkey, {_FILE} AS file, CASE s_suppkey % 4 WHEN 0 THEN 'UNION' WHEN 1 THEN {_WHO} || ' Offices' WHEN 2 THEN {_WHO} ELSE '12-03-' || CAST(2000 + s_suppkey % 100 AS VARCHAR) END AS provider FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def file_providers(spark, sf):
-    names = ["Union availability June 26.xlsx", "Larch Offices_2026-07-17.xlsx", "Plover (draft) Sept 2026 live data.csv", "12-03-2026.xlsx"]
-    return spark.createDataFrame([(f, mapping.guess_provider(f)) for f in names], "file string, provider string")
+    """A file name of each supplier and the provider that it tells."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select("s_suppkey", _expr(_FILE).alias("file")).withColumn("provider", mapping.guessed_provider("file"))
 
 
 _NAMED = "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR) || ' ' || p_name END"
