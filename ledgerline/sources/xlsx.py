@@ -1,13 +1,10 @@
-"""Spreadsheets as a Python data source: cells of .xlsx workbooks, read with the standard library alone."""
+"""Sheets of workbooks: their cells as tables, headers, listings, and the scan of an upload."""
 
 from __future__ import annotations
 
-import io
-import posixpath
-import re
-import zipfile
+import json
+import os
 from itertools import islice
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,78 +13,33 @@ from pyspark.sql import functions as F
 from ..functions.schema import to_listing
 from ..operators.sheets import classify_sheets, sheet_lines
 from .mapping import CRITICAL, guess_provider, headers_key, resolve, structural_header
+from .ooxml import SHEET_ROWS, workbook_cells, workbook_sheets, write_workbook  # noqa: F401
+from .workbook_source import CELL_ROWS, CELLS, SCHEMES, SHEETS, register, scheme
 
-CELLS = "file string, sheet string, sheet_state string, row_no int, col_no int, value string, formula string, hyperlink string"
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-
-
-#: Cells that a task holds at once, beside a workbook's bytes and shared strings.
-CELL_ROWS = 20_000
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for ch in ref:
-        if ch.isalpha():
-            n = n * 26 + ord(ch.upper()) - 64
-    return n
-
-
-def workbook_cells(data: bytes):
-    """(sheet, state, row, column, value, formula, hyperlink) of every cell with a value, a formula or a link."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-
-        def tree(name):
-            return ElementTree.fromstring(z.read(name)) if name in names else None
-
-        def relations(name):
-            folder, base = posixpath.split(name)
-            t = tree(f"{folder}/_rels/{base}.rels")
-            return {} if t is None else {r.get("Id"): r.get("Target") for r in t}
-
-        def elements(name, *tags):
-            """Elements of a part as they end; the rows or strings that have been read go from memory at once."""
-            whole = None
-            with z.open(name) as part:
-                for event, e in ElementTree.iterparse(part, ("start", "end")):
-                    if event == "start":
-                        whole = e if e.tag in (f"{_MAIN}sheetData", f"{_MAIN}sst") else whole
-                        continue
-                    if e.tag in tags:
-                        yield e
-                    if e.tag in (f"{_MAIN}row", f"{_MAIN}si") and whole is not None:
-                        whole.clear()
-
-        strings = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in elements("xl/sharedStrings.xml", f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
-        targets = relations("xl/workbook.xml")
-        for s in tree("xl/workbook.xml").iter(f"{_MAIN}sheet"):
-            target = targets[s.get(f"{_REL}id")]
-            path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            links = relations(path)
-            url = {h.get("ref"): links.get(h.get(f"{_REL}id")) for h in elements(path, f"{_MAIN}hyperlink")} if links else {}
-            for c in elements(path, f"{_MAIN}c"):
-                ref, kind = c.get("r"), c.get("t")
-                v, f = c.find(f"{_MAIN}v"), c.find(f"{_MAIN}f")
-                value = v.text if v is not None else None
-                if kind == "s" and value is not None:
-                    value = strings[int(value)]
-                elif kind == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-                formula = f"={f.text}" if f is not None and f.text else None
-                if value is not None or formula or url.get(ref):
-                    yield s.get("name"), s.get("state") or "visible", int(re.sub(r"\D", "", ref)), _column(ref), value, formula, url.get(ref)
-
-
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """CELLS of all workbooks under a path; each file is one row of work, read where Spark can read it."""
+
+def _load(spark: SparkSession, name: str, path: str, **options) -> DataFrame | None:
+    """path by one of the workbook sources, where tasks can open its files; None elsewhere."""
+    if scheme(path) not in SCHEMES:
+        return None
+    register(spark)
+    return spark.read.format(name).options(**options).load(path if scheme(path) else os.path.abspath(path))
+
+
+def read_cells(spark: SparkSession, path: str, sheets: list[str] | None = None, last_row: int | None = None) -> DataFrame:
+    """CELLS of all workbooks under a path, or of sheets of some names and of lines up to the last wanted, by sheet.
+
+    In a store that only Hadoop's file systems reach, each file is one row of work, read whole where Spark can read it.
+    """
+    options = ({} if sheets is None else {"sheets": json.dumps(sheets)}) | ({} if last_row is None else {"lastRow": last_row})
+    if (cells := _load(spark, "workbook", path, **options)) is not None:
+        return cells
+    wanted = None if sheets is None else lambda _, name, state: name in sheets
 
     def run(batches):
         names = [c.split()[0] for c in CELLS.split(", ")]
         for batch in batches:
             for f, data in zip(batch["path"], batch["content"], strict=True):
-                cells = workbook_cells(data)
+                cells = workbook_cells(data, wanted, last=last_row or SHEET_ROWS)
                 while rows := [(f, *c) for c in islice(cells, CELL_ROWS)]:
                     yield pd.DataFrame(rows, columns=names)
 
@@ -123,23 +75,18 @@ def sheet_headers(cells: DataFrame, header_row: int = 1) -> list[str]:
     return [str(rows.get(k) or f"column {k}") for k in range(1, max(rows, default=0) + 1)]
 
 
-def workbook_sheets(data: bytes) -> list[tuple[str, str]]:
-    """(name, state) of a workbook's sheets, in order."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("xl/workbook.xml"))
-    return [(s.get("name"), s.get("state") or "visible") for s in root.iter(f"{_MAIN}sheet")]
-
-
 def list_sheets(spark: SparkSession, path: str) -> DataFrame:
     """(file, position, sheet, sheet_state) of all workbooks under a path, empty sheets included; a CSV file is one sheet without a name."""
+    if (sheets := _load(spark, "workbook_sheets", path)) is not None:
+        return sheets
 
     def run(batches):
         for batch in batches:
             rows = [(f, k, *s) for f, data in zip(batch["path"], batch["content"], strict=True) for k, s in enumerate([(None, "visible")] if f.lower().endswith(".csv") else workbook_sheets(data))]
-            yield pd.DataFrame(rows, columns=["file", "position", "sheet", "sheet_state"])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SHEETS.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,csv}").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, position int, sheet string, sheet_state string")
+    return files.mapInPandas(run, SHEETS)
 
 
 def read_listing(cells: DataFrame, header_row: int = 1) -> DataFrame:
@@ -161,7 +108,7 @@ def scan_upload(spark: SparkSession, path: str, rescues: dict[str, dict] | None
     unresolved sheets. Headers come from each sheet's first row.
     """
     cells = read_cells(spark, path)
-    head = cells.where("row_no = 1").select("file", "sheet", "col_no", cell_text("").alias("t"))
+    head = read_cells(spark, path, last_row=1).where("row_no = 1").select("file", "sheet", "col_no", cell_text("").alias("t"))
     head = head.groupBy("file", "sheet").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "t"))).alias("m"))
     names = F.transform(F.sequence(F.lit(1), F.array_max(F.map_keys("m")).cast("int")), lambda k: F.coalesce(F.nullif(F.col("m")[k], F.lit("")), F.concat(F.lit("column "), k.cast("string"))))
     head = head.select("file", "sheet", names.alias("headers"))
@@ -184,40 +131,3 @@ def scan_upload(spark: SparkSession, path: str, rescues: dict[str, dict] | None
     lines = sheet_lines(cells.withColumn("value", cell_text("")).join(doubtful.select("file", "sheet"), ["file", "sheet"], "left_semi"))
     told = classify_sheets(doubtful, lines).select("file", "sheet", "outcome", "reasons")
     return every.join(told, ["file", "sheet"], "left").select("file", "position", "sheet", "sheet_state", "headers", "header_hash", "mapping", "unresolved", "provider", "area", "outcome", "reasons")
-
-
-def write_workbook(rows: list[dict], columns: list[str], labels: list[str], sheet: str = "Sheet1") -> bytes:
-    """A workbook of few rows, such as an export a person opens; text as inline strings, links as hyperlinks."""
-    letters = lambda k: (letters((k - 1) // 26) if k > 26 else "") + chr(65 + (k - 1) % 26)
-
-    def esc(t):
-        return str(t).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
-
-    body, links, rels = [], [], []
-    for n, values in enumerate([labels, *[[r.get(c) for c in columns] for r in rows]], 1):
-        cells = []
-        for k, v in enumerate(values, 1):
-            if v is None:
-                continue
-            ref = f"{letters(k)}{n}"
-            if isinstance(v, int | float):
-                cells.append(f'<c r="{ref}"><v>{v!r}</v></c>')
-            else:
-                cells.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{esc(v)}</t></is></c>')
-                if n > 1 and str(v).startswith(("http://", "https://")):
-                    rels.append(f'<Relationship Id="rId{len(rels) + 1}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/hyperlink" Target="{esc(v)}" TargetMode="External"/>')
-                    links.append(f'<hyperlink ref="{ref}" r:id="rId{len(rels)}"/>')
-        body.append(f'<row r="{n}">{"".join(cells)}</row>')
-    widths = [min(40, max(10, max([len(str(r.get(c) or "")) for r in rows] + [len(label)]) + 2)) for c, label in zip(columns, labels, strict=True)]
-    cols = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1))
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    package = "http://schemas.openxmlformats.org/package/2006"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="{esc(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><cols>{cols}</cols><sheetData>{"".join(body)}</sheetData>' + (f'<hyperlinks>{"".join(links)}</hyperlinks>' if links else "") + "</worksheet>")
-        z.writestr("xl/worksheets/_rels/sheet1.xml.rels", f'<Relationships xmlns="{package}/relationships">{"".join(rels)}</Relationships>')
-    return out.getvalue()
