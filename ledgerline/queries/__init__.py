@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import keys, linkage, listings, tables
+from . import keys, linkage, listings, stored, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (keys, linkage, tables, listings):
+for _module in (keys, linkage, tables, listings, stored):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
