@@ -174,18 +174,22 @@ SELECT 'https://go.example/' || page_id || '/0' AS url, CASE n WHEN 4 THEN 'http
   CASE n WHEN 4 THEN 'circle' WHEN 3 THEN 'dead' ELSE CASE WHEN page_id % 4 IN (1, 2) THEN 'anchor' ELSE 'page' END END AS outcome, CASE n WHEN 4 THEN 20 WHEN 3 THEN 1 ELSE n + 1 END AS hops FROM p"""
 )
 def link_hops(spark, sf):
-    """Pages behind short links of one to three hops, some of which end nowhere or run in a circle."""
-    pages = table(spark, sf, "pages")
+    """Pages behind short links of one to three hops, some of which end nowhere or run in a circle.
+
+    Several pages may share an address; each answers at its own, told apart by a fragment, as a response is one for each url.
+    """
+    pages = table(spark, sf, "pages").withColumn("own", F.concat("url", F.lit("#page-"), F.col("page_id").cast("string")))
     step = lambda k: F.concat(F.lit("https://go.example/"), F.col("page_id").cast("string"), F.lit(f"/{k}"))
     n, none = F.col("page_id") % 5, F.lit(None).cast("string")
-    last = {0: F.col("url"), 1: step(1), 2: step(1), 3: F.lit("/gone"), 4: step(1)}
+    last = {0: F.col("own"), 1: step(1), 2: step(1), 3: F.lit("/gone"), 4: step(1)}
     hop = [pages.where(n == k).select(step(0).alias("url"), F.lit(302).alias("status"), to.alias("location"), none.alias("html")) for k, to in last.items()]
-    hop += [pages.where(n == k).select(step(1).alias("url"), F.lit(301).alias("status"), to.alias("location"), none.alias("html")) for k, to in ((1, F.col("url")), (2, step(2)), (4, step(0)))]
-    hop.append(pages.where(n == 2).select(step(2).alias("url"), F.lit(308).alias("status"), F.col("url").alias("location"), none.alias("html")))
-    responses = pages.select("url", F.lit(200).alias("status"), none.alias("location"), F.concat(F.expr(_MORE), "html").alias("html"))
+    hop += [pages.where(n == k).select(step(1).alias("url"), F.lit(301).alias("status"), to.alias("location"), none.alias("html")) for k, to in ((1, F.col("own")), (2, step(2)), (4, step(0)))]
+    hop.append(pages.where(n == 2).select(step(2).alias("url"), F.lit(308).alias("status"), F.col("own").alias("location"), none.alias("html")))
+    responses = pages.select(F.col("own").alias("url"), F.lit(200).alias("status"), none.alias("location"), F.concat(F.expr(_MORE), "html").alias("html"))
     for h in hop:
         responses = responses.unionByName(h)
-    return links.resolve_links(pages.select(step(0).alias("url")), responses, writer(spark))
+    found = links.resolve_links(pages.select(step(0).alias("url")), responses, writer(spark))
+    return found.withColumn("link", F.regexp_replace("link", r"#page-\d+$", ""))
 
 
 @query("SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS text_md5 FROM pages")
