@@ -60,3 +60,13 @@ def is_blank(c: Column, kind: str = "str") -> Column:
     if kind == "str":
         return c.isNull() | ~c.rlike(r"[^\t-\r\x1c-\x1f\x85\p{Z}]")
     return c.isNull() | (F.isnan(c) if kind == "float" else F.lit(False))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once for a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over as many tasks as a shuffle has, where a file of few bytes would be the work of one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
