@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .schema import is_blank
+from .schema import is_blank, let
 
 WS = r"\t-\r\x1c-\x1f\x85\p{Z}"
 WORDCHAR = r"\p{L}\p{N}_"
@@ -135,14 +135,19 @@ def detail_items(c: Column) -> Column:
     return F.filter(items, lambda x: F.length(x) >= 3)
 
 
-def items_similar(a: Column, b: Column, threshold: float = 0.5) -> Column:
-    x, y = significant_words(a), significant_words(b)
+def words_similar(x: Column, y: Column, threshold: float = 0.5) -> Column:
+    """Whether one of two sets of words holds enough of the other."""
     return (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)) >= threshold)
 
 
+def items_similar(a: Column, b: Column, threshold: float = 0.5) -> Column:
+    return words_similar(significant_words(a), significant_words(b), threshold)
+
+
 def detail_loss(old: Column, new: Column) -> Column:
     """Whether some old item has no like among the new ones."""
-    return F.exists(detail_items(old), lambda x: ~F.exists(detail_items(new), lambda y: items_similar(x, y)))
+    words = lambda c: F.transform(detail_items(c), significant_words)
+    return let(F.struct(words(old).alias("old"), words(new).alias("new")), lambda w: F.exists(w["old"], lambda x: ~F.exists(w["new"], lambda y: words_similar(x, y))))
 
 
 def richness_regression(old: Column, new: Column, ratio: float = 0.5) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.schema import KINDS, LISTING
+from ..functions.schema import KINDS, LISTING, spread
 from ..functions.text import house_number_changed
 from ..operators import diff, display, enrich, geocode, geometry, links, sheets
 from ..plans.merge import COLUMNS, manual_edit
@@ -255,7 +255,7 @@ def caption_words(spark, sf):
 @query("SELECT p_partkey, 'See https://a.example.org/x/' || CAST(p_partkey AS VARCHAR) || ' ' || p_name || ' and  or ' || repeat('-', 40) || '  end  more https://a.example.org/last/z' AS body FROM part")
 def email_links(spark, sf):
     text = F.concat(F.lit("See <https://a.example.org/x/"), F.col("p_partkey").cast("string"), F.lit("> "), "p_name", F.lit(f" and <https://a.example.org/unsubscribe> or {'-' * 40} <https://b.example.org/prefs> end <https://example.org/> more <https://a.example.org/last/z>"))
-    return table(spark, sf, "part").select("p_partkey", links.resolve_email_links(text).alias("body"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name")).select("p_partkey", links.resolve_email_links(text).alias("body"))
 
 
 _RAW_LINK = "CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'https://a.example.org/u/' || CAST(page_id AS VARCHAR) WHEN 2 THEN 'https://example.org/' WHEN 3 THEN '' ELSE 'https://a.example.org/unsubscribe?u=1' END"
@@ -278,9 +278,9 @@ def risky_changes(spark, sf):
     k = F.col("p_partkey")
     text = F.when(k % 4 == 1, "gym hall").when(k % 4 == 2, "alpha terrace; gym hall; pool").when(k % 4 == 3, "let; alpha terrace; gym hall").otherwise("alpha terrace; gym hall")
     number = lambda more: F.concat((F.col("p_size") + more).cast("string"), F.lit(" "), F.col("p_name"))
-    old = _listing(table(spark, sf, "part"), {"building": F.lit("B"), "special_features": F.lit("alpha terrace; gym hall"), "address_1": number(F.lit(0))}, "p_partkey", text.alias("t"), number(k % 2).alias("a"))
+    old = _listing(spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_name")), {"building": F.lit("B"), "special_features": F.lit("alpha terrace; gym hall"), "address_1": number(F.lit(0))}, "p_partkey", text.alias("t"), number(k % 2).alias("a"))
     rows = old.select("p_partkey", F.struct(*COLUMNS).alias("o"), F.struct(*[{"special_features": F.col("t"), "address_1": F.col("a")}.get(c, F.col(c)).alias(c) for c in COLUMNS]).alias("n"))
-    diffs = diff.field_diffs(F.col("o"), F.col("n"))
+    rows, diffs = rows.withColumn("diffs", diff.field_diffs(F.col("o"), F.col("n"))), F.col("diffs")
     return rows.select("p_partkey", F.array_join(diff.risky_fields(F.col("o"), F.col("n"), diffs), ",").alias("risky"), F.array_join(diff.let_status_fields(F.col("n"), diffs), ",").alias("gone"), house_number_changed(F.col("o.address_1"), F.col("n.address_1")).alias("renumbered"))
 
 
