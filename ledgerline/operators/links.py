@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..functions.schema import let
+
 # Hosts of profiles, words of links other than brochures, wordings around administrative links.
 PROFILE_HOSTS = ["linkedin.com", "instagram.com", "twitter.com", "x.com", "facebook.com", "rics.org"]
 OTHER_WORDS = ["download", "floorplan", "floor plan"]
@@ -171,17 +173,21 @@ def resolve_email_links(text: Column) -> Column:
     few pieces just before, as each earlier link takes more than ten characters of it.
     """
     pattern = r"<(https?://[^>\s]+)>"
-    between = F.split(text, pattern)
-    urls = F.regexp_extract_all(text, F.lit(pattern), 1)
     reach = ADMIN_CONTEXT // len("<http://x>") + 1
 
-    def one(k):
-        url = F.get(urls, k)
+    def one(between, urls, k):
         back = F.least(k, F.lit(reach))
         earlier = F.zip_with(F.slice(between, k - back + 1, back), F.slice(urls, k - back + 1, back), lambda t, u: F.concat(t, F.lit("<"), u, F.lit(">")))
         before = F.concat(F.array_join(earlier, ""), F.get(between, k))
-        target = F.coalesce(unwrap_tracking(url), url)
-        drop = url.isNull() | is_admin_link(F.right(before, F.lit(ADMIN_CONTEXT))) | is_admin_link(url) | is_generic_link(url) | is_generic_link(target)
-        return F.concat(F.get(between, k), F.when(drop, F.lit("")).otherwise(target))
+        target = F.coalesce(unwrap_tracking(F.get(urls, k)), F.get(urls, k))
+
+        def kept(url, to):
+            drop = url.isNull() | is_admin_link(F.right(before, F.lit(ADMIN_CONTEXT))) | is_admin_link(url) | is_generic_link(url) | is_generic_link(to)
+            return F.when(drop, F.lit("")).otherwise(to)
+
+        return F.concat(F.get(between, k), let(F.struct(F.get(urls, k).alias("url"), target.alias("to")), lambda x: kept(x["url"], x["to"])))
+
+    def joined(p):
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(p["between"]) - 1), lambda k: one(p["between"], p["urls"], k)), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(between) - 1), one), "")
+    return let(F.struct(F.split(text, pattern).alias("between"), F.regexp_extract_all(text, F.lit(pattern), 1).alias("urls")), joined)
