@@ -10,7 +10,7 @@ from ..functions.text import coerce_number
 from ..operators.geocode import geocode_rows
 from ..sources.documents import content_hash
 from ..sources.mapping import fill_blank
-from ..sources.xlsx import cell_text, read_cells, scan_upload
+from ..sources.xlsx import as_lines, cell_text, read_lines, scan_upload
 from .checkpoints import numbered
 from .table import Staging
 
@@ -18,14 +18,15 @@ from .table import Staging
 def mapped_rows(cells: DataFrame, scan: DataFrame) -> DataFrame:
     """(file, sheet, position, row_no, provider_guess, area, listing columns): rows of all sheets whose headers settle every critical field.
 
-    Each cell is known by its column's header, the first of equal ones; numbers are coerced, and rows without a building go.
-    All sheets of all files are one join and one aggregate.
+    cells: lines of workbooks, or their cells, which are put together first. Each cell is known by its column's header, the
+    first of equal ones; numbers are coerced, and rows without a building go. All sheets of all files are one join.
     """
-    fields = scan.where("size(unresolved) = 0").select("file", "sheet", "position", F.col("provider").alias("provider_guess"), "area", F.posexplode("headers").alias("at", "header"), "headers", "mapping")
-    fields = fields.where(F.array_position("headers", F.col("header")) == F.col("at") + 1).withColumn("field", F.col("mapping")[F.col("header")])
-    fields = fields.where(F.col("field").isin(list(KINDS))).select("file", "sheet", "position", "provider_guess", "area", (F.col("at") + 1).alias("col_no"), "field")
-    told = cells.where("row_no > 1").select("file", "sheet", "row_no", "col_no", cell_text().alias("t")).join(fields, ["file", "sheet", "col_no"])
-    rows = told.groupBy("file", "sheet", "position", "row_no", "provider_guess", "area").agg(F.map_from_entries(F.collect_list(F.struct("field", "t"))).alias("m"))
+    lines = cells if "cells" in cells.columns else as_lines(cells)
+    fields = F.filter(F.transform("headers", lambda h, k: F.struct((k + 1).alias("col_no"), F.when(F.array_position("headers", h) == k + 1, F.col("mapping")[h]).alias("field"))), lambda x: x["field"].isin(list(KINDS)))
+    sheets = scan.where("size(unresolved) = 0").select("file", "sheet", "position", F.col("provider").alias("provider_guess"), "area", F.map_from_entries(fields).alias("fields"))
+    told = lines.where("row_no > 1").select("file", "sheet", "row_no", "cells").join(sheets, ["file", "sheet"])
+    named = F.filter("cells", lambda c: F.map_contains_key("fields", c["col_no"]))
+    rows = told.select("file", "sheet", "position", "row_no", "provider_guess", "area", F.map_from_entries(F.transform(named, lambda c: F.struct(F.col("fields")[c["col_no"]].alias("field"), cell_text(cell=c).alias("t")))).alias("m"))
     cols = []
     for f, kind in KINDS.items():
         c = F.element_at(F.split("file", "/"), -1) if f == "source_file" else F.try_element_at("m", F.lit(f))
@@ -40,8 +41,8 @@ def upload_rows(spark: SparkSession, path: str, checkpoint, rescues: dict[str, d
     then coordinates are looked up in `responses`, which never override them, and a blank address is a building with a
     number. Sheets that are unresolved are scan_upload's to tell; rescues (by header hash) settle them.
     """
-    scan = checkpoint(scan_upload(spark, path, rescues), "scan")
-    rows = mapped_rows(read_cells(spark, path), scan)
+    scan = checkpoint(scan_upload(spark, path, rescues, checkpoint), "scan")
+    rows = mapped_rows(read_lines(spark, path), scan)
     rows = rows.withColumn("provider", fill_blank("provider", F.col("provider_guess")))
     rows = rows.withColumns({"internal_ref": fill_blank("internal_ref", F.col("provider")), "submarket": fill_blank("submarket", F.col("area"))})
     rows = checkpoint(rows.drop("provider_guess", "area"), "mapped")

@@ -11,7 +11,7 @@ from ..plans.checkpoints import shared_folder, writer
 from ..plans.table import MasterTable, Staging
 from ..plans.upload import mapped_rows
 from ..sources.workbook_source import register
-from ..sources.xlsx import read_cells, scan_upload
+from ..sources.xlsx import read_lines, scan_upload
 from .adapter import sides, with_listing
 
 QUERIES, ORACLES = {}, {}
@@ -71,6 +71,7 @@ def workbook_upload(spark, sf):
     register(spark)
     path = _folder(spark)
     batch.select(*[F.col(c).alias(title_label(c)) for c in KINDS if c not in ("source_file", "property_id")]).write.format("workbook").mode("append").save(path)
-    scan = writer(spark)(scan_upload(spark, path), "scan")
-    rows = mapped_rows(read_cells(spark, path), scan)
+    checkpoint = writer(spark)
+    scan = checkpoint(scan_upload(spark, path, checkpoint=checkpoint), "scan")
+    rows = mapped_rows(read_lines(spark, path), scan)
     return rows.groupBy("building", "floor_unit", "provider", "postcode", "size_sqft", "rent_pcm").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
     register(spark)
     spark.read.format("workbook").option("sheets", '["Units"]').option("lastRow", 2).load(folder)
+    spark.read.format("workbook_lines").load(folder)
     spark.read.format("workbook_sheets").load(folder)
     df.write.format("workbook").mode("overwrite").option("sheet", "Units").save(folder)
 
@@ -19,16 +20,19 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import accumulate, chain, groupby, islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.schema import spread
 from .ooxml import SHEET_ROWS, workbook_cells, workbook_sheets, write_sheet
 
 CELLS = "file string, sheet string, sheet_state string, row_no int, col_no int, value string, formula string, hyperlink string"
+CELL = "col_no int, value string, formula string, hyperlink string"
+LINES = f"file string, sheet string, sheet_state string, row_no int, cells array<struct<{CELL.replace(' ', ':').replace(',:', ', ')}>>"
 SHEETS = "file string, position int, sheet string, sheet_state string"
 SCHEMES = ("", "file", "hdfs", "viewfs", "s3", "gs", "gcs")
 #: Bytes of files of one task; a workbook that has more is read by a task for each sheet.
@@ -37,6 +41,8 @@ SPLIT_BYTES = 4 << 20
 LIST_FILES = 64
 #: Cells that a task holds at once, beside a line, the shared strings and a sheet's links.
 CELL_ROWS = 20_000
+#: Lines that a task holds at once where it reads by lines.
+LINE_ROWS = 2_000
 #: Lines of a workbook that the writer makes, beyond which it begins the next.
 PART_ROWS = 100_000
 
@@ -105,20 +111,33 @@ class CellReader(DataSourceReader):
             room -= n
         return parts or [Part([])]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def cells(self, partition: Part) -> Iterator[tuple]:
         fs, _, head = _store(self.path)
-        schema = _schema(CELLS)
 
         def wanted(position, name, state):
             return partition.position in (None, position) and self.wanted(name, state)
 
-        def cells():
-            for path in partition.files:
-                with fs.open_input_file(path) as f:
-                    for c in workbook_cells(f, wanted, self.first, self.last):
-                        yield (head + path, *c)
+        for path in partition.files:
+            with fs.open_input_file(path) as f:
+                for c in workbook_cells(f, wanted, self.first, self.last):
+                    yield (head + path, *c)
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        return _batches(self.cells(partition), _schema(CELLS))
 
-        return _batches(cells(), schema)
+
+class LineReader(CellReader):
+    """The same tasks, a row for each line; the cells of a line stand together in a sheet."""
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        kinds, parts = _schema("file string, sheet string, sheet_state string, row_no int"), _schema(CELL)
+        lines = ((place, [c[4:] for c in cells]) for place, cells in groupby(self.cells(partition), lambda c: c[:4]))
+        while some := list(islice(lines, LINE_ROWS)):
+            places = [pa.array(c, t) for c, t in zip(zip(*[p for p, _ in some], strict=True), kinds.types, strict=True)]
+            flat = [pa.array(c, t) for c, t in zip(zip(*chain.from_iterable(cells for _, cells in some), strict=True), parts.types, strict=True)]
+            ends = pa.array([0, *accumulate(len(cells) for _, cells in some)], pa.int32())
+            cells = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, fields=list(parts)))
+            yield pa.RecordBatch.from_arrays([*places, cells], names=[*kinds.names, "cells"])
 
 
 class SheetReader(DataSourceReader):
@@ -221,6 +240,24 @@ class WorkbookSource(DataSource):
         return SheetWriter(self.options["path"], schema.names, self.options.get("sheet", "Sheet1"), int(self.options.get("partRows", PART_ROWS)), overwrite)
 
 
+class WorkbookLines(WorkbookSource):
+    """Lines of .xlsx files with their cells in order, by the options of the cells; not written."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook_lines"
+
+    def schema(self) -> str:
+        return LINES
+
+    def reader(self, schema) -> LineReader:
+        r = super().reader(schema)
+        return LineReader(r.path, r.split, r.sheets, r.states, r.first, r.last)
+
+    def writer(self, schema, overwrite: bool):
+        raise NotImplementedError("lines are only read")
+
+
 class WorkbookSheets(DataSource):
     """Sheets of .xlsx files and CSV files. Option: path."""
 
@@ -236,6 +273,20 @@ class WorkbookSheets(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make both formats known to a session."""
+    """Make the formats known to a session."""
     spark.dataSource.register(WorkbookSource)
+    spark.dataSource.register(WorkbookLines)
     spark.dataSource.register(WorkbookSheets)
+
+
+def sheet_cells(sheets: DataFrame, path: str) -> DataFrame:
+    """CELLS of some sheets (file, position) of the workbooks under a path, each read by one row of work."""
+
+    def run(batches):
+        fs, _, head = _store(path)
+        for batch in batches:
+            for file, position in zip(*(batch.column(c).to_pylist() for c in ("file", "position")), strict=True):
+                with fs.open_input_file(file.removeprefix(head)) as f:
+                    yield from _batches(((file, *c) for c in workbook_cells(f, lambda k, *_: k == position)), _schema(CELLS))  # noqa: B023
+
+    return spread(sheets.select("file", "position")).mapInArrow(run, CELLS)

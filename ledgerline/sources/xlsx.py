@@ -14,6 +14,7 @@ from ..functions.schema import to_listing
 from ..operators.sheets import classify_sheets, sheet_lines
 from .mapping import CRITICAL, guess_provider, headers_key, resolve, structural_header
 from .ooxml import SHEET_ROWS, workbook_cells, workbook_sheets, write_workbook  # noqa: F401
+from . import workbook_source
 from .workbook_source import CELL_ROWS, CELLS, SCHEMES, SHEETS, register, scheme
 
 
@@ -47,6 +48,25 @@ def read_cells(spark: SparkSession, path: str, sheets: list[str] | None = None,
     return files.mapInPandas(run, CELLS)
 
 
+def as_lines(cells: DataFrame) -> DataFrame:
+    """(file, sheet, sheet_state, row_no, cells array<struct<col_no, value, formula, hyperlink>>) of cells."""
+    return cells.groupBy("file", "sheet", "sheet_state", "row_no").agg(F.collect_list(F.struct("col_no", "value", "formula", "hyperlink")).alias("cells"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """as_lines of all workbooks under a path, put together where they are read if tasks can open the files."""
+    lines = _load(spark, "workbook_lines", path)
+    return as_lines(read_cells(spark, path)) if lines is None else lines
+
+
+def sheet_cells(spark: SparkSession, path: str, sheets: DataFrame) -> DataFrame:
+    """CELLS of some sheets (file, position) of the workbooks under a path; others are not opened where tasks can open files."""
+    if scheme(path) in SCHEMES:
+        return workbook_source.sheet_cells(sheets, path)
+    some = list_sheets(spark, path).join(sheets.select("file", "position"), ["file", "position"], "left_semi")
+    return read_cells(spark, path).join(some.select("file", "sheet"), ["file", "sheet"], "left_semi")
+
+
 def formula_fallback(formula):
     """The value that an exported placeholder formula falls back to: text in quotes, or a number."""
     # a fixed format: how exports write formulas that other programs lack
@@ -56,10 +76,14 @@ def formula_fallback(formula):
     return F.when(inner != "", F.when(quoted, F.replace(F.substring(inner, F.lit(2), F.length(inner) - 2), F.lit('""'), F.lit('"'))).otherwise(inner))
 
 
-def cell_text(links: str = "*"):
-    """A cell's text: its link in every column (links='*') or in none, else its cached value, else the formula's fallback."""
-    text = F.coalesce(F.col("value"), formula_fallback(F.col("formula")))
-    return F.coalesce(F.col("hyperlink"), text) if links == "*" else text
+def cell_text(links: str = "*", cell=None):
+    """A cell's text: its link in every column (links='*') or in none, else its cached value, else the formula's fallback.
+
+    The cell is a row, or a struct of the same names.
+    """
+    part = F.col if cell is None else cell.__getitem__
+    text = F.coalesce(part("value"), formula_fallback(part("formula")))
+    return F.coalesce(part("hyperlink"), text) if links == "*" else text
 
 
 def sheet_table(cells: DataFrame, headers: list[str], header_row: int = 1) -> DataFrame:
@@ -99,15 +123,16 @@ def read_listing(cells: DataFrame, header_row: int = 1) -> DataFrame:
     return to_listing(sheet_table(cells, headers, header_row))
 
 
-def scan_upload(spark: SparkSession, path: str, rescues: dict[str, dict] | None = None) -> DataFrame:
+def scan_upload(spark: SparkSession, path: str, rescues: dict[str, dict] | None = None, checkpoint=None) -> DataFrame:
     """One row for each sheet of the workbooks under a path: (file, sheet, sheet_state, headers, header_hash, mapping,
     unresolved, provider, area, outcome, reasons). provider is what the file's name says, area the structural header.
 
     A sheet whose headers settle all critical fields, perhaps with a kept rescue (by header hash), has
     no outcome; the others are classified, by their own lines and the dates of the file's other
-    unresolved sheets. Headers come from each sheet's first row.
+    unresolved sheets. Headers come from each sheet's first row. Of settled sheets no more is read.
+    checkpoint(df, name) keeps the headers and the lines of doubtful sheets, which are read more than once.
     """
-    cells = read_cells(spark, path)
+    keep = checkpoint or (lambda df, name: df)
     head = read_cells(spark, path, last_row=1).where("row_no = 1").select("file", "sheet", "col_no", cell_text("").alias("t"))
     head = head.groupBy("file", "sheet").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "t"))).alias("m"))
     names = F.transform(F.sequence(F.lit(1), F.array_max(F.map_keys("m")).cast("int")), lambda k: F.coalesce(F.nullif(F.col("m")[k], F.lit("")), F.concat(F.lit("column "), k.cast("string"))))
@@ -127,7 +152,8 @@ def scan_upload(spark: SparkSession, path: str, rescues: dict[str, dict] | None
     found = found.withColumn("header_hash", headers_key("headers"))
     every = list_sheets(spark, path).where("sheet is not null").join(found, ["file", "sheet"], "left")
     every = every.withColumn("unresolved", F.coalesce("unresolved", F.array(*map(F.lit, CRITICAL))))
-    doubtful = every.where(F.size("unresolved") > 0).select("file", "sheet", "sheet_state")
-    lines = sheet_lines(cells.withColumn("value", cell_text("")).join(doubtful.select("file", "sheet"), ["file", "sheet"], "left_semi"))
+    every = keep(every, "headers")
+    doubtful = every.where(F.size("unresolved") > 0).select("file", "position", "sheet", "sheet_state")
+    lines = keep(sheet_lines(sheet_cells(spark, path, doubtful).withColumn("value", cell_text(""))), "doubtful")
     told = classify_sheets(doubtful, lines).select("file", "sheet", "outcome", "reasons")
     return every.join(told, ["file", "sheet"], "left").select("file", "position", "sheet", "sheet_state", "headers", "header_hash", "mapping", "unresolved", "provider", "area", "outcome", "reasons")
