@@ -6,6 +6,7 @@ responses: (query, kind, status, lat, lng, components array<struct<name, types>>
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,27 +52,37 @@ def spot_query(lat: Column, lng: Column) -> Column:
     return F.when(lat.isNotNull() & lng.isNotNull(), F.concat_ws(",", lat.cast("string"), lng.cast("string")))
 
 
-def nearest(spots: DataFrame, answers: DataFrame, key: str, within: float = NEAR) -> DataFrame:
+def nearest(spots: DataFrame, answers: DataFrame, key: str, within: float = NEAR, checkpoint=None) -> DataFrame:
     """spots (lat, lng) with the nearest of answers (lat, lng, key, ...), a struct `answer`, at most `within` metres away;
     of those equally far, to a thousandth of a millimetre, the one with the least key.
 
-    Both are put on a grid whose cells are as wide as that; an answer stands in its cell and the eight around
-    it, so they meet by cell. Spots without one go. Each pair of coordinates is asked once and answers
-    at the same ones are one, that with the least key. Metres are those of a plane at London's latitude.
+    Both are put on a grid, and an answer stands in its cell and the eight around it, so they meet by cell. Spots without one
+    go. Each pair of coordinates is asked once and answers at the same ones are one, that with the least key. Metres are
+    those of a plane at London's latitude. With checkpoint(df, name), which keeps what each grid finds, cells grow from
+    within / 64 to `within` by four: what is no farther than a cell is wide is the nearest, and only spots without that are asked
+    on the next grid, so dense answers make few pairs. Without it there is the last grid alone.
     """
     x, y = F.col("lng") * (DEGREE * math.cos(math.radians(LATITUDE))), F.col("lat") * DEGREE
     placed = lambda t: t.where("lat is not null and lng is not null and not isnan(lat) and not isnan(lng)").withColumns({"_x": x, "_y": y})
-    cell = lambda c: F.floor(F.col(c) / within)
-    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
     there = answers.groupBy("lat", "lng").agg(F.min_by(F.struct(*answers.columns), key).alias("answer"))
-    there = placed(there).select("answer", F.col("_x").alias("_ax"), F.col("_y").alias("_ay"), around("_x").alias("_cx")).withColumn("_cy", around("_ay"))
-    asked = placed(spots.select("lat", "lng").distinct()).withColumns({"_cx": cell("_x"), "_cy": cell("_y")})
+    there = placed(there).select("answer", F.col("_x").alias("_ax"), F.col("_y").alias("_ay"))
+    rest = placed(spots.select("lat", "lng").distinct())
+    keep, widths = (checkpoint, [within / 64, within / 16, within / 4, within]) if checkpoint else (lambda df, name: df, [within])
+    there, rest = keep(there, "answers"), keep(rest, "spots")
     apart = F.round(F.sqrt((F.col("_x") - F.col("_ax")) ** 2 + (F.col("_y") - F.col("_ay")) ** 2), 6)
-    pairs = asked.join(there, ["_cx", "_cy"]).withColumn("_far", apart).where(F.col("_far") <= within)
-    return pairs.groupBy("lat", "lng").agg(F.min_by("answer", F.struct("_far", f"answer.{key}")).alias("answer"))
-
-
-def geocode_rows(rows: DataFrame, responses: DataFrame, within: float = NEAR) -> DataFrame:
+    found = []
+    for width in widths:
+        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
+        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))  # noqa: B023, E731
+        near = there.select("*", around("_ax").alias("_cx")).withColumn("_cy", around("_ay"))
+        sure = within if width == within else 0.99 * width  # not at the very edge, where answers that count as equally far may be outside
+        pairs = rest.withColumns({"_cx": cell("_x"), "_cy": cell("_y")}).join(near, ["_cx", "_cy"]).withColumn("_far", apart).where(F.col("_far") <= sure)
+        found.append(keep(pairs.groupBy("lat", "lng").agg(F.min_by("answer", F.struct("_far", f"answer.{key}")).alias("answer")), "nearest"))
+        rest = rest.join(found[-1], ["lat", "lng"], "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
+def geocode_rows(rows: DataFrame, responses: DataFrame, within: float = NEAR, checkpoint=None) -> DataFrame:
     """rows with coordinates, address, postcode and submarket filled where they are blank, and failure.
 
     A row with coordinates, or one whose address and postcode are found, only gets a submarket, from
@@ -101,7 +112,7 @@ def geocode_rows(rows: DataFrame, responses: DataFrame, within: float = NEAR) ->
     again = found & (is_blank(F.col("submarket")) | (F.col("_place").isNotNull() & short))
     told = responses.where("kind = 'reverse' and status = 'OK'").select("query", "components")
     told = told.select("query", "components", *[F.get(F.split("query", ","), k).try_cast("double").alias(c) for k, c in enumerate(("lat", "lng"))])
-    spots = nearest(out.where(again).select("lat", "lng"), told, "query", within).select("lat", "lng", F.col("answer.components").alias("_there"))
+    spots = nearest(out.where(again).select("lat", "lng"), told, "query", within, checkpoint).select("lat", "lng", F.col("answer.components").alias("_there"))
     out = out.withColumn("_again", again).join(spots, ["lat", "lng"], "left")
     there = F.when(F.col("_again"), F.col("_there"))
     by_place = lambda v: F.when(F.col("_place").isNotNull(), v)

@@ -48,7 +48,7 @@ def upload_rows(spark: SparkSession, path: str, checkpoint, rescues: dict[str, d
     rows = checkpoint(rows.drop("provider_guess", "area"), "mapped")
     rows = numbered(rows, ["file", "position", "row_no"], "_pos", checkpoint).select("file", *KINDS, "_pos")
     if responses is not None:
-        rows = geocode_rows(rows, responses).drop("failure")
+        rows = geocode_rows(rows, responses, checkpoint=checkpoint).drop("failure")
     return rows.withColumn("address_1", fill_blank("address_1", F.when(F.col("building").rlike(r"\d"), F.col("building"))))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.schema import KINDS, LISTING, spread
 from ..functions.text import house_number_changed
 from ..operators import diff, display, enrich, geocode, geometry, links, sheets
+from ..plans.checkpoints import writer
 from ..plans.merge import COLUMNS, manual_edit
 from ..sources import mapping
 from ..sources.documents import content_hash
@@ -167,7 +168,7 @@ def nearest_answers(spark, sf):
     k, o = F.col("c_custkey"), F.col("o_orderkey")
     spots = table(spark, sf, "customer").select(k.alias("pos"), (F.lit(51.5) + (k * 7919 % 1009) / F.lit(100000.0)).alias("lat"), (F.lit(-0.1) + (k * 7477 % 997) / F.lit(100000.0)).alias("lng"))
     answers = table(spark, sf, "orders").where(o % 7 == 0).select(o.cast("string").alias("key"), (F.lit(51.5) + (o * 31 % 331) / F.lit(33000.0)).alias("lat"), (F.lit(-0.1) + (o * 17 % 313) / F.lit(31000.0)).alias("lng"))
-    return spots.join(geocode.nearest(spots, answers, "key"), ["lat", "lng"]).select("pos", "answer.key")
+    return spots.join(geocode.nearest(spots, answers, "key", checkpoint=writer(spark)), ["lat", "lng"]).select("pos", "answer.key")
 
 
 @query(
