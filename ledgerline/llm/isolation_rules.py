@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, text_buffer
+from .common import Scratch, blocks, fresh, text_buffer
 from .docstats import block_stats
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -58,7 +58,7 @@ class Forest:
 
 
 def grow_forest(x: np.ndarray, scale: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 3) -> Forest:
-    """Trees on rows x; scale is each statistic's spread in the whole sample, how far outside its rows a split may fall."""
+    """Trees on rows x; scale is each statistic's spread over all labelled rows, how far outside its rows a split may fall."""
     rng = np.random.default_rng(seed)
     n = min(sample, len(x))
     limit = int(np.ceil(np.log2(max(n, 2))))
@@ -136,24 +136,53 @@ def _stats(docs_text, forest: Forest | None):
     return run(docs_text)
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, trees: int = 100, sample: int = 512) -> Forest:
+def calibrated(scored: DataFrame, most_lost: float = 0.002) -> float:
+    """calibrate over a table (good boolean, anomaly double) of any size: its two order statistics come from sorts that keep a small share."""
+    n = {r["good"]: r["n"] for r in scored.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    good, bad = scored.where("good"), scored.where("not good")
+    if not n.get(True):
+        return 1.0
+    place = min(n[True] - 1, int(np.ceil(n[True] * (1 - most_lost))) - 1)
+    floor = good.orderBy(F.desc("anomaly")).limit(n[True] - place).agg(F.min("anomaly")).first()[0]
+    above = bad.where(F.col("anomaly") > F.lit(floor))
+    m = above.count()
+    if not m:
+        return float((floor + 1) / 2)
+    at = 0.005 * (m - 1)
+    low, high = (above.orderBy("anomaly").limit(int(k) + 1).agg(F.max("anomaly")).first()[0] for k in (np.floor(at), np.ceil(at)))
+    least = low + (high - low) * (at - np.floor(at))
+    top = good.where(F.col("anomaly") <= F.lit(float(least))).agg(F.max("anomaly")).first()[0]
+    return float(floor) if top is None else float((max(floor, top) + least) / 2)
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, trees: int = 100, sample: int = 512) -> Forest:
     """A forest grown on labelled good documents that pass the base rules; the threshold is calibrated on good and bad ones.
 
-    It learns from at most max_rows labelled documents, those with the smallest hash of their id (of
-    several with one id the one with the smallest hash of its text); null labels are left out and a document's labels are averaged. Without good ones nothing is anomalous.
+    All labelled documents count: the spread of each statistic and the threshold come from all of them, and each tree isolates
+    `sample` rows, as the method has it, drawn from trees * sample rows with the smallest hashes among all good ones. Of several
+    texts of one id the one with the smallest hash is taken; null labels are left out and a document's labels are averaged.
+    Without good ones nothing is anomalous.
     """
-    named = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("_quality"))
-    some = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "_quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = picked.select("_quality", _stats("text", None).alias("s")).select("_quality", "s.*").where("failed = 0").toPandas()
-    x = rows[RATES].to_numpy(float)
-    good = rows["_quality"].to_numpy(float) >= 0.5
-    order = np.lexsort([*x.T, good])
-    x, good = x[order], good[order]
-    if good.sum() < 2:
+    scratch = Scratch(docs.sparkSession)
+    named = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
+    hashed = docs.select("doc_id", _stats("text", None).alias("s"), F.xxhash64("text").alias("h")).join(named, "doc_id")  # no text is shuffled
+    rows = hashed.groupBy("doc_id", "good").agg(F.min_by("s", "h").alias("s")).select("doc_id", "good", "s.*").where("failed = 0").drop("failed")
+    rows = scratch.save(rows, "rates")
+    good = rows.where("good")
+    x = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trees * sample).select(*RATES).toPandas().to_numpy(float)
+    if len(x) < 2:
+        scratch.drop(rows)
         return Forest()
-    forest = grow_forest(x[good], x.std(0), trees, sample)
-    forest.threshold = calibrate(forest, x[good], x[~good])
+    scale = np.array(rows.agg(*[F.stddev_pop(c) for c in RATES]).first(), float)
+    forest = grow_forest(x[np.lexsort(x.T)], scale, trees, sample)
+
+    @F.arrow_udf("double")
+    def anomaly(*cols: pa.Array) -> pa.Array:
+        return pa.array(forest.score(np.stack([c.to_numpy() for c in cols], 1)))
+
+    scored = scratch.save(rows.select("good", anomaly(*RATES).alias("anomaly")), "anomaly")
+    forest.threshold = calibrated(scored)
+    scratch.drop(rows, scored)
     return forest
 
 
