@@ -71,12 +71,17 @@ def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tupl
     ends = np.cumsum(size)
     at = ends - size
     total = int(ends[-1]) if len(ends) else 0
-    word = codes[ids] << (24 - LONGEST) >> (at & 7)
-    byte = at >> 3
-    out = np.zeros(total // 8 + 4)
-    for k in range(3):
-        out += np.bincount(byte + k, word >> (16 - 8 * k) & 255, minlength=len(out))[: len(out)]
-    return at[::STRIDE], out.astype(np.uint8)[: -(-total // 8)].tobytes()
+    # codes stand in order, so those that begin in one machine word are a run; of each run only the last may reach into the next
+    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    code = codes[ids].astype(np.uint64)
+    out = np.zeros((total >> 6) + 2, np.uint64)
+    if len(at):
+        runs = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[runs]] = np.bitwise_or.reduceat(code << np.uint64(64 - LONGEST) >> bit, runs)
+        last = np.append(runs[1:], len(at)) - 1
+        last = last[bit[last] > 64 - LONGEST]
+        out[word[last] + 1] |= code[last] << (np.uint64(128 - LONGEST) - bit[last])
+    return at[::STRIDE], out.astype(">u8").tobytes()[: -(-total // 8)]
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
