@@ -27,7 +27,7 @@ def with_keys(rows: DataFrame) -> DataFrame:
     )
 
 
-def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos: str = "_pos", checkpoint=None) -> DataFrame:
+def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos: str = "_pos", checkpoint=None, columns: list[str] | None = None) -> DataFrame:
     """batch with match_tier (postcode, fallback, fuzzy_building or null) and master_pos, the position of the row it matched.
 
     A tier matches when exactly one master row has the key. The postcode tier needs a postcode; the
@@ -36,20 +36,24 @@ def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos
     Only keys that are unique on the master's side are joined, so no batch row is multiplied, and fuzzy
     names are scored once for each distinct pair within a block, whose pairs are dealt evenly whatever its size. `pos` is distinct in the master.
     checkpoint(df, name) keeps the master's keys, what the exact tiers found and the pairs of names, which are read more than once.
+    columns: those of batch, and its match keys, that the result has, by default all of batch; no others are kept.
     """
+    columns = batch.columns if columns is None else columns
     keep = checkpoint or (lambda df, name: df)
     new = with_keys(batch)
-    kinds = with_keys(master).groupBy(*KEYS, "k_postcode", "k_name").agg(F.count("*").alias("_n"), F.min(pos).alias("_at"))
+    names = ["k_name"] if fuzzy else []
+    kinds = with_keys(master).groupBy(*KEYS, "k_postcode", *names).agg(F.count("*").alias("_n"), F.min(pos).alias("_at"))
     kinds = keep(kinds, "kinds") if fuzzy else kinds
     count = lambda rows, keys, at: rows.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.min("_at").alias(at))
     sole = lambda rows, keys, at: count(rows, keys, at).where("_n = 1").drop("_n")
-    first = sole(kinds.where("k_postcode is not null"), [*KEYS, "k_postcode"], "_m1")
+    coded = kinds.where("k_postcode is not null")
+    first = sole(coded, [*KEYS, "k_postcode"], "_m1") if fuzzy else coded.where("_n = 1").select(*KEYS, "k_postcode", F.col("_at").alias("_m1"))
     out = new.join(first, [*KEYS, "k_postcode"], "left").join(sole(kinds, KEYS, "_m2"), KEYS, "left")
     tier = F.when(F.col("_m1").isNotNull(), "postcode").when(F.col("_m2").isNotNull(), "fallback")
     found = F.coalesce("_m1", "_m2")
     if fuzzy:
-        out = keep(out, "exact")
         block = ["k_provider", "k_floor"]
+        out = keep(out.select(*dict.fromkeys([*columns, *block, "k_name", "_m1", "_m2"])), "exact")
         heads = count(kinds.where("k_name is not null").withColumnRenamed("k_name", "_old"), [*block, "_old"], "_at")
         asks = out.where(tier.isNull() & F.col("k_name").isNotNull()).select(*block, F.col("k_name").alias("_new")).distinct()
         pairs = keep(block_pairs(asks, heads, block, "_new", "_old", FUZZY_CUTOFF), "pairs")
@@ -59,7 +63,7 @@ def match_positions(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos
         third = F.when(tier.isNull(), F.col("_m3"))
         tier = F.coalesce(tier, F.when(third.isNotNull(), F.lit("fuzzy_building")))
         found = F.coalesce(found, third)
-    return out.select(*batch.columns, tier.alias("match_tier"), found.alias("master_pos"))
+    return out.select(*columns, tier.alias("match_tier"), found.alias("master_pos"))
 
 
 def match_batch(batch: DataFrame, master: DataFrame, fuzzy: bool = True, pos: str = "_pos", checkpoint=None) -> DataFrame:

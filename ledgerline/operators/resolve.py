@@ -65,9 +65,10 @@ def collisions(diffed: DataFrame, master_pos: str = "_pos") -> DataFrame:
 
 
 def duplicate_keys(rows: DataFrame, pos: str = "_pos") -> DataFrame:
-    """(pos, match keys, k_postcode, street, number): what rows may be duplicates by."""
+    """(pos, match keys, k_postcode, street, number): what rows may be duplicates by. Rows that have the match keys need only building beside."""
+    rows = rows if {*KEYS, "k_postcode"} <= {*rows.columns} else with_keys(rows)
     found = {"street": street_key(F.col("building")), "number": house_number(F.col("building"))}
-    return with_keys(rows).withColumns(found).select(pos, *KEYS, "k_postcode", "street", "number")
+    return rows.withColumns(found).select(pos, *KEYS, "k_postcode", "street", "number")
 
 
 def duplicate_edges(keys: DataFrame, pos: str = "_pos") -> DataFrame:

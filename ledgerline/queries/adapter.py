@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.schema import KINDS, LISTING
 
 CUT = "1996-01-01"
+#: What the tables tell of a listing; its other columns are null.
+TOLD = ["building", "provider", "floor_unit", "postcode", "size_sqft", "rent_pcm"]
 WS = r"\t-\r\x{1c}-\x{1f}\x{85}\p{Z}"
 
 #: One listing for each order line; columns that the tables do not have are left out.
@@ -61,11 +63,23 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size_sqft": F.col("q"),
         "rent_pcm": F.col("price"),
     }
-    cols = [have.get(c, F.lit(None)).cast(LISTING[c].dataType).alias(c) for c in KINDS]
-    return j.select(*cols, (k * 10 + F.col("l_linenumber")).cast("long").alias("_pos"), (F.col("shipped") >= F.lit(f"{CUT} 00:00:00").cast("timestamp")).alias("is_batch"))
+    told = [have[c].alias(c) for c in TOLD]
+    return _whole(j.select(*told, (k * 10 + F.col("l_linenumber")).cast("long").alias("_pos"), (F.col("shipped") >= F.lit(f"{CUT} 00:00:00").cast("timestamp")).alias("is_batch")))
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(batch, master)."""
+def _whole(rows: DataFrame) -> DataFrame:
+    """rows with the listing's columns that they lack, as nulls."""
+    cols = [(F.col(c) if c in rows.columns else F.lit(None)).cast(LISTING[c].dataType).alias(c) for c in KINDS]
+    return rows.select(*cols, *[c for c in rows.columns if c not in KINDS])
+
+
+def kept(rows: DataFrame, checkpoint, name: str, told: list[str] = TOLD) -> DataFrame:
+    """rows written once and reread; of the listing's columns only told are written, so no later shuffle carries the others, which are null."""
+    return _whole(checkpoint(rows.drop(*[c for c in KINDS if c not in told]), name))
+
+
+def sides(spark: SparkSession, sf_dir: str, checkpoint=None, told: list[str] = TOLD) -> tuple[DataFrame, DataFrame]:
+    """(batch, master); with checkpoint(df, name) the order lines are folded and joined once for all that read them, and only columns in told are kept."""
     rows = listing(spark, sf_dir)
+    rows = kept(rows, checkpoint, "listing", told) if checkpoint else rows
     return rows.where("is_batch").drop("is_batch"), rows.where("not is_batch").drop("is_batch")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators.diff import diff_matches
 from ..operators.enrich import match_units
-from ..operators.match import match_batch, match_positions, suggest_similar
+from ..operators.match import KEYS, match_positions, suggest_similar
 from ..operators.resolve import collisions, duplicate_groups, field_choices
 from ..operators.stale import stale_candidates
 from ..plans.checkpoints import writer
 from ..plans.merge import COLUMNS, apply_merge, approval_summary
-from .adapter import sides, table, with_listing
+from .adapter import TOLD, kept, sides, table, with_listing
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,17 +26,34 @@ def query(sql: str | None):
     return add
 
 
-def _matches(spark, sf, fuzzy=False, match=match_batch):
-    batch, master = sides(spark, sf)
-    return match(batch.withColumnRenamed("_pos", "_batch_pos"), master, fuzzy, checkpoint=writer(spark) if fuzzy else None)
+#: What rows are matched by.
+_NAMED = ["building", "provider", "floor_unit", "postcode"]
 
 
-def _positions(spark, sf, fuzzy=False):
-    return _matches(spark, sf, fuzzy, match_positions)
+def _kept_sides(spark, sf, told=TOLD):
+    """(checkpoint, batch, master); the order lines are folded and joined once, as a query reads both sides and some more than once."""
+    checkpoint = writer(spark)
+    return checkpoint, *sides(spark, sf, checkpoint, told)
+
+
+def _found(batch, master, checkpoint=None, columns=None):
+    return match_positions(batch.withColumnRenamed("_pos", "_batch_pos"), master, checkpoint is not None, checkpoint=checkpoint, columns=columns)
+
+
+def _positions(spark, sf):
+    _, batch, master = _kept_sides(spark, sf, _NAMED)
+    return _found(batch, master)
+
+
+def _diffs(found, master):
+    """Diffs of the rows of match_positions that found one."""
+    rows = master.select(F.col("_pos").alias("master_pos"), F.struct(*master.columns).alias("master"))
+    return diff_matches(found.where("match_tier is not null").join(rows, "master_pos"), COLUMNS)
 
 
 def _diffed(spark, sf):
-    return diff_matches(_matches(spark, sf), COLUMNS)
+    _, batch, master = _kept_sides(spark, sf)
+    return _diffs(_found(batch, master), master)
 
 
 _DIFFS = """, pairs AS (SELECT t.pos AS batch_pos, t.master_pos, m.postcode AS old_postcode, t.postcode AS new_postcode, m.size_sqft AS old_size, t.size_sqft AS new_size, m.rent_pcm AS old_rent, t.rent_pcm AS new_rent
@@ -58,19 +75,22 @@ def match_unique(spark, sf):
 
 @query(None)
 def match_fuzzy(spark, sf):
-    m = _matches(spark, sf, fuzzy=True).where("match_tier = 'fuzzy_building'")
-    return m.select(F.col("_batch_pos").alias("batch_pos"), F.col("master._pos").alias("master_pos"), "building", F.col("master.building").alias("master_building"))
+    checkpoint, batch, master = _kept_sides(spark, sf, _NAMED)
+    near = _found(batch, master, checkpoint, ["_batch_pos", "building"]).where("match_tier = 'fuzzy_building'").select("_batch_pos", "master_pos", "building")
+    old = master.select(F.col("_pos").alias("master_pos"), F.col("building").alias("master_building"))
+    return near.join(old, "master_pos").select(F.col("_batch_pos").alias("batch_pos"), "master_pos", "building", "master_building")
 
 
 @query(None)
 def match_all_tiers(spark, sf):
     """All three tiers, as a plan runs them."""
-    return _positions(spark, sf, fuzzy=True).select(F.col("_batch_pos").alias("batch_pos"), "master_pos", "match_tier")
+    checkpoint, batch, master = _kept_sides(spark, sf, _NAMED)
+    return _found(batch, master, checkpoint, ["_batch_pos"]).select(F.col("_batch_pos").alias("batch_pos"), "master_pos", "match_tier")
 
 
 @query(None)
 def suggest_near(spark, sf):
-    batch, master = sides(spark, sf)
+    _, batch, master = _kept_sides(spark, sf, ["building"])
     return suggest_similar(batch, master)
 
 
@@ -144,8 +164,9 @@ d AS (SELECT pos, min(least(first, coalesce(street_first, first))) AS component
 SELECT pos, component FROM d WHERE component IN (SELECT component FROM d GROUP BY 1 HAVING count(*) > 1)"""
 )
 def dedup_components(spark, sf):
-    new = _positions(spark, sf).where("match_tier is null").select(*COLUMNS, F.col("_batch_pos").alias("_pos"))
-    return duplicate_groups(new, writer(spark)).select(F.col("_pos").alias("pos"), "component")
+    checkpoint, batch, master = _kept_sides(spark, sf, _NAMED)
+    new = _found(batch, master, columns=["_batch_pos", "building", *KEYS, "k_postcode"]).where("match_tier is null").withColumnRenamed("_batch_pos", "_pos")
+    return duplicate_groups(new, checkpoint).select(F.col("_pos").alias("pos"), "component")
 
 
 @query(
@@ -153,9 +174,10 @@ def dedup_components(spark, sf):
 AND EXISTS (SELECT 1 FROM seen s WHERE s.kb = m.kb AND s.kp = m.kp) AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.kb = m.kb AND s.kp = m.kp AND s.kf = m.kf)"""
 )
 def stale_rows(spark, sf):
-    batch, master = sides(spark, sf)
-    matched = _positions(spark, sf).where("match_tier is not null").select(F.col("master_pos").alias("_pos"))
-    return stale_candidates(batch, master, matched, snapshot=master.select("provider")).select(F.col("_pos").alias("pos"))
+    checkpoint, batch, master = _kept_sides(spark, sf, _NAMED)
+    providers = checkpoint(master.select("provider").distinct(), "providers")
+    matched = _found(batch, master).where("match_tier is not null").select(F.col("master_pos").alias("_pos"))
+    return stale_candidates(batch, master, matched, snapshot=providers).select(F.col("_pos").alias("pos"))
 
 
 @query(
@@ -166,14 +188,14 @@ SELECT pos, CASE WHEN n = 1 THEN one WHEN nf = 1 THEN uf WHEN nz = 1 THEN uz END
 def enrich_match(spark, sf):
     from ..functions.text import normalize_key
 
-    batch, master = sides(spark, sf)
+    _, batch, master = _kept_sides(spark, sf)
     units = master.select(normalize_key(F.col("provider")).alias("url"), "building", "floor_unit", "size_sqft", F.col("_pos").alias("unit_pos"))
     rows = batch.withColumn("brochure_link", normalize_key(F.col("provider")))
     return match_units(rows, units).select(F.col("_pos").alias("pos"), F.col("unit.unit_pos").alias("unit_pos"))
 
 
-def _updates(spark, sf):
-    d = _diffed(spark, sf).where("changed")
+def _updates(diffed):
+    d = diffed.where("changed")
     last = d.groupBy(F.col("master._pos").alias("_pos")).agg(F.max_by("diffs", "_batch_pos").alias("diffs"))
     return last.select("_pos", F.explode("diffs").alias("d")).select("_pos", F.col("d.field").alias("field"), F.col("d.new").alias("value"))
 
@@ -187,15 +209,16 @@ _LAST = f"{_DIFFS}, last AS (SELECT master_pos, max(batch_pos) AS batch_pos FROM
 SELECT pos, building, postcode, size_sqft, rent_pcm FROM merged UNION ALL SELECT (SELECT max(pos) FROM master) + 1 + pos, building, postcode, size_sqft, rent_pcm FROM matched WHERE tier IS NULL"""
 )
 def apply_plan(spark, sf):
-    _, master = sides(spark, sf)
-    new = _positions(spark, sf).where("match_tier is null").select(*COLUMNS, F.col("_batch_pos").alias("_pos"))
-    out = apply_merge(master, _updates(spark, sf), new, master.where("_pos % 11 = 0"))
+    checkpoint, batch, master = _kept_sides(spark, sf)
+    found = kept(_found(batch, master), checkpoint, "found")
+    new = found.where("match_tier is null").select(*COLUMNS, F.col("_batch_pos").alias("_pos"))
+    out = apply_merge(master, _updates(_diffs(found, master)), new, master.where("_pos % 11 = 0"))
     return out.select(F.col("_pos").alias("pos"), "building", "postcode", "size_sqft", "rent_pcm")
 
 
 @query(f"{_LAST} SELECT m.building || ' — ' || m.provider || ' — ' || m.floor_unit AS property, field, count(*) AS n FROM upd JOIN master m ON m.pos = upd.master_pos GROUP BY 1, 2")
 def approval_rows(spark, sf):
-    _, master = sides(spark, sf)
-    return approval_summary(master, _updates(spark, sf)).groupBy("property", "field").agg(F.count("*").alias("n"))
+    _, batch, master = _kept_sides(spark, sf)
+    return approval_summary(master, _updates(_diffs(_found(batch, master), master))).groupBy("property", "field").agg(F.count("*").alias("n"))
 
 
