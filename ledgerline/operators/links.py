@@ -6,9 +6,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions.schema import let
 
@@ -91,15 +92,23 @@ class _Anchors(HTMLParser):
             self.open = False
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("href", StringType()), StructField("text", StringType())])))
-def anchors(html: pd.Series) -> pd.Series:
-    """Anchors of a page with their texts, in order."""
-    out = []
-    for page in html:
-        parser = _Anchors()
-        parser.feed(page or "")
-        out.append([{"href": h, "text": " ".join(t.split())} for h, t in parser.found])
-    return pd.Series(out)
+#: Pages whose anchors a task holds at once.
+PAGES = 64
+
+
+def anchor_rows(batches):
+    """Record batches (page_id, url, at, href, text) of the anchors of pages, in order; a page is text only while it is parsed."""
+    for batch in batches:
+        ids, urls, html = (batch.column(c) for c in ("page_id", "url", "html"))
+        for start in range(0, batch.num_rows, PAGES):
+            rows = []
+            for k in range(start, min(start + PAGES, batch.num_rows)):
+                parser = _Anchors()
+                parser.feed(html[k].as_py() or "")
+                rows += [(k, at, h, " ".join(t.split())) for at, (h, t) in enumerate(parser.found)]
+            k = pa.array([r[0] for r in rows], pa.int64())
+            found = [pa.array([r[n] for r in rows], t) for n, t in ((1, pa.int32()), (2, pa.string()), (3, pa.string()))]
+            yield pa.RecordBatch.from_arrays([ids.take(k), urls.take(k), *found], names=["page_id", "url", "at", "href", "text"])
 
 
 @F.pandas_udf(StringType())
@@ -109,9 +118,10 @@ def _join_url(base: pd.Series, href: pd.Series) -> pd.Series:
 
 def best_links(pages: DataFrame) -> DataFrame:
     """(page_id, link, score): the anchor of each page that looks most like a brochure; the first of equals, none at 0 or within the page."""
-    flat = pages.select("page_id", "url", F.posexplode(anchors("html")).alias("at", "a")).where("not startswith(a.href, '#')")
-    flat = flat.withColumn("score", score_link(F.col("a.href"), F.col("a.text"))).where("score > 0")
-    best = flat.groupBy("page_id").agg(F.max(F.struct("score", (-F.col("at")).alias("first"), "url", F.col("a.href").alias("href"))).alias("m"))
+    of = StructType([pages.schema["page_id"], pages.schema["url"]]).add("at", IntegerType()).add("href", StringType()).add("text", StringType())
+    flat = pages.select("page_id", "url", "html").mapInArrow(anchor_rows, of).where("not startswith(href, '#')")
+    flat = flat.withColumn("score", score_link(F.col("href"), F.col("text"))).where("score > 0")
+    best = flat.groupBy("page_id").agg(F.max(F.struct("score", (-F.col("at")).alias("first"), "url", "href")).alias("m"))
     return best.select("page_id", _join_url("m.url", "m.href").alias("link"), F.col("m.score").alias("score"))
 
 
