@@ -37,9 +37,9 @@ def _by_provider(name: str, source: str, rows: str) -> str:
 @query(with_listing(" UNION ALL ".join([_by_provider("1", "first", "master"), _by_provider("2", "batch", "listing"), _by_provider("3", "undo", "master")])))
 def master_versions(spark, sf):
     """Every version of a master that is written, gets a batch's rows and is restored, from its log and its files."""
-    batch, master = sides(spark, sf)
     table, checkpoint = MasterTable(spark, _folder(spark)), writer(spark)
-    first = table.write(checkpoint(master, "master"), "first")
+    batch, master = sides(spark, sf, checkpoint)
+    first = table.write(master, "first")
     table.merge(lambda _: (spark.createDataFrame([], UPDATES), batch, None), checkpoint, "batch")
     table.restore(first, "undo")
     out = None
