@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -20,11 +21,15 @@ _PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WORD = re.compile(f"[^{WHITE}]+")
 #: Bytes of text encoded in one step.
 ENCODE_BYTES = 8 << 20
+#: A byte that UTF-8 never has, and parts that are read with it between them.
+GAP, JOINED = b"\xc0", 512
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: Pieces of ASCII and Latin letters without an apostrophe: composed, and split alike by any Unicode version.
 _COMMON = re.compile(f"[ \\n]?[{_LATIN}!-&(-~]*")
 _WORD_PARTS = re.compile(f"[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
 _BYTE_PARTS = re.compile(f" ?[{_LATIN}]+| ?[0-9]+| ?[^\\s{_LATIN}0-9]+|\\s")
+#: _COMMON anchored, for RE2.
+_COMMON_WHOLE = f"\\A{_COMMON.pattern}\\z"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -34,6 +39,20 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _gathered(at: np.ndarray, size: np.ndarray, flat: np.ndarray, index: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of lists and their ids; index says which run of flat each value of the lists is."""
+    index = index.to_numpy(zero_copy_only=False)
+    each = size[index]
+    ends = np.cumsum(each)
+    ids = flat[np.repeat(at[index] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+    return np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()], ids
+
+
+def _joined(raw: list[bytes], index: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    return _gathered(np.cumsum(size) - size, size, np.frombuffer(b"".join(raw), "<u4"), index, lists)
+
+
 _BYTE_CHARS = _byte_chars()
 _live: dict = {}
 
@@ -44,9 +63,9 @@ class Encoder:
     Added tokens that a text spells out, such as an end mark, are one id each; with specials=False they are
     text like any other.
 
-    Both tokenizer kinds here split at white space before merging, so a text is cut there and each
-    piece's ids are kept: the library runs once for each new piece. The caches hold at most
-    `limit` parts and half as many pieces; beyond that they are encoded again. Results equal encoding the whole text at once.
+    Both tokenizer kinds here split at white space before merging, so a text is cut there, and common pieces
+    again where letters, digits and signs meet: the library runs once for each new part. The caches hold at most
+    `limit` parts and half as many other pieces; beyond that they are encoded again. Results equal encoding the whole text at once.
     """
 
     def __init__(self, path: str, limit: int = 700_000, specials: bool = True):
@@ -63,6 +82,7 @@ class Encoder:
         self.cut = re.compile(f"({self.marks})")
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
+        self.gap = self._gap()
         self.cache: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         # word kind: white space yields no ids; byte kind: it belongs to the piece that follows
@@ -76,6 +96,13 @@ class Encoder:
             _live[path, specials] = cls(path, specials=specials)
         return _live[path, specials]
 
+    def _gap(self) -> int | None:
+        """The id of GAP if it is never part of a longer token, so that what stands on either side is merged as if alone."""
+        model, gap = self.tokenizer.model, _BYTE_CHARS[GAP[0]]
+        if type(model).__name__ != "BPE" or model.dropout or model.ignore_merges or model.end_of_word_suffix or model.continuing_subword_prefix:
+            return None
+        return None if any(gap in t and t != gap for t in self.tokenizer.get_vocab(False)) else model.token_to_id(gap)
+
     def _one(self, text: str) -> bytes:
         """ids of a text with unusual white space or added tokens."""
         if not self.added:
@@ -95,24 +122,57 @@ class Encoder:
                 parts[p] = (_WORD_PARTS if self.words else _BYTE_PARTS).findall(p.lower() if self.words else p)
             else:
                 out[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        tokenize, known = self.tokenizer.model.tokenize, self.known
-        fresh = {}
-        for x in {x for p in parts.values() for x in p}.difference(known):
-            fresh[x] = array("I", [t.id for t in tokenize(x.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-        known.update(islice(fresh.items(), max(0, self.limit - len(known))))
+        known = list({x for p in parts.values() for x in p})
+        known = dict(zip(known, self._known(known), strict=True))
         for p, xs in parts.items():
-            out[p] = b"".join([fresh[x] if x in fresh else known[x] for x in xs])
+            out[p] = b"".join([known[x] for x in xs])
         return out
 
+    def _tokenized(self, parts: list[str]) -> dict[str, bytes]:
+        """ids of new parts of common pieces; where no merge knows the byte GAP, parts with it between them are read in one call."""
+        tokenize, out = self.tokenizer.model.tokenize, {}
+        if self.gap is None:
+            return {x: array("I", [t.id for t in tokenize(x.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes() for x in parts}
+        for i in range(0, len(parts), JOINED):
+            some = parts[i : i + JOINED]
+            ids = np.array([t.id for t in tokenize(b"".join([x.encode() + GAP for x in some]).decode("latin-1").translate(_BYTE_CHARS))], "<u4")
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.gap)).tolist()
+            out |= zip(some, [data[a:b] for a, b in zip([0, *[x + 4 for x in ends[:-1]]], ends, strict=True)], strict=True)
+        return out
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """ids of distinct parts of common pieces."""
+        return self._through(self.known, self.limit, parts, self._tokenized)
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.cache.get, pieces))
+        return self._through(self.cache, self.limit // 2, pieces, self._fresh)
+
+    def _through(self, cache: dict[str, bytes], limit: int, pieces: list[str], make: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        found = list(map(cache.get, pieces))
         new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
         if new:
-            fresh = self._fresh(new)
-            self.cache.update(islice(fresh.items(), max(0, self.limit // 2 - len(self.cache))))
+            fresh = make(new)
+            cache.update(islice(fresh.items(), max(0, limit - len(cache))))
             found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
         return found
 
+    def _coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of each distinct piece's ids, and the ids; Arrow cuts common pieces and makes their parts distinct."""
+        common = pc.match_substring_regex(pieces, _COMMON_WHOLE)
+        plain = common.to_numpy(zero_copy_only=False)
+        some = pieces.filter(common)
+        marked = pc.replace_substring_regex(pc.utf8_lower(some) if self.words else some, f"({(_WORD_PARTS if self.words else _BYTE_PARTS).pattern})", "\\1\x01")
+        lists = pc.split_pattern(marked, "\x01")
+        parts = lists.flatten().dictionary_encode()
+        bound, ids = _joined(self._known(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), parts.indices, lists)
+        rest = self._ids(pieces.filter(pc.invert(common)).to_pylist())
+        size = np.zeros(len(pieces), np.int64)
+        size[plain], size[~plain] = np.diff(bound), [len(x) // 4 for x in rest]
+        at = np.zeros(len(pieces), np.int64)
+        for kind, first in ((plain, 0), (~plain, len(ids))):
+            at[kind] = first + np.cumsum(size[kind]) - size[kind]
+        return at, size, np.concatenate([ids, np.frombuffer(b"".join(rest), "<u4")])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bounds (n + 1) and ids (uint32) of an array of texts; null counts as empty.
 
@@ -134,18 +194,12 @@ class Encoder:
             else:
                 lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\x01", some, ""), "\n", " \n"), " ")
             coded = lists.flatten().dictionary_encode()
-            kinds = coded.dictionary.to_pylist()
+            kinds = coded.dictionary
             if not self.words:
-                kinds = [x[1:] if x[:1] == "\x01" else x if x[:1] == "\n" else " " + x for x in kinds]
-            raw = self._ids(kinds)
-            size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            at = np.concatenate([[0], np.cumsum(size)])
-            flat = np.frombuffer(b"".join(raw), "<u4")
-            index = coded.indices.to_numpy(zero_copy_only=False)
-            each = size[index]
-            ends = np.cumsum(each)
-            ids = flat[np.repeat(at[index] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
-            bound = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+                kinds = pc.binary_join_element_wise(" ", kinds, "")
+                for first in ("\x01", "\n"):
+                    kinds = pc.replace_substring(kinds, " " + first, first.strip("\x01"))
+            bound, ids = _gathered(*self._coded(kinds), coded.indices, lists)
             sizes[plain] = np.diff(bound)
             if plain.all():
                 return bound, ids
